@@ -64,7 +64,7 @@ def raw_sentences(c: str | Column) -> Column:
     text = collapse(c)
     marked = F.regexp_replace(text, f"([.!?][{CLOSERS}]*)(?=\\s+[{OPENERS}])", "$1" + MARK)
     kept = F.regexp_replace(marked, f"(?U)(\\b(?:{'|'.join(ABBREVIATIONS)}|[A-Z])\\.[{CLOSERS}]*)" + MARK, "$1")
-    return F.filter(F.transform(F.split(kept, MARK), F.trim), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(kept, MARK), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
 
 
 def split_sentences(c: str | Column) -> Column:
