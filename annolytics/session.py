@@ -36,3 +36,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="annolytics-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut_lineage(df):
+    """``df`` from a reliable checkpoint in the shared folder: what follows neither plans nor computes it again, and a lost
+    executor costs a read, not the whole history."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
