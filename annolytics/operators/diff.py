@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..session import cut_lineage
 from .layout import BOX
-from .ordered import ordered_scan, running_count
+from .ordered import first_rows, ordered_scan, running_count
 
 CHANGED_AFTER = 5          # seconds between the dates of an annotation the user changed
 # The fields of a rewrite that would undo each change of the user's
@@ -192,11 +192,8 @@ def foreign_cleanup(own: DataFrame, written: DataFrame, held: DataFrame, max_key
     """Documents with annotations of the tool that a cleanup would delete though this configuration neither wrote nor holds
     them: how many, the first keys and pages named in the message."""
     other = own.join(written.select("key").distinct(), "key", "left_anti").join(held.select("key").distinct(), "key", "left_anti")
-    # only the first few are named, so only they travel: rank inside salted parts, then the few that are left
-    salted = other.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
-    part = salted.withColumn("r", F.row_number().over(Window.partitionBy("parent", "salt").orderBy("ord", "key"))).filter(F.col("r") <= max_keys)
-    first = (part.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("ord", "key"))).filter(F.col("r") <= max_keys)
-             .groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ", ").alias("keys")))
+    first = (first_rows(other.select("parent", "ord", "key"), ["parent"], [F.col("ord"), F.col("key")], max_keys).groupBy("parent")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), ", ").alias("keys")))
     pages = (other.groupBy("parent", "page").agg(F.count("*").alias("n"))
              .withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("page"))).groupBy("parent").agg(
                  F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= max_pages, F.col("page")))), ", ").alias("pages")))

@@ -60,10 +60,15 @@ def chunk_of(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
-def time_chunk(ts: str | Column, seconds: int = 3600) -> Column:
-    """The chunk of an event time: a hot key is cut by time."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+def time_chunk(df: DataFrame, ts: str, seconds: int = 3600) -> Column:
+    """The chunk of an event time: a hot key is cut by time. A time without zone is counted as it reads, so that no session
+    zone can make it fall."""
+    c = F.col(ts)
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        at = F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    else:
+        at = F.floor(F.unix_micros(c) / F.lit(1_000_000))
+    return F.floor(at / F.lit(seconds)).cast("long")
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: str | Column, reverse: bool = False,
@@ -148,3 +153,12 @@ def element_at_index(df: DataFrame, keys: list[str], value: Column, index: Colum
 def upper_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """``sorted[n // 2]`` per key."""
     return element_at_index(df, keys, value, F.floor(F.col("total") / 2), name)
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key with their ``rank``. Every salted part of a key gives its own first ``k``, and only those
+    meet, so a key with most of all rows is ranked in parts."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    few = salted.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k).drop("__salt", "rank")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)

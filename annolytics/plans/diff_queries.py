@@ -7,6 +7,7 @@ from ..functions import geometry as G
 from ..functions import rules as R
 from ..operators import diff as D
 from ..operators import layout as L
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import ANNOTATIONS_SQL
 from .registry import Tables, query
@@ -141,7 +142,7 @@ FIXTURE_CHUNK = 1 << 34    # the fixtures' order numbers are sparse
 
 def _plan(t: Tables):
     new, old = config(t), listing(t)
-    return D.rewrite_plan(new, old, D.match_rewrite(new, old, overlap=False, chunk_rows=FIXTURE_CHUNK), records(t))
+    return cut_lineage(D.rewrite_plan(new, old, D.match_rewrite(new, old, overlap=False, chunk_rows=FIXTURE_CHUNK), records(t)))
 
 
 @query("f04_rewrite_pairs", *TO_SNAPSHOTS, *PAIRS, "SELECT new_key, old_key, how FROM pairs")

@@ -165,3 +165,75 @@ def annotations(t: Tables) -> DataFrame:
         (o % 40 * 12 + F.when(s % 5 == 0, 300).otherwise(60)).cast("int").alias("x1"), (s % 50 * 14 + 10).cast("int").alias("y1"),
         F.concat(F.lit("sentence  "), st(o % 97)).alias("text"), comment.alias("comment"), (F.col("l_linestatus") == "O").alias("own"),
         added.alias("added"), (added + n % 3 * 4).alias("modified"))
+
+
+# --- logs: one text for both engines -------------------------------------------------------------------------------------------
+LOG_BODY = r"""
+SELECT session, ord, raw FROM (
+  SELECT user_id AS session, k * 2 AS ord, k, event_type, CASE event_type
+    WHEN 'click' THEN concat('{"type":"assistant","uuid":"r', k, '","message":{"id":"m', user_id, '-', b, '","usage":{"input_tokens":', k % 50, ',"cache_read_input_tokens":',
+      CASE WHEN k % 7 = 0 THEN 'null' ELSE CAST(k % 1000 * 10 AS VARCHAR(20)) END, ',"output_tokens":', k % 97, '},"content":[{"type":"tool_use","id":"T', user_id, '-', b, '-', k % 3,
+      '","name":"', CASE k % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Edit' ELSE 'Bash' END, '","input":{"command":"', CASE k % 5 WHEN 0 THEN 'tool --config a.json --apply'
+      WHEN 1 THEN 'cat sentences.txt' WHEN 2 THEN 'tool extract --pdf x' WHEN 3 THEN 'curl http://localhost' ELSE 'make' END, '"}}]}}')
+    WHEN 'view' THEN concat('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"T', user_id, '-', b, '-', k % 3, '","content":"', repeat('x', CAST(k % 40 AS INT)),
+      '","is_error":', CASE WHEN k % 9 = 0 THEN 'true' ELSE 'false' END, '}]}}')
+    WHEN 'purchase' THEN concat('{"type":"result","session_id":', CASE WHEN k % 11 = 0 THEN 'null' ELSE concat('"s', user_id, '"') END, ',"total_cost_usd":', k % 5000, '.25,"num_turns":', k % 6,
+      ',"duration_ms":', k % 900 * 10, ',"is_error":', CASE WHEN k % 8 = 0 THEN 'true' ELSE 'false' END, ',"usage":{"input_tokens":', k % 30, ',"output_tokens":', k % 20, '}',
+      CASE WHEN k % 13 = 0 THEN ',"model_usage_since_last_result":{"a":{"costUSD":0.5},"b":{"costUSD":0.25}}' ELSE '' END, ',"result":"Done ', k, '"}')
+    WHEN 'signup' THEN concat('{"type":"annolytics","subtype":"run","agent":"a","user":', CASE WHEN k % 3 = 0 THEN 'null' ELSE concat('"words ', k, '"') END, '}')
+    ELSE CASE k % 4 WHEN 0 THEN '{"type": ' WHEN 1 THEN '   '
+      WHEN 2 THEN concat('{"type":"assistant","uuid":"r', k, '","message":{"id":"n', k, '","content":[{"type":"text","text":" Done ', k + 1, ' "}]}}')
+      ELSE concat('{"method":"item/completed","payload":1,"params":{"item":{"type":"agentMessage","text":"said ', k, '"}}}') END END AS raw
+  FROM (SELECT user_id, event_id AS k, event_type, CAST(floor(event_id / 700) AS BIGINT) AS b FROM events) e) r
+"""
+LOG_REPLAYS = "UNION ALL SELECT session, ord + 31, raw FROM ({body}) p WHERE raw LIKE '{{\"type\":\"assistant\",\"uuid\"%' AND ord % 20 = 6"
+
+
+def _log_text() -> str:
+    return LOG_BODY + LOG_REPLAYS.format(body=LOG_BODY)
+
+
+LOG_SQL = "log AS (" + _log_text().replace("concat(", "concat(") + ")"
+
+
+def both(t: Tables, sql: str, *tables: str) -> DataFrame:
+    """A derivation whose text runs in both engines."""
+    for name in tables:
+        getattr(t, name).createOrReplaceTempView(f"annolytics_{name}")
+        sql = sql.replace(f"FROM {name} ", f"FROM annolytics_{name} ").replace(f"FROM {name})", f"FROM annolytics_{name})")
+    return t.spark.sql(sql)
+
+
+def log_lines(t: Tables) -> DataFrame:
+    return both(t, _log_text(), "events")
+
+
+COUNTER_BODY = """SELECT user_id AS session, event_id, rn * 2 AS ord, tokens AS last_input, cached AS last_cached, output AS last_output,
+  SUM(tokens) OVER w AS total_input, SUM(cached) OVER w AS total_cached, SUM(output) OVER w AS total_output
+FROM (SELECT user_id, event_id, rn, tokens, CAST(floor(tokens / 2) AS BIGINT) AS cached, 1 + event_id % 5 AS output, CAST(floor((rn - 1) / 40) AS INT) AS seg FROM (
+  SELECT user_id, event_id, CASE WHEN event_id % 17 = 0 THEN 0 ELSE CAST(round(value * 100) AS BIGINT) + 1 END AS tokens,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events ) e) s
+WINDOW w AS (PARTITION BY user_id, seg ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+COUNTERS_SQL = f"first_counters AS ({COUNTER_BODY}), counters AS (SELECT *, 0 AS replay FROM first_counters UNION ALL SELECT * REPLACE (ord + 31 AS ord), 1 FROM first_counters WHERE event_id % 10 = 3)"
+
+
+def counters(t: Tables) -> DataFrame:
+    rows = both(t, COUNTER_BODY, "events")
+    sums = {c: F.col(c).cast("long") for c in ("ord", "last_input", "last_cached", "last_output", "total_input", "total_cached", "total_output")}
+    rows = rows.withColumns(sums)
+    return rows.unionByName(rows.filter("event_id % 10 = 3").withColumn("ord", F.col("ord") + 31))
+
+
+CONV_BODY = """SELECT conv_id, turn * 10 AS ord, 'run' AS kind, CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END AS agent,
+  CASE WHEN (conv_id + turn) % 5 = 0 THEN NULL ELSE text END AS words, CAST(NULL AS VARCHAR(10)) AS text, false AS is_error, false AS resent, (conv_id + turn) % 13 = 0 AS compact, 0 AS num_turns, 0 AS tokens FROM conversations WHERE role <> 'assistant'
+UNION ALL SELECT conv_id, turn * 10 + 1, 'prompt', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, concat('asked ', text), NULL, false, false, false, 0, 0 FROM conversations WHERE role = 'user' AND conv_id % 3 = 0
+UNION ALL SELECT conv_id, turn * 10 + 2, 'steer', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, concat('steer ', turn), false, false, false, 0, 0 FROM conversations WHERE role = 'user' AND turn % 4 = 2
+UNION ALL SELECT conv_id, turn * 10, 'message', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, text, false, false, false, 0, 0 FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn * 10 + 1, 'result', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, text, (conv_id * 7 + turn) % 11 = 0, false, false, 1 + turn, length(text) FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn * 10 + 2, 'gone', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, NULL, false, true, false, 0, 0 FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 6 = 1
+UNION ALL SELECT conv_id, turn * 10 + 3, 'end', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, 'cancelled', true, false, false, 0, 0 FROM conversations WHERE role = 'assistant' AND turn % 5 = 3"""
+CONV_SQL = f"conv_log AS ({CONV_BODY})"
+
+
+def conv_log(t: Tables) -> DataFrame:
+    return both(t, CONV_BODY, "conversations")
