@@ -1,6 +1,8 @@
 """Text expressions. All run inside the JVM; regular expressions use Unicode classes."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value computed once per row: an expression used twice is computed twice, and a plain column used inside
+    a lambda may be inlined into it and computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(c: str | Column) -> Column:
     """Whitespace runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -81,12 +89,9 @@ def split_sentences(c: str | Column) -> Column:
                              lambda n, x: n + word_count(x))
         return (i > 0) & (word_count(p) >= MIN_SENTENCE_WORDS) & (before >= MIN_SENTENCE_WORDS)
 
-    joined = F.transform(
-        F.array(pieces),
-        lambda parts: F.split(F.array_join(F.transform(
-            parts, lambda p, i: F.concat(F.when(i == 0, F.lit("")).when(opens(p, i, parts), F.lit(CUT))
-                                         .otherwise(F.lit(" ")), p)), ""), CUT))
-    return F.filter(joined[0], lambda s: F.length(s) > 0)
+    joined = let(pieces, lambda parts: F.split(F.array_join(F.transform(
+        parts, lambda p, i: F.concat(F.when(i == 0, F.lit("")).when(opens(p, i, parts), F.lit(CUT)).otherwise(F.lit(" ")), p)), ""), CUT))
+    return F.filter(joined, lambda s: F.length(s) > 0)
 
 
 def count_matches(c: str | Column, pattern: str) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import geometry as G
 from ..functions import text as T
-from .text import fields, let
+from ..functions.text import let
+from .text import fields
 
 MAX_SPAN = 1200
 MIN_ANCHOR = 8

@@ -7,12 +7,11 @@ is spread like any other. All expressions are linear in the lines of a document.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 from .ordered import chunk_of, group_total, ordered_scan, running_count
 
 DEFAULT_BODY_SIZE = 10.0
@@ -22,12 +21,6 @@ BODY, IN_REFERENCES, IN_CHECKLIST = 0, 1, 2
 READ_PART_COST = 56000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value computed once per row: a plain column used inside a lambda may be inlined into it and computed
-    again for every element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def fields(r: Column, *names: str) -> list[Column]:
     return [r[n].alias(n) for n in names]
 

@@ -3,11 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import anchor as A
 from ..operators import checks as C
+from ..operators import fidelity as X
 from . import fixtures as fx
+from .anchor_queries import TO_SENTENCES
 from .diff_queries import NOTES_SQL, _notes
 from .fixtures import ANNOTATIONS_SQL
 from .registry import Tables, query
@@ -112,3 +115,103 @@ def gate(t: Tables):
     accepted = found.filter("parent % 3 <> 0").select("parent", "kind").distinct()
     confirmed = found.filter("kind = 'user_edit' AND (parent % 5 <> 1 OR key % 2 = 0)").select("parent", "kind", "key").distinct()
     return C.gate(found, accepted, confirmed, ["parent"])
+
+
+# --- translation fidelity -------------------------------------------------------------------------------------------------------
+PAIRS = """pairs AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS key, hi, lo, q, l_orderkey % 7 = 0 AS wrong,
+  concat('It costs ', hi, '.', lpad(CAST(lo AS VARCHAR), 2, '0'), ' for ', q, '% more.') AS text,
+  concat('Es kostet ', CASE WHEN hi + w >= 1000 THEN concat((hi + w) // 1000, '.', lpad(CAST((hi + w) % 1000 AS VARCHAR), 3, '0')) ELSE CAST(hi + w AS VARCHAR) END, ',', lpad(CAST(lo AS VARCHAR), 2, '0'), ' bei ', q, ' % mehr.') AS comment
+FROM (SELECT *, CAST(l_quantity AS INT) AS q, cents // 100 AS hi, cents % 100 AS lo, CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS w FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) c) d),
+canon AS (SELECT *, rtrim(concat(hi, lpad(CAST(lo AS VARCHAR), 2, '0')), '0') AS kept, length(concat(hi, lpad(CAST(lo AS VARCHAR), 2, '0'))) AS n,
+  rtrim(CAST(q AS VARCHAR), '0') AS q_kept, length(CAST(q AS VARCHAR)) AS q_n FROM pairs),
+shown AS (SELECT *, concat(CASE WHEN kept = '' THEN '0' ELSE concat(ltrim(kept, '0'), CASE WHEN n - length(kept) - 2 <> 0 THEN concat('E', n - length(kept) - 2) ELSE '' END) END, '|',
+  q_kept, CASE WHEN q_n - length(q_kept) <> 0 THEN concat('E', q_n - length(q_kept)) ELSE '' END, '%') AS numbers FROM canon)"""
+
+
+def _pairs(t: Tables):
+    def s(c):
+        return c.cast("string")
+    rows = t.lineitem.withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    o, hi, lo, q = F.col("l_orderkey"), F.floor(F.col("cents") / 100), s(F.lpad(s(F.col("cents") % 100), 2, "0")), s(F.col("l_quantity").cast("int"))
+    other = hi + F.when(o % 7 == 0, 1).otherwise(0)
+    grouped = F.when(other >= 1000, F.concat(s(F.floor(other / 1000)), F.lit("."), F.lpad(s(other % 1000), 3, "0"))).otherwise(s(other))
+    return rows.select(F.concat_ws("-", s(o), s(F.col("l_linenumber")), s(F.col("l_partkey")), s(F.col("l_suppkey"))).alias("key"), F.lit("highlight").alias("type"),
+                       F.concat(F.lit("It costs "), s(hi), F.lit("."), lo, F.lit(" for "), q, F.lit("% more.")).alias("text"),
+                       F.concat(F.lit("Es kostet "), grouped, F.lit(","), lo, F.lit(" bei "), q, F.lit(" % mehr.")).alias("comment"), (o % 7 == 0).alias("wrong"))
+
+
+SCRIPTS = """written AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || '。译文' WHEN 2 THEN 'Привет мир и так далее ab' ELSE substr(text, 1, 5) || 'Привет' END AS text FROM documents)"""
+
+
+@query("e01_scripts", SCRIPTS, r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]') THEN 'cjk'
+  WHEN len(regexp_extract_all(text, '[\x{0400}-\x{04ff}]')) > len(regexp_extract_all(text, '[A-Za-z]')) THEN 'cyrillic' ELSE 'latin' END AS script FROM written""")
+def scripts(t: Tables):
+    d, x = F.col("doc_id") % 4, F.col("text")
+    text = F.when(d == 0, x).when(d == 1, F.concat(x, F.lit("。译文"))).when(d == 2, "Привет мир и так далее ab").otherwise(F.concat(F.substring(x, 1, 5), F.lit("Привет")))
+    return t.documents.select("doc_id", N.script_of(text).alias("script"))
+
+
+@query("e02_canonical_numbers", PAIRS, "SELECT key, numbers FROM shown")
+def canonical_numbers(t: Tables):
+    found = F.transform(N.numbers(F.lower("text")), lambda x: x["t"])
+    return _pairs(t).select("key", F.array_join(found, "|").alias("numbers"))
+
+
+@query("e03_local_numbers", PAIRS, "SELECT key, numbers FROM shown WHERE NOT wrong")
+def local_numbers(t: Tables):
+    found = F.transform(N.numbers(F.lower(N.local_numbers(F.col("comment")))), lambda x: x["t"])
+    return _pairs(t).filter("NOT wrong").select("key", F.array_join(found, "|").alias("numbers"))
+
+
+@query("e04_compound_numbers", """SELECT o_orderkey, concat('약 ', CAST((o_orderkey % 9 + 1) * 100000000 + (o_orderkey % 7 + 1) * 10000000 AS BIGINT), ' 개') AS text FROM orders""")
+def compound_numbers(t: Tables):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("약 "), (k % 9 + 1).cast("string"), F.lit("억 "), (k % 7 + 1).cast("string"), F.lit("천만 개"))
+    return t.orders.select("o_orderkey", F.regexp_replace(N.join_compounds(text), r"\s+", " ").alias("text"))
+
+
+WORDS = ("three", "seven", "twelve", "twenty")
+
+
+@query("e05_text_variants", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
+def text_variants(t: Tables):
+    """Dates and numbers in words against their digits in the comment; every fifth comment names another number."""
+    k = F.col("o_orderkey")
+    months = ("January", "April", "September", "December")
+    month, word = F.element_at(F.array(*[F.lit(m) for m in months]), (k % 4 + 1).cast("int")), F.element_at(F.array(*[F.lit(w) for w in WORDS]), (k % 3 + 1).cast("int"))
+    n = F.element_at(F.array(*[F.lit(x) for x in (1, 4, 9, 12)]), (k % 4 + 1).cast("int"))
+    runs = F.element_at(F.array(*[F.lit(x) for x in (3, 7, 12)]), (k % 3 + 1).cast("int")) + F.when(k % 5 == 0, 1000).otherwise(0)
+    rows = t.orders.select("o_orderkey", F.lit("highlight").alias("type"), F.concat(F.lit("In "), month, F.lit(" 2021 the group made "), word, F.lit(" runs.")).alias("text"),
+                           F.concat(F.lit("该组于 2021 年 "), n.cast("string"), F.lit(" 月运行了 "), runs.cast("string"), F.lit(" 次。")).alias("comment"))
+    return X.translation_warnings(rows).filter("extra <> ''").select("o_orderkey")
+
+
+@query("e06_token_sets")
+def token_sets(t: Tables):
+    rows = t.documents.withColumn("plain", N.nfkc(N.prepare(F.col("text")))).select("doc_id", N.token_set(F.col("plain")).alias("terms"))
+    return rows.select("doc_id", F.size("terms").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("digest"))
+
+
+@query("e07_coverage", PAIRS, "SELECT key FROM pairs WHERE wrong")
+def coverage(t: Tables):
+    return X.translation_warnings(_pairs(t)).filter("extra <> ''").select("key")
+
+
+@query("e08_term_words", r"""words AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS w FROM documents) x
+  WHERE (length(w) >= 2 AND regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '[\p{Ll}\p{Lt}]')) OR regexp_matches(w, '[a-zß-ÿ][A-ZÀ-Þ]') OR regexp_matches(w, '[\d\x{0370}-\x{03ff}]'))""", """
+SELECT doc_id, lower(w) AS term FROM words GROUP BY doc_id, lower(w)""")
+def term_words(t: Tables):
+    return t.documents.select("doc_id", F.explode(N.term_words(F.col("text"))).alias("term"))
+
+
+LENGTHS = r"""spans AS (SELECT doc_id, id, text, repeat('译', CAST(1 + (doc_id * 7 + id * 5) % 60 AS INT)) AS comment FROM sentences),
+counted AS (SELECT doc_id, id, length(comment) AS wide, len(regexp_extract_all(text, '[A-Za-z]+')) AS n, len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: NOT list_contains(['a', 'an', 'the', 'of', 'to',
+  'and', 'or', 'in', 'on', 'at', 'by', 'for', 'with', 'from', 'as', 'is', 'are', 'was', 'were', 'be', 'been', 'has', 'have', 'had', 'it', 'its', 'that', 'this', 'which', 'than', 'into', 'via', 'per'], lower(w)))) AS carried FROM spans)"""
+
+
+@query("e09_length_bands", *TO_SENTENCES, LENGTHS, """SELECT doc_id, id, CASE WHEN n >= 6 AND wide / n > 2.8 THEN 'long' WHEN carried >= 6 AND wide / carried <= 1.0 THEN 'short' END AS length_warning FROM counted
+WHERE (n >= 6 AND wide / n > 2.8) OR (carried >= 6 AND wide / carried <= 1.0)""")
+def length_bands(t: Tables):
+    comment = F.repeat(F.lit("译"), (1 + (F.col("doc_id") * 7 + F.col("id") * 5) % 60).cast("int"))
+    rows = fx.sentences(t).select("doc_id", "id", F.lit("highlight").alias("type"), "text", comment.alias("comment"))
+    return X.length_bands(X.translation_tokens(rows)).filter("length_warning IS NOT NULL").select("doc_id", "id", "length_warning")

@@ -1,0 +1 @@
+"""Reading libraries, logs and files, and writing tables."""
