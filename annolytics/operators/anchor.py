@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions.text import let
+from .ordered import once
 from .text import fields
 
 MAX_SPAN = 1200
@@ -24,7 +25,7 @@ SNAP_RATIO, SENTENCE_RATIO = 0.95, 0.9
 
 def page_index(pages: DataFrame) -> DataFrame:
     """Pages with the words' keys, their offsets in the page's text, and the text."""
-    keyed = F.transform("words", lambda w: F.struct(w.alias("w"), F.length(T.norm_key(w["word"])).alias("n")))
+    keyed = F.transform("raw_words", lambda w: F.struct(w.alias("w"), F.length(T.norm_key(w["word"])).alias("n")))
     zero = F.array(F.lit(0))
 
     def offsets(ws: Column) -> Column:
@@ -35,8 +36,8 @@ def page_index(pages: DataFrame) -> DataFrame:
             *fields(w["w"], "word_no", "word", "block", "line", "x0", "y0", "x1", "y1"),
             F.get(at, i).alias("offset"), w["n"].alias("n"))))
 
-    text = F.array_join(F.transform("words", lambda w: T.norm_key(w["word"])), "")
-    return pages.withColumns({"words": let(keyed, place), "text": text})
+    text = F.array_join(F.transform("raw_words", lambda w: T.norm_key(w["word"])), "")
+    return once(pages.withColumnRenamed("words", "raw_words"), words=let(keyed, place), text=text).drop("raw_words")
 
 
 def _pieces(text: Column, key: Column) -> Column:
@@ -76,11 +77,10 @@ def match_phrases(intents: DataFrame, index: DataFrame) -> DataFrame:
     """Intents (``doc_id, page, phrase, occurrence``) with the place of the n-th occurrence of each on its page, its words
     and line boxes, and how often the page has it."""
     key = T.norm_key("phrase")
-    found = (intents.withColumn("key", key).join(index, ["doc_id", "page"])
-             .withColumns({"matches": count_phrase(F.col("text"), F.col("key")),
-                           "start": find_phrase(F.col("text"), F.col("key"), F.coalesce("occurrence", F.lit(1)))}))
-    found = found.withColumn("hit", F.when(F.col("start").isNotNull(), words_in(
-        F.col("words"), F.col("start"), F.col("start") + F.length("key"))))
+    found = (intents.withColumn("key", key).join(index, ["doc_id", "page"]))
+    found = once(found, matches=count_phrase(F.col("text"), F.col("key")),
+                 start=find_phrase(F.col("text"), F.col("key"), F.coalesce("occurrence", F.lit(1))))
+    found = once(found, hit=F.when(F.col("start").isNotNull(), words_in(F.col("words"), F.col("start"), F.col("start") + F.length("key"))))
     return found.withColumns({"matched": words_text(F.col("hit")), "boxes": line_boxes(F.col("hit")),
                               "ambiguous": (F.col("matches") > 1) & F.col("occurrence").isNull()}).drop("words", "text")
 
@@ -97,8 +97,8 @@ def find_spans(text: Column, a: Column, b: Column, max_span: int = MAX_SPAN) ->
 
 def match_spans(intents: DataFrame, index: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
     """Intents (``doc_id, page, first, last, occurrence``) with the one span from ``first`` to ``last``, or why there is none."""
-    rows = (intents.withColumns({"a": T.norm_key("first"), "b": T.norm_key("last")}).join(index.drop("words"), ["doc_id", "page"])
-            .withColumn("spans", find_spans(F.col("text"), F.col("a"), F.col("b"), max_span)))
+    rows = (intents.withColumns({"a": T.norm_key("first"), "b": T.norm_key("last")}).join(index.drop("words"), ["doc_id", "page"]))
+    rows = once(rows, spans=find_spans(F.col("text"), F.col("a"), F.col("b"), max_span))
     n, want = F.size("spans"), F.col("occurrence")
     reason = (F.when((F.length("a") < MIN_ANCHOR) | (F.length("b") < MIN_ANCHOR), "anchor too short").when(n == 0, "not found")
               .when(want.isNotNull() & (n < want), "too few spans").when(want.isNull() & (n > 1), "several spans"))

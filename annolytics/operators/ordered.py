@@ -162,3 +162,16 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, salt
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
     few = salted.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k).drop("__salt", "rank")
     return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once. A filter on a plain computed column is pushed below it and computes it a
+    second time; it is not pushed below a generated one."""
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small file read by one task leaves the others idle in
+    work that is all computing. Where the scan has enough partitions, as on any large table, nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import anchor as A
 from ..operators import checks as C
 from ..operators import fidelity as X
+from ..operators.ordered import spread
 from . import fixtures as fx
 from .anchor_queries import TO_SENTENCES
 from .diff_queries import NOTES_SQL, _notes
@@ -131,7 +132,7 @@ shown AS (SELECT *, concat(CASE WHEN kept = '' THEN '0' ELSE concat(ltrim(kept,
 def _pairs(t: Tables):
     def s(c):
         return c.cast("string")
-    rows = t.lineitem.withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    rows = spread(t.lineitem).withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
     o, hi, lo, q = F.col("l_orderkey"), F.floor(F.col("cents") / 100), s(F.lpad(s(F.col("cents") % 100), 2, "0")), s(F.col("l_quantity").cast("int"))
     other = hi + F.when(o % 7 == 0, 1).otherwise(0)
     grouped = F.when(other >= 1000, F.concat(s(F.floor(other / 1000)), F.lit("."), F.lpad(s(other % 1000), 3, "0"))).otherwise(s(other))
@@ -181,14 +182,14 @@ def text_variants(t: Tables):
     month, word = F.element_at(F.array(*[F.lit(m) for m in months]), (k % 4 + 1).cast("int")), F.element_at(F.array(*[F.lit(w) for w in WORDS]), (k % 3 + 1).cast("int"))
     n = F.element_at(F.array(*[F.lit(x) for x in (1, 4, 9, 12)]), (k % 4 + 1).cast("int"))
     runs = F.element_at(F.array(*[F.lit(x) for x in (3, 7, 12)]), (k % 3 + 1).cast("int")) + F.when(k % 5 == 0, 1000).otherwise(0)
-    rows = t.orders.select("o_orderkey", F.lit("highlight").alias("type"), F.concat(F.lit("In "), month, F.lit(" 2021 the group made "), word, F.lit(" runs.")).alias("text"),
+    rows = spread(t.orders).select("o_orderkey", F.lit("highlight").alias("type"), F.concat(F.lit("In "), month, F.lit(" 2021 the group made "), word, F.lit(" runs.")).alias("text"),
                            F.concat(F.lit("该组于 2021 年 "), n.cast("string"), F.lit(" 月运行了 "), runs.cast("string"), F.lit(" 次。")).alias("comment"))
     return X.translation_warnings(rows).filter("extra <> ''").select("o_orderkey")
 
 
 @query("e06_token_sets")
 def token_sets(t: Tables):
-    rows = t.documents.withColumn("plain", N.nfkc(N.prepare(F.col("text")))).select("doc_id", N.token_set(F.col("plain")).alias("terms"))
+    rows = spread(t.documents).withColumn("plain", N.nfkc(N.prepare(F.col("text")))).select("doc_id", N.token_set(F.col("plain")).alias("terms"))
     return rows.select("doc_id", F.size("terms").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("digest"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import once, spread
 from .registry import Tables
 
 # A page is eight rows, a block four; a header row, a page number row, and headings that open a bibliography, a checklist and
@@ -33,7 +34,7 @@ def documents(t: Tables) -> DataFrame:
                         size.alias("size"), (pos % 29 == 5).alias("bold"), F.when(turned, 0).otherwise(1).alias("dir_x"),
                         F.when(turned, 1).otherwise(0).alias("dir_y"))
 
-    return t.documents.select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
+    return once(spread(t.documents.select("doc_id", "text")), lines=F.transform(F.split("text", "\n"), line)).select("doc_id", "lines")
 
 
 def lines(t: Tables) -> DataFrame:
@@ -69,8 +70,9 @@ def pages(t: Tables) -> DataFrame:
         return F.filter(made, lambda w: w["word"] != "")
 
     own = F.flatten(F.transform(F.filter("lines", lambda r: r["page"] == F.col("page")), words))
-    return docs.select("doc_id", "page", F.transform(own, lambda w, i: F.struct(i.alias("word_no"), *[w[c].alias(c) for c in (
-        "word", "block", "line", "x0", "x1", "y0", "y1")])).alias("words")).filter(F.size("words") > 0)
+    docs = once(docs, own=own).select("doc_id", "page", "own")
+    return once(docs, words=F.transform("own", lambda w, i: F.struct(i.alias("word_no"), *[w[c].alias(c) for c in (
+        "word", "block", "line", "x0", "x1", "y0", "y1")]))).drop("own").filter(F.size("words") > 0)
 
 
 # One phrase per page: one to three of its words from the third on; every other page asks for an occurrence
@@ -89,7 +91,7 @@ def intents(t: Tables) -> DataFrame:
 def sentences(t: Tables) -> DataFrame:
     """Sentences of the whole documents, ten to a page."""
     from ..functions import text as T
-    rows = t.documents.select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "text"))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "text"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("id"), (F.floor(F.col("pos") / 10) + 1).cast("int").alias("page"), "text")
 
 

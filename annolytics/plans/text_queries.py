@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import text as X
+from ..operators.ordered import once, spread
 from . import fixtures as fx
 from .fixtures import LINES_SQL, norm_sql
 from .registry import Tables, query
@@ -116,12 +117,11 @@ SELECT doc_id, paragraphs, headings, sentences, distinct_sentences, words FROM
  JOIN (SELECT doc_id, count(*) AS sentences, count(DISTINCT {N}) AS distinct_sentences,
               CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS words FROM sents GROUP BY doc_id) s USING (doc_id)""")
 def document_overview(t: Tables):
-    docs = fx.documents(t).select("doc_id", X.paragraphs(F.col("lines")).alias("paras"))
+    docs = once(fx.documents(t), paras=X.paragraphs(F.col("lines")))
     words = F.filter("paras", lambda p: p["kind"] == "para")
     sents = F.flatten(F.transform(words, lambda p: T.split_sentences(p["text"])))
-    docs = docs.select("doc_id", F.size("paras").cast("long").alias("paragraphs"),
-                       F.size(F.filter("paras", lambda p: p["kind"] == "heading")).cast("long").alias("headings"),
-                       sents.alias("sents"))
+    docs = once(docs, sents=sents).select("doc_id", "sents", F.size("paras").cast("long").alias("paragraphs"),
+                                          F.size(F.filter("paras", lambda p: p["kind"] == "heading")).cast("long").alias("headings"))
     return docs.filter(F.size("sents") > 0).select(
         "doc_id", "paragraphs", "headings", F.size("sents").cast("long").alias("sentences"),
         F.size(F.array_distinct(F.transform("sents", lambda x: T.norm_key(x)))).cast("long").alias("distinct_sentences"),
@@ -146,8 +146,8 @@ def collapse(t: Tables):
 
 @query("b03_body_size", LINES_SQL, KEPT, BODY, "SELECT doc_id, body_size FROM body")
 def body_size(t: Tables):
-    return fx.documents(t).select("doc_id", X.clean_lines(F.col("lines")).alias("rows")).filter(F.size("rows") > 0).select(
-        "doc_id", X.body_size(F.col("rows")).alias("body_size"))
+    rows = once(fx.documents(t), rows=X.clean_lines(F.col("lines"))).filter(F.size("rows") > 0)
+    return rows.select("doc_id", X.body_size(F.col("rows")).alias("body_size"))
 
 
 @query("b04_headings", *TO_CLASSED, "SELECT doc_id, row_no, text FROM classed WHERE heading")
@@ -226,7 +226,7 @@ WHOLE_TEXTS = "paras AS (SELECT doc_id, 1 AS para, 1 AS page, 'para' AS kind, te
 
 @query("b12_sentence_split", WHOLE_TEXTS, SENTS, "SELECT doc_id, CAST(pos AS INT) AS pos, text FROM sents")
 def sentence_split(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "text"))
+    return spread(t.documents).select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "text"))
 
 
 @query("b13_numbering", *TO_SENTS, ITEMS, "SELECT doc_id, page, para, kind, id, text FROM items")
@@ -237,7 +237,7 @@ def numbering(t: Tables):
 
 @query("b14_norm_key", WHOLE_TEXTS, SENTS, f"SELECT doc_id, {N} AS norm, count(*) AS n FROM sents GROUP BY ALL")
 def norm_keys(t: Tables):
-    return (t.documents.select("doc_id", F.explode(T.split_sentences("text")).alias("text"))
+    return (spread(t.documents).select("doc_id", F.explode(T.split_sentences("text")).alias("text"))
             .groupBy("doc_id", T.norm_key("text").alias("norm")).agg(F.count("*").alias("n")))
 
 
@@ -287,8 +287,8 @@ SELECT doc_id, first_page + head AS main_first, pos_at + head - 1 AS main_last,
   after + head AS after_line, appendix + head AS appendix_line FROM heads""")
 def document_index(t: Tables):
     made = X.listing_lines(X.items(X.paragraphs(F.col("lines"))))
-    docs = fx.documents(t).select("doc_id", made.alias("listing")).filter(F.size("listing") > 0)
-    return docs.select("doc_id", X.document_index(F.col("listing")).alias("ix")).select("doc_id", "ix.*")
+    docs = once(fx.documents(t), listing=made).filter(F.size("listing") > 0)
+    return once(docs, ix=X.document_index(F.col("listing"))).select("doc_id", "ix.*")
 
 
 DOC_LINES = """doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
