@@ -157,7 +157,7 @@ def annotations(t: Tables) -> DataFrame:
                .when(o % 6 == 3, F.concat(F.lit("see ["), st(s % 9), F.lit("] → next")))
                .otherwise(F.concat(F.lit("plain note "), st(p % 13), F.lit(" on x^2"))))
     added = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.concat(F.lit("A"), F.concat_ws("-", st(o), st(n), st(p), st(s))).alias("key"), p.alias("parent"),
         (o * 1000000 + n * 100000 + s).alias("ord"),
         F.when(F.col("l_returnflag") == "R", "highlight").when(F.col("l_returnflag") == "A", "text")
@@ -195,13 +195,13 @@ def _log_text() -> str:
     return LOG_BODY + LOG_REPLAYS.format(body=LOG_BODY)
 
 
-LOG_SQL = "log AS (" + _log_text().replace("concat(", "concat(") + ")"
+LOG_SQL = "log AS (" + _log_text() + ")"
 
 
 def both(t: Tables, sql: str, *tables: str) -> DataFrame:
     """A derivation whose text runs in both engines."""
     for name in tables:
-        getattr(t, name).createOrReplaceTempView(f"annolytics_{name}")
+        spread(getattr(t, name)).createOrReplaceTempView(f"annolytics_{name}")
         sql = sql.replace(f"FROM {name} ", f"FROM annolytics_{name} ").replace(f"FROM {name})", f"FROM annolytics_{name})")
     return t.spark.sql(sql)
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..operators import logs as G
 from ..session import checkpoint_dir
 
+FIELDS = G.FIELDS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,27 +67,27 @@ class CounterDeltas(StatefulProcessor):
     order of their event, so that an old total sent again does not look like a reset."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField(f, LongType()) for f in (*G.FIELDS, "ord")])
+        schema = StructType([StructField(f, LongType()) for f in (*FIELDS, "ord")])
         self.last = handle.getValueState("last", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ord")
         state = self.last.get() if self.last.exists() else None
-        prev, at = (dict(zip(G.FIELDS, state[:3])), state[3]) if state else (None, -1)
+        prev, at = (dict(zip(FIELDS, state[:3])), state[3]) if state else (None, -1)
         made = []
         for r in batch.itertuples(index=False):
             if r.ord <= at:
                 continue
-            total = {f: int(getattr(r, f"total_{f}")) for f in G.FIELDS}
-            begins = prev is None or any(total[f] < prev[f] for f in G.FIELDS)
-            delta = {f: int(getattr(r, f"last_{f}")) if begins else total[f] - prev[f] for f in G.FIELDS}
+            total = {f: int(getattr(r, f"total_{f}")) for f in FIELDS}
+            begins = prev is None or any(total[f] < prev[f] for f in FIELDS)
+            delta = {f: int(getattr(r, f"last_{f}")) if begins else total[f] - prev[f] for f in FIELDS}
             same = not begins and total["input"] == prev["input"]
             prev, at = total, int(r.ord)
             if any(delta.values()):
                 made.append((str(key[0]), at, *delta.values(), int(same)))
         if prev is not None:
-            self.last.update((*[prev[f] for f in G.FIELDS], at))
-        yield pd.DataFrame(made, columns=["session", "ord", *G.FIELDS, "same_call"])
+            self.last.update((*[prev[f] for f in FIELDS], at))
+        yield pd.DataFrame(made, columns=["session", "ord", *FIELDS, "same_call"])
 
     def close(self) -> None:
         pass
