@@ -20,7 +20,9 @@ STAR_ROUNDS = 2
 CHECK_COST = 50.0  # of a verification, in postings read
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1F123BB5) for k in range(64)]
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 300_000
+LANES = 8  # of 64 bits, in a signature
+ROW = ["token", "id", "n", "at", "before", "matches", *(f"s{i}" for i in range(LANES))]
 
 
 class Shingler:
@@ -56,6 +58,13 @@ def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of tokens, whether an odd number of the set is in it: two sets differ in at least as many
+    tokens as their signatures do in bits."""
+    odd = np.bincount((tokens & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def need(n, percent: int):
     """The smallest number of shared tokens that a set of size n needs to be similar to any set."""
     return -(-n * percent // 100)
@@ -97,7 +106,7 @@ def _counted(n: int, percent: int):
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray, most: int):
-    """(set_key, n, prefix) of each text: the first tokens of its set in the global order, which puts hot tokens last, the
+    """(set_key, n, signature, prefix) of each text: the first tokens of its set in the global order, which puts hot tokens last, the
     hottest at the end, and sorts all others by hash. Enough of them for ``most`` matches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,14 +123,15 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray, most: int
                 seen.add(key)
                 size = len(tokens)
                 want = min(size, size - need(size, percent) + most)
+                bits = signature(tokens)
                 if len(hot):
                     at = np.searchsorted(hot, tokens)
                     at[at == len(hot)] = 0
                     known = hot[at] == tokens
                     rest = tokens[known]
                     tokens = np.concatenate([tokens[~known], rest[np.argsort(rank[at[known]])]])
-                rows.append((key, size, tokens[:want].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["set_key", "n", "prefix"])
+                rows.append((key, size, bits, tokens[:want].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["set_key", "n", "signature", "prefix"])
 
     return run
 
@@ -169,7 +179,7 @@ class JaccardJoin:
         self.classes = self._links()
 
     def _prefix(self, seen: DataFrame) -> None:
-        """``tokens``: (token, id, n, at, before, matches) for each token of an adaptive prefix that other sets have in theirs; ``before``
+        """``tokens``: a row (see ``ROW``) for each token of an adaptive prefix that other sets have in theirs; ``before``
         counts such tokens at earlier places."""
         hot = (seen.where("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= HOT_DOCS)
                .orderBy(F.col("docs").desc(), "token").limit(HOT_TOKENS).toPandas())
@@ -179,10 +189,10 @@ class JaccardJoin:
         place = np.empty(len(values), np.int64)
         place[rank] = np.arange(len(values))
         prefixes = (self.docs.select("text").mapInPandas(_prefixes(self.n, self.percent, values[order], place[order], self.most),
-                                                         "set_key binary, n long, prefix array<long>")
-                    .groupBy("set_key").agg(F.first("prefix").alias("prefix")))
-        whole = prefixes.join(self.sets.select("set_key", "id", "n"), "set_key").select("id", "n", F.posexplode("prefix").alias("at", "token"))
-        whole = stored(whole, f"{self.folder}/prefixes")
+                                                         "set_key binary, n long, signature array<long>, prefix array<long>")
+                    .groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("prefix").alias("prefix")))
+        packed = stored(prefixes.join(self.sets.select("set_key", "id", "n"), "set_key").select("id", "n", "signature", "prefix"), f"{self.folder}/prefixes")
+        whole = packed.select("id", "n", F.posexplode("prefix").alias("at", "token"))
         counts = whole.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
         common = whole.join(counts, "token")
         base = F.col("n") - F.expr(f"(n * {self.percent} + 99) div 100")
@@ -195,7 +205,8 @@ class JaccardJoin:
                   .select("id", F.array_min(F.filter(options, lambda x: x.isNotNull()))["k"].alias("matches")))
         placed = common.withColumn("before", F.row_number().over(W.partitionBy("id").orderBy("at")) - 1)
         kept = placed.join(chosen, "id").where(F.col("at") < base + F.col("matches"))
-        self.tokens = stored(kept.select("token", "id", "n", "at", "before", "matches"), f"{self.folder}/tokens")
+        bits = packed.select("id", *[F.element_at("signature", i + 1).alias(f"s{i}") for i in range(LANES)])
+        self.tokens = stored(kept.join(bits, "id").select(*ROW), f"{self.folder}/tokens")
         drop_folder(self.spark, f"{self.folder}/prefixes")
 
     def _similar_at_most(self, top: Column, n: Column, m: Column) -> Column:
@@ -203,9 +214,13 @@ class JaccardJoin:
 
     def _possible(self) -> Column:
         """Whether the sets of rows a and b, which share this token, can be similar. What they share before it stands in both
-        prefixes, so it is among the tokens there that more than one set has; what they share after it is in both rests."""
+        prefixes, so it is among the tokens there that more than one set has; what they share after it is in both rests. And
+        they differ in as many tokens at least as their signatures differ in bits."""
         c = F.col
-        return self._similar_at_most(F.least(c("a.before"), c("b.before")) + F.least(c("a.n") - c("a.at"), c("b.n") - c("b.at")), c("a.n"), c("b.n"))
+        by_place = F.least(c("a.before"), c("b.before")) + F.least(c("a.n") - c("a.at"), c("b.n") - c("b.at"))
+        differing = [F.bit_count(c(f"a.s{i}").bitwiseXOR(c(f"b.s{i}"))) for i in range(LANES)]
+        by_bits = F.shiftright(c("a.n") + c("b.n") - sum(differing[1:], differing[0]), 1)
+        return self._similar_at_most(F.least(by_place, by_bits), c("a.n"), c("b.n"))
 
     def _candidates(self, incidences: DataFrame) -> DataFrame:
         """Pairs (u, v) of joined rows a and b that share as many prefix tokens as the shorter prefix asks for, and are not too
@@ -243,7 +258,7 @@ class JaccardJoin:
         for k in range(self.star_rounds):
             rows = self._open(stars, k)
             order = F.struct(F.col("at") - F.col("before"), F.xxhash64(F.lit(k), "id") if k else F.lit(0).cast("long"), "id")
-            centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "at", "before", "matches", "root")).alias("c")).select("token", "c.*")
+            centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), *ROW[1:], "root")).alias("c")).select("token", "c.*")
             met = rows.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & self._possible())
             found = self._similar(self._candidates(met), f"star{k}")
             stars = self._joined(stars, found)
@@ -287,7 +302,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Method: all tokens have one global order, those that many sets share last. Two similar sets share k tokens of their first
     n - ceil(percent * n) + k; each set chooses its own k by the postings that its longer prefix costs and the verifications that
     asking for more matches saves. A pair is a candidate if it shares as many prefix tokens as the smaller k of the two. Bounds
-    by size, place and tokens that no other prefix has are part of the join; what passes is verified on the whole texts.
+    by size, place, tokens that no other prefix has and 512-bit signatures are part of the join's condition, and lose
+    no link; what passes is verified on the whole texts.
 
     Equal sets are one class throughout, so that copies are never paired; large groups of near copies are joined over
     centres, and only pairs between components are looked at by the exact last round, see ``_links``.
