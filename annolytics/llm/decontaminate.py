@@ -1,7 +1,6 @@
 """Benchmark passages in training texts, by spaced seeds that tolerate substituted words."""
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +15,27 @@ MASKS = ("1110111", "11011011", "1101010111")
 MIN_ITEM, MIN_OVERLAP, MIN_AGREE = 6, 13, 0.75
 BLOOM_BITS = 1 << 24
 CONTEXT = 64
-TOKEN = re.compile(r"[^\W_]+")
-KEEP_WORDS = 1_000_000
+TOKENS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+KEEP_WORDS, CHUNK_WORDS = 300_000, 400_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 class Hasher:
-    """Words of a text as 64-bit hashes."""
+    """Words of a text as 64-bit hashes: runs of ASCII letters and digits and of other characters beyond ASCII, lower-cased."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.memo: dict[bytes, int] = {}
 
-    def _hash(self, word: str) -> int:
+    def _hash(self, word: bytes) -> int:
         import xxhash
         if len(self.memo) > KEEP_WORDS:
             self.memo.clear()
-        h = self.memo[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self.memo[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
     def words(self, text: str) -> np.ndarray:
         memo, hashed = self.memo, self._hash
-        return np.array([memo.get(w) or hashed(w) for w in TOKEN.findall(text.lower())], dtype=np.uint64)
+        return np.array([memo.get(w) or hashed(w) for w in text.lower().encode("utf-8", "surrogatepass").translate(TOKENS).split()], dtype=np.uint64)
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -58,10 +57,12 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for slot in _slots(h):
-        out &= ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-    return out
+    """The places of hashes that the filter has."""
+    left = np.arange(len(h))
+    for shift in (0, 20, 40):
+        slot = ((h[left] >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+        left = left[((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)]
+    return left
 
 
 def item_seeds(n: int, masks: tuple[str, ...]) -> list[str]:
@@ -97,29 +98,57 @@ def _filter_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"at": at.astype(np.int64), "bits": bits[at].astype(np.int32)})
 
 
+def _hits(bits: np.ndarray, masks: tuple[str, ...], texts: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """(place, seed) of the windows of each text that the filter has, in order. The texts are laid end to end and hashed at
+    once; windows over an end are dropped."""
+    ends = np.cumsum([len(t) for t in texts])
+    words = np.concatenate(texts)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for mask in masks:
+        h = seeds(words, mask)
+        at = _maybe(bits, h)
+        text = np.searchsorted(ends, at, side="right")
+        inside = at + len(mask) <= ends[text]
+        for p, t, x in zip(at[inside], text[inside], h[at[inside]].view(np.int64)):
+            out[t].append((int(p - ends[t]) + len(texts[t]), int(x)))
+    for found in out:
+        found.sort()
+    return out
+
+
 def _regions(bits: np.ndarray, masks: tuple[str, ...]):
     """Places of texts that hit the filter, close ones together in one region with the words around."""
 
+    def grouped(doc_id, key, words: np.ndarray, found: list[tuple[int, int]]) -> Iterator[tuple]:
+        group: list[tuple[int, int]] = []
+        for hit in [*found, None]:
+            if group and (hit is None or hit[0] - group[-1][0] > CONTEXT or len(group) >= 4096):
+                start = max(0, group[0][0] - CONTEXT)
+                yield doc_id, key, start, words[start:group[-1][0] + CONTEXT].view(np.int64), [p - start for p, _ in group], [x for _, x in group]
+                group = []
+            if hit:
+                group.append(hit)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for batch in batches:
-            rows = []
+            rows, waiting, held = [], [], 0
+
+            def flush():
+                for (doc_id, key, words), found in zip(waiting, _hits(bits, masks, [w for *_, w in waiting])):
+                    if found:
+                        rows.extend(grouped(doc_id, key, words, found))
+
             for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 words = hasher.words(text)
-                found = []
-                for mask in masks:
-                    h = seeds(words, mask)
-                    found.extend((int(p), int(x)) for p, x in zip(*(lambda at: (at, h[at].view(np.int64)))(np.nonzero(_maybe(bits, h))[0])))
-                found.sort()
-                group: list[tuple[int, int]] = []
-                for hit in [*found, None]:
-                    if group and (hit is None or hit[0] - group[-1][0] > CONTEXT or len(group) >= 4096):
-                        start = max(0, group[0][0] - CONTEXT)
-                        rows.append((doc_id, key, start, words[start:group[-1][0] + CONTEXT].view(np.int64),
-                                     [p - start for p, _ in group], [x for _, x in group]))
-                        group = []
-                    if hit:
-                        group.append(hit)
+                if len(words):
+                    waiting.append((doc_id, key, words))
+                    held += len(words)
+                if held > CHUNK_WORDS:
+                    flush()
+                    waiting, held = [], 0
+            if waiting:
+                flush()
             yield pd.DataFrame(rows, columns=["doc_id", "key", "start", "words", "at", "seed"]).astype({"doc_id": "Int64"})
 
     return run
@@ -161,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
                min_overlap: int = MIN_OVERLAP, min_agree: float = MIN_AGREE) -> DataFrame:
     """(doc_id, key, item_id, first_word, n_words, n_same, coverage): the longest overlap of a document's text with a benchmark item.
 
-    ``docs``: (doc_id, text), ``benchmark``: (item_id, text). Words are runs of letters and digits, lower-cased. Masks select words
+    ``docs``: (doc_id, text), ``benchmark``: (item_id, text). Words are those of ``Hasher``. Masks select words
     of every window of both sides, so that substituted words in the gaps do not matter; equal selections are hits. Around a hit the texts
     are compared word by word on that alignment; an overlap counts from ``min_overlap`` words (or the whole of a shorter item) of
     which ``min_agree`` agree. first_word counts the text's words from 0, coverage is the share of the item's words found.

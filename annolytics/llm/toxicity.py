@@ -51,15 +51,12 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def score(self, words: set[str], memo: dict[str, tuple]) -> float:
-        found = set()
-        for word in words:
-            hit = memo.get(word)
-            if hit is None:
-                if len(memo) > 500_000:
-                    memo.clear()
-                hit = memo[word] = tuple(f for f in features(word) if f in self.weights)
-            found.update(hit)
+    def starts(self) -> frozenset[str]:
+        """The first letters of words that have a weight."""
+        return frozenset(f.rstrip("$")[:SHORT] for f in self.weights)
+
+    def score(self, words: set[str], starts: frozenset[str]) -> float:
+        found = {f for word in words if word[:SHORT] in starts for f in features(word) if f in self.weights}
         z = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
@@ -162,8 +159,8 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Dat
 
     A null or empty text scores as the bias says. Input columns of these two names are replaced. No documents: no rows."""
     def scored(texts: pd.Series) -> pd.Series:
-        memo: dict[str, tuple] = {}
-        return pd.Series([model.score(words_of(t), memo) for t in texts], dtype=float)
+        starts = model.starts()
+        return pd.Series([model.score(words_of(t), starts) for t in texts], dtype=float)
 
     columns = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     out = docs.select(*[F.col(f"`{c}`") for c in columns], F.pandas_udf(scored, "double")(text_of("text")).alias("score"))
