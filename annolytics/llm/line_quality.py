@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, text_of
+from .common import scratch, stored, text_key, text_of
+from .url_filter import possible_hits
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -109,33 +110,41 @@ def judge(docs: DataFrame, *, max_docs: int = MAX_DOCS, min_left: float = MIN_LE
 
     Only hashes are shuffled to find the frequent lines, each distinct (source, text, line) once; counts are combined before the
     shuffle, so a line that a third of all documents hold is one sum per task. The way back joins on salted keys: the frequent
-    lines, at most one in ``max_docs`` of all, are repeated per salt.
+    lines, at most one in ``max_docs`` of all, are repeated per salt. Texts that hold such a line pass a Bloom filter of bounded
+    size to the join with their lines; all others are never moved.
     """
     outputs = [*MEASURES, "n_left", "base_failed", "kept"]
     columns = [c for c in (carry or docs.columns) if c.lower() not in outputs]
     needed = list(dict.fromkeys([*columns, *(["text"] if clean else [])]))
     source, text = F.col("source").cast("string").alias("source"), text_of("text")
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in needed]).alias("row"), source, text_key(text).alias("key"),
-                       F.pandas_udf(_measured, MEASURED)(text).alias("m"))
-
-    lines = (docs.select(source, text_key(text).alias("key"), text.alias("text")).mapInPandas(_lines, LINES)
+    key = text_key(F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), F.lit("\n"), text)).alias("key")
+    lines = (docs.select(source, key, text.alias("text")).mapInPandas(_lines, LINES)
              .groupBy("source", "key", "line").agg(F.max("words").alias("words")))
     hot = (frequent_lines(lines, max_docs).drop("n_docs")
            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     h, s = hot.alias("h"), salted.alias("s")
-    gone = (s.join(h, (F.col("s.line") == F.col("h.line")) & F.col("s.source").eqNullSafe(F.col("h.source"))
-                   & (F.col("s.salt") == F.col("h.salt")))
-            .groupBy("s.source", "s.key").agg(F.sum("s.words").alias("gone_words"), *([F.collect_list("s.line").alias("gone")] if clean else [])))
-
-    b, g = base.alias("b"), gone.alias("g")
-    m = lambda c: F.col(f"b.m.{c}")
-    left = m("n_words") - F.coalesce(F.col("g.gone_words"), F.lit(0))
-    failed = (m("n_words") < min_words) | (100 * m("n_repeat_words") > max_repeated * m("n_words"))
-    kept = ~failed & (left >= min_words) & (left >= F.lit(min_left) * m("n_words"))
-    out = b.join(g, (F.col("b.key") == F.col("g.key")) & F.col("b.source").eqNullSafe(F.col("g.source")), "left").select(
-        "b.row", *[m(c).alias(c) for c in MEASURES], left.alias("n_left"), failed.alias("base_failed"), kept.alias("kept"),
+    gone = stored(s.join(h, (F.col("s.line") == F.col("h.line")) & F.col("s.source").eqNullSafe(F.col("h.source"))
+                         & (F.col("s.salt") == F.col("h.salt")))
+                  .groupBy("s.key").agg(F.sum("s.words").alias("gone_words"), F.collect_list("s.line").alias("gone")), scratch(docs.sparkSession, "lines"))
+
+    rows = possible_hits(docs.select(F.struct(*[F.col(f"`{c}`") for c in needed]).alias("row"), key, text.alias("text")), gone.select("key"))
+
+    def measured(part: DataFrame) -> DataFrame:
+        return part.select("row", "key", F.pandas_udf(_measured, MEASURED)("text").alias("m"))
+
+    b, g = measured(rows.where("possible")).alias("b"), gone.alias("g")
+    touched = b.join(g, F.col("b.key") == F.col("g.key"), "left").select(
+        "b.row", "b.m", F.coalesce("g.gone_words", F.lit(0)).alias("gone_words"),
         *([F.pandas_udf(_cleaned, "string")(text_of("b.row.text"), F.col("g.gone")).alias("cleaned")] if clean else []))
+    plain = measured(rows.where("not possible")).select(
+        "row", "m", F.lit(0).cast("long").alias("gone_words"), *([text_of("row.text").alias("cleaned")] if clean else []))
+    both = touched.unionByName(plain)
+    left = F.col("m.n_words") - F.col("gone_words")
+    failed = (F.col("m.n_words") < min_words) | (100 * F.col("m.n_repeat_words") > max_repeated * F.col("m.n_words"))
+    kept = ~failed & (left >= min_words) & (left >= F.lit(min_left) * F.col("m.n_words"))
+    out = both.select("row", *[F.col(f"m.{c}").alias(c) for c in MEASURES], left.alias("n_left"), failed.alias("base_failed"), kept.alias("kept"),
+                      *(["cleaned"] if clean else []))
     fields = []
     for c in columns:
         if clean and c.lower() == "text":
