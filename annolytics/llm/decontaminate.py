@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_of
+from .common import lean, scratch, stored, text_of
 
 # The masks; a 1 is a word that must agree
 MASKS = ("1110111", "11011011", "1101010111")
@@ -16,7 +16,7 @@ MIN_ITEM, MIN_OVERLAP, MIN_AGREE = 6, 13, 0.75
 BLOOM_BITS = 1 << 24
 CONTEXT = 64
 TOKENS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-KEEP_WORDS, CHUNK_WORDS = 300_000, 400_000
+KEEP_WORDS, CHUNK_WORDS = 150_000, 300_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -205,22 +205,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
     spark = docs.sparkSession
     folder = scratch(spark, "leaks")
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text")).distinct()
-                   .mapInPandas(_item_rows(masks, min_item), "item_id long, words array<long>, mask string, seed long, item_at int"), f"{folder}/items")
+                   .mapInPandas(lean(_item_rows(masks, min_item)), "item_id long, words array<long>, mask string, seed long, item_at int"), f"{folder}/items")
     used = tuple(sorted(r["mask"] for r in items.select("mask").distinct().collect()))  # the masks, and runs shorter than they
-    parts = items.select("mask", "seed").mapInPandas(_filter_bits, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    parts = items.select("mask", "seed").mapInPandas(lean(_filter_bits), "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(BLOOM_BITS >> 3, np.uint8)
     bits[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.uint8)
 
     text = text_of("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    regions = stored(rows.mapInPandas(_regions(bits, used), "doc_id long, key binary, start int, words array<long>, at array<int>, seed array<long>")
+    regions = stored(rows.mapInPandas(lean(_regions(bits, used)), "doc_id long, key binary, start int, words array<long>, at array<int>, seed array<long>")
                      .withColumn("region", F.monotonically_increasing_id()), f"{folder}/regions")
     hits = regions.select("region", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("region", "h.at", "h.seed")
     alignments = (hits.join(items.select("seed", "item_id", "item_at", F.col("words").alias("item")), "seed")
                   .groupBy("region", "item_id", "item", (F.col("at") - F.col("item_at")).alias("shift"))
                   .agg(F.min(F.struct("at", "item_at")).alias("h")).select("region", "item_id", "item", "h.at", "h.item_at"))
     found = (alignments.join(regions.select("region", "doc_id", "key", "start", "words"), "region")
-             .mapInPandas(_checked(min_overlap, min_agree), "doc_id long, key binary, item_id long, first_word int, n_words int, n_same int, coverage double"))
+             .mapInPandas(lean(_checked(min_overlap, min_agree)), "doc_id long, key binary, item_id long, first_word int, n_words int, n_same int, coverage double"))
     best = F.max_by(F.struct("first_word", "n_words", "n_same", "coverage"), F.struct("n_same", "coverage", -F.col("first_word")))
     return found.groupBy("doc_id", "key", "item_id").agg(best.alias("b")).select("doc_id", "key", "item_id", "b.*")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, drop_folder, scratch, stored, text_key, text_of
+from .common import BLANKS, drop_folder, lean, scratch, stored, text_key, text_of
 from .components import components
 from .url_filter import possible_hits
 
@@ -20,7 +20,7 @@ STAR_ROUNDS = 2
 CHECK_COST = 50.0  # of a verification, in postings read
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1F123BB5) for k in range(64)]
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 LANES = 8  # of 64 bits, in a signature
 ROW = ["token", "id", "n", "at", "before", "matches", *(f"s{i}" for i in range(LANES))]
 
@@ -97,7 +97,7 @@ def _counted(n: int, percent: int):
                     held += len(low)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "set_key": keys, "n": sizes,
                                 "token": pd.array([None] * len(keys), dtype="Int64"), "docs": 0})
-            if held > 8_000_000:
+            if held > 3_000_000:
                 yield shared()
                 waiting, held, seen = [], 0, set()
         yield shared()
@@ -169,7 +169,7 @@ class JaccardJoin:
         self.folder = scratch(self.spark, "jaccard")
         text = text_of("text")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-        seen = stored(self.docs.mapInPandas(_counted(n, percent), "doc_id long, key binary, set_key binary, n long, token long, docs long"),
+        seen = stored(self.docs.mapInPandas(lean(_counted(n, percent)), "doc_id long, key binary, set_key binary, n long, token long, docs long"),
                       f"{self.folder}/seen")
         self.rows = seen.where("set_key is not null").select("doc_id", "key", "set_key", "n")
         # one row per distinct set: its id in this run, the text that stands for it, its smallest doc_id
@@ -188,7 +188,7 @@ class JaccardJoin:
         rank = np.lexsort((values, hot["docs"].to_numpy(np.int64)))
         place = np.empty(len(values), np.int64)
         place[rank] = np.arange(len(values))
-        prefixes = (self.docs.select("text").mapInPandas(_prefixes(self.n, self.percent, values[order], place[order], self.most),
+        prefixes = (self.docs.select("text").mapInPandas(lean(_prefixes(self.n, self.percent, values[order], place[order], self.most)),
                                                          "set_key binary, n long, signature array<long>, prefix array<long>")
                     .groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("prefix").alias("prefix")))
         packed = stored(prefixes.join(self.sets.select("set_key", "id", "n"), "set_key").select("id", "n", "signature", "prefix"), f"{self.folder}/prefixes")
@@ -243,7 +243,7 @@ class JaccardJoin:
         texts = stored(texts, f"{self.folder}/{name}-texts")
         left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("left")), "u")
         both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("right")), "v")
-        links = stored(both.select("u", "v", "left", "right").mapInPandas(_verified(self.n, self.percent), "u long, v long"), f"{self.folder}/{name}-links")
+        links = stored(both.select("u", "v", "left", "right").mapInPandas(lean(_verified(self.n, self.percent)), "u long, v long"), f"{self.folder}/{name}-links")
         drop_folder(self.spark, f"{self.folder}/{name}-texts")
         return links
 

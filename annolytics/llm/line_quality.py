@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_key, text_of
+from .common import lean, scratch, stored, text_key, text_of
 from .url_filter import possible_hits
 
 SYMBOLS = b"#*$%&|<>"
@@ -118,7 +118,7 @@ def judge(docs: DataFrame, *, max_docs: int = MAX_DOCS, min_left: float = MIN_LE
     needed = list(dict.fromkeys([*columns, *(["text"] if clean else [])]))
     source, text = F.col("source").cast("string").alias("source"), text_of("text")
     key = text_key(F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), F.lit("\n"), text)).alias("key")
-    lines = (docs.select(source, key, text.alias("text")).mapInPandas(_lines, LINES)
+    lines = (docs.select(source, key, text.alias("text")).mapInPandas(lean(_lines), LINES)
              .groupBy("source", "key", "line").agg(F.max("words").alias("words")))
     hot = (frequent_lines(lines, max_docs).drop("n_docs")
            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import lean, text_of
 
 ROWS = "digest string, n_tokens long"
 CACHE = "version string, digest string, n_tokens long"
@@ -63,7 +63,7 @@ def encode_misses(docs: DataFrame, cache: str, model: str, normal: Callable[[Col
         for batch in batches:
             yield pd.DataFrame({"digest": batch["digest"], "n_tokens": [count(t) for t in batch["text"]]})
 
-    counted = misses.mapInPandas(encode, ROWS).select(F.lit(version).alias("version"), "digest", "n_tokens")
+    counted = misses.mapInPandas(lean(encode), ROWS).select(F.lit(version).alias("version"), "digest", "n_tokens")
     counted.write.mode("append").partitionBy("version").parquet(cache)
     return version
 

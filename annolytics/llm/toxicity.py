@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_of
+from .common import lean, scratch, stored, text_of
 
 MAX_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 8_000, 1_500, 3, 4.0
 RIDGE, STEADY, STEPS = 1e-4, 1.0, 400
@@ -78,7 +78,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"]):
             counts[int(label > 0)].update({f for w in words_of(text) for f in features(w)})
-            if len(counts[0]) + len(counts[1]) > 1_000_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield frame()
                 counts = (Counter(), Counter())
     yield frame()
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_f
         return Model({}, math.log(base / (1 - base)))
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(n0 + n1))
     z = (F.col("toxic") / F.lit(float(n1)) - F.col("clean") / F.lit(float(n0))) / F.sqrt(share * (F.lit(1.0 + 1e-9) - share) * F.lit(1 / n1 + 1 / n0))
-    counted = sample.mapInPandas(_counted, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInPandas(lean(_counted), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     chosen = (counted.where(F.col("clean") + F.col("toxic") >= min_docs).withColumn("z", z).where(F.abs("z") >= min_z)
               .orderBy(F.abs("z").desc(), "feature").limit(max_features).select("feature").collect())
     place = {f: i for i, f in enumerate(sorted(r["feature"] for r in chosen))}
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_f
                         rows.append((-1, encoded(sentence), encoded(other)))
             yield pd.DataFrame(rows, columns=["label", "here", "there"])
 
-    rows = sample.mapInPandas(encode, "label int, here array<int>, there array<int>").collect()
+    rows = sample.mapInPandas(lean(encode), "label int, here array<int>, there array<int>").collect()
     whole = [r for r in rows if r["label"] >= 0]
     whole.sort(key=lambda r: (r["label"], r["here"]))  # the sum of gradients does not depend on the order of tasks
     x = [np.array(r["here"], dtype=int) for r in whole]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_of
+from .common import lean, scratch, stored, text_of
 
 SKIPPABLE = 0x184D2A5D  # the magic number of a leading frame that holds a dictionary
 MANIFEST = "archive string, n_records long, raw_bytes long, stored_bytes long, dictionary_bytes long"
@@ -137,7 +137,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, date: str = "
             done.append(archive.close())
         yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    return stored(marked.mapInPandas(write, MANIFEST), f"{folder}/manifest")
+    return stored(marked.mapInPandas(lean(write), MANIFEST), f"{folder}/manifest")
 
 
 def _parse(stream, archive: str) -> Iterator[tuple]:
@@ -199,4 +199,4 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         out = pd.DataFrame(rows, columns=columns)
         return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    return manifest.select("archive").repartition(max(1, manifest.count())).mapInPandas(read, RECORDS)
+    return manifest.select("archive").repartition(max(1, manifest.count())).mapInPandas(lean(read), RECORDS)
