@@ -62,7 +62,6 @@ def is_mark(kind: str | Column = "type") -> Column:
 
 
 def sort_key(page, offset, top) -> Column:
-    """``page|offset|top`` with fixed widths; the offset stops at six digits."""
-    return F.concat_ws("|", F.lpad(col(page).cast("string"), 5, "0"),
-                       F.lpad(F.least(col(offset), F.lit(999999)).cast("string"), 6, "0"),
-                       F.lpad(col(top).cast("string"), 5, "0"))
+    """``page|offset|top`` filled up to 5, 6 and 5 digits, longer ones whole; the offset stops at six digits."""
+    parts = [c.cast("long") for c in (col(page), F.least(col(offset), F.lit(999999)), col(top))]
+    return F.format_string("%05d|%06d|%05d", *parts)

@@ -18,7 +18,6 @@ from ..functions.text import let
 from .ordered import once
 from .text import fields
 
-MAX_SPAN = 1200
 MIN_ANCHOR = 8
 SNAP_RATIO, SENTENCE_RATIO = 0.95, 0.9
 
@@ -85,17 +84,17 @@ def match_phrases(intents: DataFrame, index: DataFrame) -> DataFrame:
                               "ambiguous": (F.col("matches") > 1) & F.col("occurrence").isNull()}).drop("words", "text")
 
 
-def find_spans(text: Column, a: Column, b: Column, max_span: int = MAX_SPAN) -> Column:
-    """Every occurrence of ``a`` with the next ``b`` after it, at most ``max_span`` long, as distinct ``start, stop``."""
+def find_spans(text: Column, a: Column, b: Column, max_span: int | None = None) -> Column:
+    """Every occurrence of ``a`` with the next ``b`` after it, at most ``max_span`` long if that is given, as distinct ``start, stop``."""
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(a) + 1, F.lit(1))),
                       lambda i: F.substring(text, i, F.length(a)) == a)
     spans = F.transform(starts, lambda i: let(F.call_function("locate", b, text, i + F.length(a)),
                                               lambda j: F.struct((i - 1).alias("start"), (j - 1 + F.length(b)).alias("stop"), (j > 0).alias("ok"))))
-    good = F.filter(spans, lambda s: s["ok"] & (s["stop"] - s["start"] <= max_span))
+    good = F.filter(spans, lambda s: s["ok"] & (s["stop"] - s["start"] <= max_span) if max_span else s["ok"])
     return F.array_sort(F.array_distinct(F.transform(good, lambda s: F.struct(*fields(s, "start", "stop")))))
 
 
-def match_spans(intents: DataFrame, index: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
+def match_spans(intents: DataFrame, index: DataFrame, max_span: int | None = None) -> DataFrame:
     """Intents (``doc_id, page, first, last, occurrence``) with the one span from ``first`` to ``last``, or why there is none."""
     rows = (intents.withColumns({"a": T.norm_key("first"), "b": T.norm_key("last")}).join(index.drop("words"), ["doc_id", "page"]))
     rows = once(rows, spans=find_spans(F.col("text"), F.col("a"), F.col("b"), max_span))
@@ -137,7 +136,7 @@ def closest_passages(intents: DataFrame, index: DataFrame, key_columns: list[str
               .withColumns({"own_page": F.col("page"), "page": F.col("page") + F.col("step")}))
     met = probes.join(index, ["doc_id", "page"]).withColumn("w", closest_window("text", "key")).filter("w.ratio > 0")
     hit = words_in(F.col("words"), F.col("w.start"), F.col("w.start") + F.length("key"))
-    best = F.max_by(F.struct(F.col("page"), F.col("w.ratio").alias("ratio"), F.substring(words_text(hit), 1, 300).alias("closest")),
+    best = F.max_by(F.struct(F.col("page"), F.col("w.ratio").alias("ratio"), words_text(hit).alias("closest")),
                     F.struct(F.col("w.ratio"), -F.col("try")))
     return met.groupBy(*[F.col("own_page").alias("page") if c == "page" else F.col(c) for c in key_columns]).agg(best.alias("b")).select(
         *key_columns, F.col("b.page").alias("closest_page"), F.col("b.ratio").alias("similarity"), F.col("b.closest").alias("closest"))
@@ -173,8 +172,8 @@ def resolve_ids(intents: DataFrame, sents: DataFrame, keys: list[str]) -> DataFr
 def resolve_citations(answers: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
     """Citations ``[#id]`` of answers as chips: neighbours of one page are one chip, an unknown id stays text. ``answers`` has
     the keys, ``doc_id`` and ``text``."""
-    runs = answers.select(*keys, "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"((?:\[#\d{1,6}\]\s*)+)"), 1)).alias("run", "r"))
-    cited = runs.select(*keys, "doc_id", "run", F.posexplode(F.regexp_extract_all("r", F.lit(r"\[#(\d{1,6})\]"), 1)).alias("pos", "id"))
+    runs = answers.select(*keys, "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"((?:\[#\d{1,18}\]\s*)+)"), 1)).alias("run", "r"))
+    cited = runs.select(*keys, "doc_id", "run", F.posexplode(F.regexp_extract_all("r", F.lit(r"\[#(\d{1,18})\]"), 1)).alias("pos", "id"))
     cited = cited.withColumn("id", F.col("id").cast("long"))
     met = cited.join(sents.select("doc_id", "id", "page"), ["doc_id", "id"], "left")
     # a run is a few characters of one answer

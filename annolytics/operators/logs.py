@@ -36,15 +36,10 @@ def get(path: str, kind: str = "string", v: str | Column = "v") -> Column:
     return F.try_variant_get(T.col(v), f"$.{path}", kind)
 
 
-def sniff_dialect(lines: DataFrame, head_chars: int = 4000) -> DataFrame:
-    """The dialect of each file (``session``) from its first characters. A line can only matter when fewer than that many
-    characters stand before it, which leaves the first lines of each file."""
-    few = first_rows(lines.select("session", "ord", "raw"), ["session"], [F.col("ord")], head_chars)
-    before = F.coalesce(F.sum(F.length("raw") + 1).over(Window.partitionBy("session").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = few.withColumn("before", before).filter(F.col("before") < head_chars)
-    part = part.withColumn("head", F.substring("raw", F.lit(1), (F.lit(head_chars) - F.col("before")).cast("int")))
-    found = F.max(F.col("head").contains('"payload"') | F.col("head").contains('"session_meta"'))
-    return part.groupBy("session").agg(F.when(found, "counters").otherwise("messages").alias("dialect"))
+def sniff_dialect(lines: DataFrame) -> DataFrame:
+    """The dialect of each file (``session``) from any of its lines: one flag per line, combined before the shuffle."""
+    found = F.max(F.col("raw").contains('"payload"') | F.col("raw").contains('"session_meta"'))
+    return lines.groupBy("session").agg(F.when(found, "counters").otherwise("messages").alias("dialect"))
 
 
 def new_lines(lines: DataFrame, offsets: DataFrame) -> DataFrame:

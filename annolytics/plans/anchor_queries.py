@@ -47,7 +47,7 @@ begun AS (SELECT *, unnest(range(1, greatest(length(text) - length(a) + 1, 1) +
 ended AS (SELECT doc_id, page, i - 1 AS start, i + length(a) - 1 + strpos(substr(text, i + length(a)), b) - 1 + length(b) AS stop
   FROM begun WHERE substr(text, i, length(a)) = a AND strpos(substr(text, i + length(a)), b) > 0),
 spans AS (SELECT doc_id, page, count(*) AS n, min(start) AS start, arg_min(stop, start) AS stop
-  FROM (SELECT DISTINCT * FROM ended WHERE stop - start <= 1200) d GROUP BY doc_id, page),
+  FROM (SELECT DISTINCT * FROM ended) d GROUP BY doc_id, page),
 judged AS (SELECT k.doc_id, k.page, first, last, coalesce(n, 0) AS n_spans, start, stop,
   CASE WHEN length(a) < 8 OR length(b) < 8 THEN 'anchor too short' WHEN n IS NULL THEN 'not found'
        WHEN occurrence IS NULL AND n > 1 THEN 'several spans' END AS reason FROM span_keys k LEFT JOIN spans USING (doc_id, page))""", """
@@ -143,9 +143,9 @@ CITED = """cited AS (SELECT conv_id, turn, conv_id AS doc_id, text || ' [#' || (
 
 @query("c10_citations", *TO_SENTENCES, CITED, r"""runs AS (
 SELECT conv_id, turn, doc_id, unnest(range(len(l))) AS run, unnest(l) AS r FROM (
-  SELECT *, regexp_extract_all(text, '(?:\[#\d{1,6}\]\s*)+') AS l FROM cited) x),
+  SELECT *, regexp_extract_all(text, '(?:\[#\d{1,18}\]\s*)+') AS l FROM cited) x),
 ids AS (SELECT conv_id, turn, doc_id, run, unnest(range(len(l))) AS pos, CAST(unnest(l) AS BIGINT) AS id FROM (
-  SELECT *, regexp_extract_all(r, '\[#(\d{1,6})\]', 1) AS l FROM runs) x),
+  SELECT *, regexp_extract_all(r, '\[#(\d{1,18})\]', 1) AS l FROM runs) x),
 paged AS (SELECT i.*, s.page, lag(s.page) OVER (PARTITION BY conv_id, turn, run ORDER BY pos) AS p FROM ids i LEFT JOIN sentences s USING (doc_id, id)),
 chips AS (SELECT *, sum(CASE WHEN p = page THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn, run ORDER BY pos) AS chip FROM paged)""", """
 SELECT conv_id, turn, CAST(run AS INT) AS run, CAST(chip AS INT) AS chip, min(page) AS page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids

@@ -61,8 +61,8 @@ def earlier_text(t: Tables):
     return A.listed_as(rows.filter("NOT own").select(*keys, "key", "body"), listed, keys).filter("listed_key IS NOT NULL").select("key", "listed_key")
 
 
-@query("e13_core_count", ANNOTATIONS_SQL, """SELECT parent, n AS core FROM (SELECT parent, count(*) FILTER (lower(color) = '#ff6666') AS n FROM annotations
-  WHERE type IN ('highlight', 'underline') GROUP BY parent) c WHERE n < 3 OR n > 5""")
+@query("e13_core_count", ANNOTATIONS_SQL, """SELECT parent, n AS core FROM (SELECT parent, count(*) FILTER (lower(color) = '#ff6666' AND type IN ('highlight', 'underline')) AS n FROM annotations
+  GROUP BY parent) c WHERE n < 3 OR n > 5""")
 def core_count(t: Tables):
     return C.core_count(fx.annotations(t), 3, 5)
 
@@ -99,8 +99,9 @@ def configuration(t: Tables):
     return C.intent_findings(t.orders.select("o_orderkey", raw.alias("raw")), levels=("claim",))
 
 
-FINDINGS = """found AS (SELECT l_partkey % 200 AS parent, l_orderkey AS key, CASE l_suppkey % 8 WHEN 0 THEN 'overlap' WHEN 1 THEN 'core_count' WHEN 2 THEN 'user_edit' WHEN 3 THEN 'label' ELSE 'core_count' END AS kind
-  FROM lineitem WHERE l_linenumber < 3),
+FINDINGS = """docs AS (SELECT DISTINCT l_partkey % 220 AS parent FROM lineitem),
+found AS (SELECT l_partkey % 220 AS parent, l_orderkey AS key, CASE l_suppkey % 8 WHEN 0 THEN 'overlap' WHEN 1 THEN 'core_count' WHEN 2 THEN 'user_edit' WHEN 3 THEN 'label' ELSE 'core_count' END AS kind
+  FROM lineitem WHERE l_partkey % 220 < 200),
 accepted AS (SELECT DISTINCT parent, kind FROM found WHERE parent % 3 <> 0), confirmed AS (SELECT DISTINCT parent, kind, key FROM found WHERE kind = 'user_edit' AND (parent % 5 <> 1 OR key % 2 = 0)),
 open AS (SELECT parent, string_agg(DISTINCT kind, ',' ORDER BY kind) AS blocking, count(*) AS n FROM found f WHERE kind <> 'core_count' AND NOT EXISTS (SELECT 1 FROM accepted a WHERE a.parent = f.parent AND a.kind = f.kind) GROUP BY parent),
 unconf AS (SELECT parent, count(DISTINCT key) AS n FROM found f WHERE kind = 'user_edit' AND EXISTS (SELECT 1 FROM accepted a WHERE a.parent = f.parent AND a.kind = f.kind)
@@ -108,14 +109,15 @@ unconf AS (SELECT parent, count(DISTINCT key) AS n FROM found f WHERE kind = 'us
 
 
 @query("e16_gate", FINDINGS, """SELECT d.parent, coalesce(blocking, '') AS blocking, coalesce(o.n, 0) AS blocked_by, coalesce(u.n, 0) AS unconfirmed, o.n IS NULL AND u.n IS NULL AS passes
-FROM (SELECT DISTINCT parent FROM found) d LEFT JOIN open o USING (parent) LEFT JOIN unconf u USING (parent)""")
+FROM docs d LEFT JOIN open o USING (parent) LEFT JOIN unconf u USING (parent)""")
 def gate(t: Tables):
     s = F.col("l_suppkey") % 8
-    found = t.lineitem.filter("l_linenumber < 3").select((F.col("l_partkey") % 200).alias("parent"), F.col("l_orderkey").alias("key"), F.when(s == 0, "overlap").when(s == 2, "user_edit")
+    parent = (F.col("l_partkey") % 220).alias("parent")
+    found = t.lineitem.filter("l_partkey % 220 < 200").select(parent, F.col("l_orderkey").alias("key"), F.when(s == 0, "overlap").when(s == 2, "user_edit")
                                                          .when(s == 3, "label").otherwise("core_count").alias("kind"))
     accepted = found.filter("parent % 3 <> 0").select("parent", "kind").distinct()
     confirmed = found.filter("kind = 'user_edit' AND (parent % 5 <> 1 OR key % 2 = 0)").select("parent", "kind", "key").distinct()
-    return C.gate(found, accepted, confirmed, ["parent"])
+    return C.gate(t.lineitem.select(parent), found, accepted, confirmed, ["parent"])
 
 
 # --- translation fidelity -------------------------------------------------------------------------------------------------------

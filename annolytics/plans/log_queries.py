@@ -47,7 +47,7 @@ def tolerant_scan(t: Tables):
 
 
 @query("a02_dialects", LOG_SQL, """heads AS (SELECT session, string_agg(raw, chr(10) ORDER BY ord) AS file FROM log GROUP BY session)""",
-       """SELECT session, CASE WHEN contains(substr(file, 1, 4000), '"payload"') OR contains(substr(file, 1, 4000), '"session_meta"') THEN 'counters' ELSE 'messages' END AS dialect FROM heads""")
+       """SELECT session, CASE WHEN contains(file, '"payload"') OR contains(file, '"session_meta"') THEN 'counters' ELSE 'messages' END AS dialect FROM heads""")
 def dialects(t: Tables):
     return G.sniff_dialect(fx.log_lines(t))
 

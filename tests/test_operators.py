@@ -285,3 +285,28 @@ def test_results_do_not_depend_on_partitions(spark, name):
         results.append(spark_rows(load_queries()[name].build(Tables(spark, TABLES))))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_local_numbers_of_any_length(spark):
+    from annolytics.functions import numbers as N
+    long = "1" + ".234" * 40
+    rows = [(f"es sind {long},5 km", f"es sind {long.replace('.', '')}.5 km"), ("1,234,567 und 2,5", "1234567 und 2.5"), ("a1.234 b", "a1.234 b"),
+            ("12 345,6 3,4,5", "12345.6 345"), ("1.234.567,89", "1234567.89")]
+    got = spark.createDataFrame(rows, "s string, want string").select(N.local_numbers(F.col("s")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_sort_keys_are_not_cut(spark):
+    from annolytics.functions import rules as R
+    got = spark.createDataFrame([(123456, 7, 8), (12, 9_999_999, 1234567)], "p long, o long, t long").select(R.sort_key("p", "o", "t").alias("k")).collect()
+    assert [r.k for r in got] == ["123456|000007|00008", "00012|999999|1234567"]
+
+
+def test_documents_without_findings_or_marks_are_judged(spark):
+    from annolytics.operators import checks as C
+    docs = spark.createDataFrame([(1,), (2,)], "parent long")
+    found = spark.createDataFrame([(1, "overlap", 5)], "parent long, kind string, key long")
+    none = found.limit(0)
+    assert {(r.parent, r.blocking, r.passes) for r in C.gate(docs, found, none, none, ["parent"]).collect()} == {(1, "overlap", False), (2, "", True)}
+    marks = spark.createDataFrame([(1, "note", "#ff6666")], "parent long, type string, color string")
+    assert {(r.parent, r.core) for r in C.core_count(marks, 1, 5, documents=docs).collect()} == {(1, 0), (2, 0)}
