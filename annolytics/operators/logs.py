@@ -271,7 +271,7 @@ def _first_object(text: str) -> str | None:
     decoder, at = json.JSONDecoder(), text.find("{")
     while at >= 0:
         try:
-            found, _ = decoder.raw_decode(text[at:])
+            found, _ = decoder.raw_decode(text, at)
             return json.dumps(found, ensure_ascii=False)
         except ValueError:
             at = text.find("{", at + 1)
@@ -329,9 +329,10 @@ def context_gauge(events: DataFrame, width: int = EVENT_CHUNK, warn: float = 0.8
 
 # --- turns -----------------------------------------------------------------------------------------------------------------
 def turns(log: DataFrame, width: int = EVENT_CHUNK) -> DataFrame:
-    """Log rows (``conv_id, ord, kind, agent, words, text, is_error``) with their ``turn`` from 0. A run with the user's words opens a
-    turn; so does a prompt no run opened, and the first line of an agent when there is none. ``kind``: run, prompt, steer,
-    result, end, message, or another line of the tool."""
+    """Log rows (``conv_id, ord, kind, agent, words, text, is_error, resent, compact``) with their ``turn`` from 0, whether they open
+    it (``starts``), whether their run is a compaction (``compacting``) and the number of runs and opening prompts up to them
+    (``stretch``). A run with the user's words opens a turn; so does a prompt no run opened, and the first line of an agent when
+    there is none. ``kind``: run, prompt, steer, result, end, message, or another line of the tool."""
     own = F.col("kind").isin("run", "steer", "end", "time", "counts", "rewind", "gone", "compact")
     opened = F.when(F.col("kind") == "run", F.col("words").isNotNull()).when(F.col("kind") == "prompt", False).when(~own, False)
     rows = ordered_scan(log, ["conv_id"], ["ord"], chunk(width=width), was_open=last_known(opened, before=True),
@@ -340,30 +341,43 @@ def turns(log: DataFrame, width: int = EVENT_CHUNK) -> DataFrame:
     starts = (((F.col("kind") == "run") & F.col("words").isNotNull())
               | ((F.col("kind") == "prompt") & ~F.coalesce("was_open", F.lit(False)))
               | (~own & (F.col("kind") != "prompt") & (F.col("worded") == 0) & (F.col("spoken") == 0)))
-    rows = rows.withColumn("starts", F.when(starts, 1).otherwise(0)).drop("was_open", "worded", "spoken")
-    return ordered_scan(rows, ["conv_id"], ["ord"], chunk(width=width), turn=running_sum(F.col("starts"))).withColumn("turn", (F.col("turn") - 1).cast("int")).drop("starts")
+    rows = rows.withColumn("starts", F.coalesce(starts, F.lit(False))).drop("was_open", "worded", "spoken")
+    rows = ordered_scan(rows, ["conv_id"], ["ord"], chunk(width=width), turn=running_count(F.col("starts")),
+                        compacting=last_known(F.when(F.col("kind") == "run", F.coalesce("compact", F.lit(False)))),
+                        stretch=running_count((F.col("kind") == "run") | (F.col("kind") == "prompt") & F.col("starts")))
+    return rows.withColumns({"turn": (F.col("turn") - 1).cast("int"), "compacting": F.coalesce("compacting", F.lit(False))})
 
 
 def turn_table(rows: DataFrame) -> DataFrame:
-    """One row per turn: the user's words with what was steered in, the last reply, how it ended, who answered."""
-    said = F.when(F.col("kind").isin("run", "prompt"), F.col("words")).when(F.col("kind") == "steer", F.col("text"))
+    """One row per turn: the user's words with what was steered in, the last reply, how it ended, who answered. A prompt adds no words
+    to a turn its run opened. A compaction neither replies nor ends a turn; a session that takes the words over (``gone`` with
+    ``resent``) empties how it ended."""
+    kind, works = F.col("kind"), ~F.col("compacting")
+    said = F.when(F.col("starts") & kind.isin("run", "prompt"), F.col("words")).when(kind == "steer", F.col("text"))
     # the words of a turn are one text in the end
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("ord", said.alias("s"))))), lambda x: x["s"]), "\n\n")
-    good = (F.col("kind") == "result") & ~F.col("is_error")
-    bad = (F.col("kind") == "end") | (F.col("kind") == "result") & F.col("is_error")
-    reached = F.col("kind").isin("message") | good
+    answered = (kind == "result") & ~F.col("is_error")
+    bad = ((kind == "end") | (kind == "result") & F.col("is_error")) & works
+    taken = (kind == "gone") & F.coalesce("resent", F.lit(False))
+    reached = (kind == "message") | answered
+    ended = F.max_by(F.when(taken, F.lit("")).otherwise(F.col("text")), F.when(bad | taken, F.col("ord")))
     return rows.filter("turn >= 0").groupBy("conv_id", "turn").agg(
-        words.alias("user"), F.max_by("text", F.when(good, F.col("ord"))).alias("reply"), F.max_by("text", F.when(bad, F.col("ord"))).alias("ended"),
-        F.coalesce(F.max(reached), F.lit(False)).alias("reached"), F.coalesce(F.max_by("agent", F.when(reached, F.col("ord"))), F.min_by("agent", "ord")).alias("agent"))
+        words.alias("user"), F.max_by("text", F.when(answered & works, F.col("ord"))).alias("reply"), ended.alias("ended"),
+        F.coalesce(F.max(reached), F.lit(False)).alias("reached"),
+        F.coalesce(F.max_by("agent", F.when(reached & works, F.col("ord"))), F.min_by("agent", "ord")).alias("agent"))
 
 
 def agent_states(rows: DataFrame) -> DataFrame:
     """Per conversation and agent the last turn it saw (``through``, -1 for none or after it lost its session) and the first turn
-    it saw that another agent answered again since (``stale``)."""
-    reach = rows.filter(F.col("kind").isin("message", "result") & ~F.coalesce("is_error", F.lit(False)) & (F.col("turn") >= 0))
-    own = (reach.select("conv_id", "agent", "ord", "turn").unionByName(
-        rows.filter("kind = 'gone'").select("conv_id", "agent", "ord", F.lit(-1).alias("turn")))
-        .groupBy("conv_id", "agent").agg(F.max("ord").alias("last_ord"), F.max_by("turn", "ord").alias("through")))
+    it saw that another agent answered again since (``stale``).
+
+    A run counts once, where its first answer reached the turn, and a compaction not at all. A lost session and a rewind
+    without a point to go back to (``kind`` rewind, ``text`` null) start anew; a rewind to a point keeps what was seen."""
+    reach = (rows.filter(F.col("kind").isin("message", "result") & ~F.coalesce("is_error", F.lit(False)) & (F.col("turn") >= 0) & ~F.col("compacting"))
+             .groupBy("conv_id", "stretch").agg(F.min_by("agent", "ord").alias("agent"), F.min_by("turn", "ord").alias("turn"), F.min("ord").alias("ord")))
+    anew = rows.filter("kind = 'gone' OR (kind = 'rewind' AND text IS NULL)")
+    own = (reach.select("conv_id", "agent", "ord", "turn").unionByName(anew.select("conv_id", "agent", "ord", F.lit(-1).alias("turn")))
+           .groupBy("conv_id", "agent").agg(F.max("ord").alias("last_ord"), F.max_by("turn", "ord").alias("through")))
     # the few agents of a conversation meet the others' answers, reduced to the last of each turn first
     others = reach.groupBy("conv_id", F.col("agent").alias("other"), "turn").agg(F.max("ord").alias("at"))
     stale = (others.join(own, "conv_id").filter((F.col("other") != F.col("agent")) & (F.col("at") > F.col("last_ord")) & (F.col("turn") <= F.col("through")))

@@ -233,7 +233,8 @@ UNION ALL SELECT conv_id, turn * 10 + 2, 'steer', CASE WHEN (conv_id + CAST(floo
 UNION ALL SELECT conv_id, turn * 10, 'message', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, text, false, false, false, 0, 0 FROM conversations WHERE role = 'assistant'
 UNION ALL SELECT conv_id, turn * 10 + 1, 'result', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, text, (conv_id * 7 + turn) % 11 = 0, false, false, 1 + turn, length(text) FROM conversations WHERE role = 'assistant'
 UNION ALL SELECT conv_id, turn * 10 + 2, 'gone', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, NULL, false, true, false, 0, 0 FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 6 = 1
-UNION ALL SELECT conv_id, turn * 10 + 3, 'end', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, 'cancelled', true, false, false, 0, 0 FROM conversations WHERE role = 'assistant' AND turn % 5 = 3"""
+UNION ALL SELECT conv_id, turn * 10 + 3, 'end', CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END, NULL, 'cancelled', true, false, false, 0, 0 FROM conversations WHERE role = 'assistant' AND turn % 5 = 3
+UNION ALL SELECT conv_id, turn * 10 + 4, 'rewind', CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END, NULL, CASE WHEN conv_id % 3 = 0 THEN 'point' END, false, false, false, 0, 0 FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 7 = 2"""
 CONV_SQL = f"conv_log AS ({CONV_BODY})"
 
 

@@ -176,12 +176,14 @@ TURNS = """flags AS (SELECT *, kind NOT IN ('run', 'steer', 'end', 'time', 'coun
   WHEN kind IN ('prompt', 'message', 'result') THEN false END AS sets FROM conv_log),
 opened AS (SELECT *, coalesce(last_value(sets IGNORE NULLS) OVER w, false) AS was_open, count(*) FILTER (foreign_line OR (kind = 'run' AND words IS NOT NULL)) OVER w AS any_before
   FROM flags WINDOW w AS (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-turned AS (SELECT *, CAST(sum(CASE WHEN (kind = 'run' AND words IS NOT NULL) OR (kind = 'prompt' AND NOT was_open) OR (foreign_line AND kind <> 'prompt' AND any_before = 0) THEN 1 ELSE 0 END)
-  OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS INT) AS turn FROM opened),
-turn_rows AS (SELECT conv_id, turn, string_agg(CASE WHEN kind IN ('run', 'prompt') THEN words WHEN kind = 'steer' THEN text END, chr(10) || chr(10) ORDER BY ord) AS said,
-  arg_max(text, ord) FILTER (kind = 'result' AND NOT is_error) AS reply, arg_max(text, ord) FILTER (kind = 'end' OR (kind = 'result' AND is_error)) AS ended,
+started AS (SELECT *, (kind = 'run' AND words IS NOT NULL) OR (kind = 'prompt' AND NOT was_open) OR (foreign_line AND kind <> 'prompt' AND any_before = 0) AS starts FROM opened),
+turned AS (SELECT *, CAST(count(*) FILTER (starts) OVER w - 1 AS INT) AS turn, count(*) FILTER (kind = 'run' OR (kind = 'prompt' AND starts)) OVER w AS stretch,
+  coalesce(last_value(CASE WHEN kind = 'run' THEN compact END IGNORE NULLS) OVER w, false) AS compacting FROM started WINDOW w AS (PARTITION BY conv_id ORDER BY ord)),
+turn_rows AS (SELECT conv_id, turn, string_agg(CASE WHEN kind IN ('run', 'prompt') AND starts THEN words WHEN kind = 'steer' THEN text END, chr(10) || chr(10) ORDER BY ord) AS said,
+  arg_max(text, ord) FILTER (kind = 'result' AND NOT is_error AND NOT compacting) AS reply,
+  arg_max(CASE WHEN kind = 'gone' THEN '' ELSE text END, ord) FILTER ((kind = 'gone' AND resent) OR (NOT compacting AND (kind = 'end' OR (kind = 'result' AND is_error)))) AS ended,
   bool_or(kind = 'message' OR (kind = 'result' AND NOT is_error)) AS reached,
-  coalesce(arg_max(agent, ord) FILTER (kind = 'message' OR (kind = 'result' AND NOT is_error)), arg_min(agent, ord)) AS agent FROM turned WHERE turn >= 0 GROUP BY conv_id, turn)"""
+  coalesce(arg_max(agent, ord) FILTER (NOT compacting AND (kind = 'message' OR (kind = 'result' AND NOT is_error))), arg_min(agent, ord)) AS agent FROM turned WHERE turn >= 0 GROUP BY conv_id, turn)"""
 TO_TURNS = [CONV_SQL, TURNS]
 
 
@@ -217,8 +219,10 @@ def run_segments(t: Tables):
     return G.run_segments(cut_lineage(G.entries(_events(t)).select("session", "ord", "kind"))).select("session", "ord", "run", "part")
 
 
-REACH = """reach AS (SELECT * FROM turned WHERE turn >= 0 AND kind IN ('message', 'result') AND NOT is_error),
-seen AS (SELECT conv_id, agent, max(ord) AS last_ord, arg_max(turn, ord) AS through FROM (SELECT conv_id, agent, ord, turn FROM reach UNION ALL SELECT conv_id, agent, ord, -1 FROM turned WHERE kind = 'gone') r GROUP BY 1, 2)"""
+REACH = """reach AS (SELECT conv_id, agent, ord, turn FROM turned WHERE turn >= 0 AND kind IN ('message', 'result') AND NOT is_error AND NOT compacting
+  QUALIFY row_number() OVER (PARTITION BY conv_id, stretch ORDER BY ord) = 1),
+seen AS (SELECT conv_id, agent, max(ord) AS last_ord, arg_max(turn, ord) AS through FROM (SELECT conv_id, agent, ord, turn FROM reach
+  UNION ALL SELECT conv_id, agent, ord, -1 FROM turned WHERE kind = 'gone' OR (kind = 'rewind' AND text IS NULL)) r GROUP BY 1, 2)"""
 
 
 @query("h14_agent_states", *TO_TURNS, REACH, """SELECT s.conv_id, s.agent, through, (SELECT min(r.turn) FROM reach r WHERE r.conv_id = s.conv_id AND r.agent <> s.agent AND r.ord > s.last_ord AND r.turn <= s.through) AS stale FROM seen s""")

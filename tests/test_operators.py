@@ -310,3 +310,32 @@ def test_documents_without_findings_or_marks_are_judged(spark):
     assert {(r.parent, r.blocking, r.passes) for r in C.gate(docs, found, none, none, ["parent"]).collect()} == {(1, "overlap", False), (2, "", True)}
     marks = spark.createDataFrame([(1, "note", "#ff6666")], "parent long, type string, color string")
     assert {(r.parent, r.core) for r in C.core_count(marks, 1, 5, documents=docs).collect()} == {(1, 0), (2, 0)}
+
+
+TURN_COLUMNS = "conv_id long, ord long, kind string, agent string, words string, text string, is_error boolean, resent boolean, compact boolean"
+
+
+def _log(spark, *lines):
+    rows = [(1, i, kind, agent, more.get("words"), more.get("text"), more.get("is_error", False), more.get("resent", False), more.get("compact", False))
+            for i, (kind, agent, more) in enumerate(lines)]
+    return H.turns(spark.createDataFrame(rows, TURN_COLUMNS), width=2)
+
+
+def test_a_resent_turn_has_not_ended_and_a_compaction_answers_nothing(spark):
+    log = _log(spark, ("run", "a", {"words": "why"}), ("prompt", "a", {"words": "the whole prompt"}), ("result", "a", {"text": "boom", "is_error": True}),
+               ("gone", "a", {"resent": True}), ("run", "a", {"compact": True}), ("message", "a", {"text": "x"}), ("result", "a", {"text": "summary"}))
+    got = H.turn_table(log).collect()
+    assert [(r.user, r.reply, r.ended, r.reached, r.agent) for r in got] == [("why", None, "", True, "a")]
+    assert [(r.agent, r.through) for r in H.agent_states(log).collect()] == [("a", -1)]
+
+
+@pytest.mark.parametrize("point, through", [("p", 0), (None, -1)])
+def test_a_rewind_without_a_point_starts_anew(spark, point, through):
+    log = _log(spark, ("run", "a", {"words": "why"}), ("message", "a", {"text": "x"}), ("result", "a", {"text": "so"}), ("rewind", "a", {"text": point}))
+    assert [(r.agent, r.through, r.stale) for r in H.agent_states(log).collect()] == [("a", through, None)]
+
+
+def test_another_agents_answer_makes_a_seen_turn_stale(spark):
+    log = _log(spark, ("run", "a", {"words": "why"}), ("message", "a", {"text": "x"}), ("run", "b", {}), ("message", "b", {"text": "y"}), ("gone", "b", {}),
+               ("result", "b", {"text": "late"}))
+    assert rows(H.agent_states(log).select("agent", "through", "stale"), "agent") == [("a", 0, 0), ("b", -1, None)]
