@@ -74,13 +74,15 @@ def line_boxes(words: Column) -> Column:
 
 def match_phrases(intents: DataFrame, index: DataFrame) -> DataFrame:
     """Intents (``doc_id, page, phrase, occurrence``) with the place of the n-th occurrence of each on its page, its words
-    and line boxes, and how often the page has it."""
+    and line boxes, how often the page has it, and for those without a place the ``reason``."""
     key = T.norm_key("phrase")
-    found = (intents.withColumn("key", key).join(index, ["doc_id", "page"]))
-    found = once(found, matches=count_phrase(F.col("text"), F.col("key")),
+    found = (intents.withColumn("key", key).join(index, ["doc_id", "page"], "left"))
+    found = once(found, matches=F.coalesce(count_phrase(F.col("text"), F.col("key")), F.lit(0)),
                  start=find_phrase(F.col("text"), F.col("key"), F.coalesce("occurrence", F.lit(1))))
     found = once(found, hit=F.when(F.col("start").isNotNull(), words_in(F.col("words"), F.col("start"), F.col("start") + F.length("key"))))
-    return found.withColumns({"matched": words_text(F.col("hit")), "boxes": line_boxes(F.col("hit")),
+    reason = (F.when(F.col("start").isNotNull(), None).when(F.col("text").isNull(), "no such page")
+              .when(F.col("matches") == 0, "not found").otherwise("too few occurrences"))
+    return found.withColumns({"matched": words_text(F.col("hit")), "boxes": line_boxes(F.col("hit")), "reason": reason,
                               "ambiguous": (F.col("matches") > 1) & F.col("occurrence").isNull()}).drop("words", "text")
 
 
@@ -96,10 +98,10 @@ def find_spans(text: Column, a: Column, b: Column, max_span: int | None = None)
 
 def match_spans(intents: DataFrame, index: DataFrame, max_span: int | None = None) -> DataFrame:
     """Intents (``doc_id, page, first, last, occurrence``) with the one span from ``first`` to ``last``, or why there is none."""
-    rows = (intents.withColumns({"a": T.norm_key("first"), "b": T.norm_key("last")}).join(index.drop("words"), ["doc_id", "page"]))
+    rows = (intents.withColumns({"a": T.norm_key("first"), "b": T.norm_key("last")}).join(index.drop("words"), ["doc_id", "page"], "left"))
     rows = once(rows, spans=find_spans(F.col("text"), F.col("a"), F.col("b"), max_span))
-    n, want = F.size("spans"), F.col("occurrence")
-    reason = (F.when((F.length("a") < MIN_ANCHOR) | (F.length("b") < MIN_ANCHOR), "anchor too short").when(n == 0, "not found")
+    n, want = F.coalesce(F.size("spans"), F.lit(0)), F.col("occurrence")
+    reason = (F.when(F.col("text").isNull(), "no such page").when((F.length("a") < MIN_ANCHOR) | (F.length("b") < MIN_ANCHOR), "anchor too short").when(n == 0, "not found")
               .when(want.isNotNull() & (n < want), "too few spans").when(want.isNull() & (n > 1), "several spans"))
     chosen = F.when(reason.isNull(), F.get("spans", F.coalesce(want, F.lit(1)) - 1))
     return rows.select("doc_id", "page", "first", "last", "occurrence", n.alias("n_spans"), reason.alias("reason"),
@@ -144,9 +146,9 @@ def closest_passages(intents: DataFrame, index: DataFrame, key_columns: list[str
 
 def place_sentences(sents: DataFrame, index: DataFrame) -> DataFrame:
     """Numbered sentences (with ``occurrence`` and ``same_text_count``) on their pages: the n-th occurrence when the page has
-    the text as often as the sentences have it, ambiguous when not, absent when it has none."""
-    rows = sents.join(index.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"])
-    rows = rows.withColumn("matches", count_phrase(F.col("page_text"), F.col("norm")))
+    the text as often as the sentences have it, ambiguous when not, absent when it has none or is not there."""
+    rows = sents.join(index.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"], "left")
+    rows = rows.withColumn("matches", F.coalesce(count_phrase(F.col("page_text"), F.col("norm")), F.lit(0)))
     placed = F.col("matches") == F.col("same_text_count")
     how = F.when(placed, "placed").when(F.col("matches") == 0, "absent").otherwise("ambiguous")
     start = F.when(placed, find_phrase(F.col("page_text"), F.col("norm"), F.col("occurrence").cast("int")))
@@ -155,15 +157,20 @@ def place_sentences(sents: DataFrame, index: DataFrame) -> DataFrame:
 
 # --- ids, citations, labels, papers -----------------------------------------------------------------------------------------
 def resolve_ids(intents: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
-    """Intents naming sentence ids (``first, last``) with the sentences' page and text, or why they do not resolve. The join
-    is on ``(doc_id, id)``, so a document cited by everyone is spread over its sentences."""
-    wanted = intents.filter(F.col("first") <= F.col("last")).select("*", F.explode(F.sequence("first", "last")).alias("id"))
+    """Intents naming sentence ids (``first, last``) with the sentences' page and text, or why they do not resolve. A range that
+    leaves the document's ids names an unknown one and is judged by its ends, so that no range makes more rows than its
+    document has sentences. The join is on ``(doc_id, id)``, so a document cited by everyone is spread over its sentences."""
+    ends = sents.groupBy("doc_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    asked = intents.join(ends, "doc_id", "left")
+    inside = (F.col("first") <= F.col("last")) & (F.col("first") >= F.col("first_id")) & (F.col("last") <= F.col("last_id"))
+    wanted = asked.filter(inside).select(*intents.columns, F.explode(F.sequence("first", "last")).alias("id"))
     met = wanted.join(sents.select("doc_id", "id", F.col("page").alias("s_page"), F.col("text").alias("s_text")), ["doc_id", "id"], "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s_text"))), lambda x: x["s_text"]), " ")
     per = met.groupBy(*keys).agg(F.count("s_page").alias("found"), F.count("*").alias("asked"), F.min("s_page").alias("page"),
                                  F.max("s_page").alias("last_page"), text.alias("text"))
     out = intents.join(per, keys, "left")
-    reason = (F.when(F.col("asked").isNull(), "broken range").when(F.col("found") < F.col("asked"), "unknown id")
+    reason = (F.when(~F.coalesce(F.col("first") <= F.col("last"), F.lit(False)), "broken range")
+              .when(F.col("asked").isNull() | (F.col("found") < F.col("asked")), "unknown id")
               .when(F.col("page") != F.col("last_page"), "several pages"))
     return out.select(*keys, "first", "last", reason.alias("reason"), F.when(reason.isNull(), F.col("page")).alias("page"),
                       F.when(reason.isNull(), F.col("text")).alias("text"))

@@ -39,6 +39,18 @@ def phrase_count(t: Tables):
     return A.match_phrases(fx.intents(t), A.page_index(fx.pages(t))).select("doc_id", "page", "phrase", "matches", "ambiguous")
 
 
+MOVED = FOUND.replace("FROM intents i JOIN texts t USING (doc_id, page)", "FROM moved i LEFT JOIN texts t USING (doc_id, page)")
+
+
+@query("c01_missed_phrases", *TO_INTENTS, "moved AS (SELECT * REPLACE (page + doc_id % 3 AS page) FROM intents)", MOVED, """
+SELECT doc_id, page, phrase, occurrence, coalesce(matches, 0) AS matches, CASE WHEN page_text IS NULL THEN 'no such page'
+  WHEN coalesce(matches, 0) = 0 THEN 'not found' ELSE 'too few occurrences' END AS reason FROM found WHERE start IS NULL""")
+def missed_phrases(t: Tables):
+    """Phrases looked for on their page and one or two pages further on, where some documents have none."""
+    moved = fx.intents(t).withColumn("page", F.col("page") + F.col("doc_id") % 3)
+    return A.match_phrases(moved, A.page_index(fx.pages(t))).filter("start IS NULL").select("doc_id", "page", "phrase", "occurrence", "matches", "reason")
+
+
 @query("c03_span_match", *TO_WORDS, f"""
 span_intents AS (SELECT doc_id, page, array_to_string(ws[3:3 + CAST(doc_id % 3 AS INT)], ' ') AS first,
   array_to_string(ws[9:10 + CAST(page % 2 AS INT)], ' ') AS last, CASE WHEN page % 3 = 0 THEN 1 END AS occurrence FROM texts WHERE len(ws) >= 10),
@@ -81,7 +93,7 @@ counted AS (SELECT doc_id, page, id, {norm_sql('text')} AS k, row_number() OVER
 @query("c05_sentence_places", *TO_SENTENCES, PLACE, """
 SELECT c.doc_id, c.page, id, CASE WHEN m = same THEN 'placed' WHEN m = 0 THEN 'absent' ELSE 'ambiguous' END AS how, m AS matches,
   CASE WHEN m = same THEN length(array_to_string(string_split(text, k)[1:occ], '')) + (occ - 1) * length(k) END AS start
-FROM (SELECT c.*, p.text, CASE WHEN k = '' THEN 0 ELSE len(string_split(p.text, k)) - 1 END AS m FROM counted c JOIN page_text p USING (doc_id, page)) c""")
+FROM (SELECT c.*, p.text, CASE WHEN k = '' OR p.text IS NULL THEN 0 ELSE len(string_split(p.text, k)) - 1 END AS m FROM counted c LEFT JOIN page_text p USING (doc_id, page)) c""")
 def sentence_places(t: Tables):
     from ..operators import text as X
     sents = fx.sentences(t)

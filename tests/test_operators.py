@@ -339,3 +339,24 @@ def test_another_agents_answer_makes_a_seen_turn_stale(spark):
     log = _log(spark, ("run", "a", {"words": "why"}), ("message", "a", {"text": "x"}), ("run", "b", {}), ("message", "b", {"text": "y"}), ("gone", "b", {}),
                ("result", "b", {"text": "late"}))
     assert rows(H.agent_states(log).select("agent", "through", "stale"), "agent") == [("a", 0, 0), ("b", -1, None)]
+
+
+def test_a_range_of_a_billion_ids_is_judged_by_its_ends(spark):
+    sents = spark.createDataFrame([(1, i, 1 + i // 3, f"s{i}") for i in range(1, 6)], "doc_id long, id long, page int, text string")
+    wanted = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 1, 10**9), (1, 2, 4, 3), (1, 3, 1, 4), (2, 4, 1, 1)], "doc_id long, k int, first long, last long")
+    got = rows(A.resolve_ids(wanted, sents, ["doc_id", "k"]).select("k", "reason", "page", "text"), "k")
+    assert got == [(0, None, 1, "s1 s2"), (1, "unknown id", None, None), (2, "broken range", None, None), (3, "several pages", None, None),
+                   (4, "unknown id", None, None)]
+
+
+def test_spans_and_phrases_of_missing_pages_are_reported(spark):
+    words = [(0, "alpha", 0, 0, 0.0, 0.0, 1.0, 1.0), (1, "betagamma", 0, 0, 1.0, 0.0, 2.0, 1.0)]
+    pages = spark.createDataFrame([(1, 1, words)], "doc_id long, page int, words array<struct<word_no: int, word: string, block: int, line: int, x0: double, "
+                                                   "y0: double, x1: double, y1: double>>")
+    index = A.page_index(pages)
+    wanted = spark.createDataFrame([(1, 1, "alpha", None), (1, 1, "alpha", 2), (1, 1, "delta", None), (1, 9, "alpha", None)],
+                                   "doc_id long, page int, phrase string, occurrence int")
+    assert rows(A.match_phrases(wanted, index).select("page", "phrase", "matches", "reason"), "page", "phrase", "occurrence") == [
+        (1, "alpha", 1, None), (1, "alpha", 1, "too few occurrences"), (1, "delta", 0, "not found"), (9, "alpha", 0, "no such page")]
+    spans = spark.createDataFrame([(1, 9, "alphabeta", "gammadelta", None)], "doc_id long, page int, first string, last string, occurrence int")
+    assert [(r.n_spans, r.reason) for r in A.match_spans(spans, index).collect()] == [(0, "no such page")]
