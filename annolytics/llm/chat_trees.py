@@ -1,6 +1,8 @@
 """Reply trees to conversations, in DataFrame operations only."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,13 +43,18 @@ def _same(*pairs: tuple[str, str]) -> Column:
     return out
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def root_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth) for every node on the ``best`` paths from a root to a leaf of each tree.
 
     ``nodes``: (tree, node, parent, score). Paths are found by self-joins that double their reach: after round r each node knows its
-    ancestor 2^r steps up and the sum of scores in between, so a chain of n messages takes log2(n) joins. Branches rank by the sum
-    of their scores, ties by the smaller leaf. The chosen leaves then walk up the same tables from the longest step to the
-    shortest, doubling the nodes they hold. Rounds are tables in the shared folder and hold ids, no texts.
+    ancestor 2^r steps up and the sum of scores in between, so a chain of n messages takes log2(n) joins. A node that has reached its
+    root takes no part in later rounds, but as what a deeper node of its tree meets. Branches rank by the sum of their scores,
+    ties by the smaller leaf. The chosen leaves then walk up the same tables from the longest step to the shortest, doubling the
+    nodes they hold; only nodes deep enough for a step take it. Rounds are tables in the shared folder and hold ids, no texts.
 
     A node whose parent is missing is a root. Nodes that repeat an id in a tree count once, by the smallest parent. Nodes
     on a circle, or below one, have no root and are on no path.
@@ -58,28 +65,31 @@ def root_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     n, p = once.alias("n"), once.select("tree", "node").alias("p")
     reach = stored(n.join(p, _same(("n.tree", "p.tree")) & (F.col("n.parent") == F.col("p.node")), "left")
                    .select("n.tree", "n.node", F.col("p.node").alias("up"), "n.score", F.lit(1).cast("long").alias("depth")), f"{folder}/0")
-    first, steps, total = reach, [reach], reach.count()
+    first, steps, done, total = reach, [], [], reach.count()
     while True:
-        a, b = reach.alias("a"), reach.alias("b")
-        far = a.join(b, _same(("a.tree", "b.tree")) & (F.col("a.up") == F.col("b.node")), "left").select(
-            "a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"),
-            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"))
-        reach = stored(far, f"{folder}/{len(steps)}")
-        steps.append(reach)
-        if not reach.where("up is not null").limit(1).count() or 2 ** len(steps) > 4 * total:
+        done.append(reach.where("up is null"))
+        live = reach.where("up is not null")
+        if not live.limit(1).count() or 2 ** len(steps) > 4 * total:
             break
-    n, c = reach.where("up is null").alias("n"), first.where("up is not null").select("tree", "up").distinct().alias("c")
+        steps.append(live)
+        t, d = live.select("tree").distinct().alias("t"), _union(done).alias("d")
+        met = live.unionByName(d.join(t, _same(("d.tree", "t.tree")), "left_semi"))
+        a, b = live.alias("a"), met.alias("b")
+        reach = stored(a.join(b, _same(("a.tree", "b.tree")) & (F.col("a.up") == F.col("b.node"))).select(
+            "a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.score") + F.col("b.score")).alias("score"),
+            (F.col("a.depth") + F.col("b.depth")).alias("depth")), f"{folder}/{len(steps)}")
+    n, c = _union(done).alias("n"), first.where("up is not null").select("tree", "up").distinct().alias("c")
     leaves = n.join(c, _same(("n.tree", "c.tree"), ("n.node", "c.up")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("score").desc(), "node"))
-    held = stored(leaves.withColumn("rank", rank).where(F.col("rank") <= best)
-                  .select("tree", F.col("node").alias("leaf"), "rank", "node", "depth"), f"{folder}/held")
+    held = [stored(leaves.withColumn("rank", rank).where(F.col("rank") <= best)
+                   .select("tree", F.col("node").alias("leaf"), "rank", "node", "depth"), f"{folder}/held")]
     for k in range(len(steps) - 1, -1, -1):
-        s, h = steps[k].where("up is not null").alias("s"), held.alias("h")
-        above = h.join(s, _same(("h.tree", "s.tree")) & (F.col("h.node") == F.col("s.node"))).select(
-            "h.tree", "h.leaf", "h.rank", F.col("s.up").alias("node"), (F.col("h.depth") - 2 ** k).alias("depth"))
-        held = stored(held.unionByName(above), f"{folder}/held{k}")
+        s, h = steps[k].alias("s"), _union(held).where(F.col("depth") > 2 ** k).alias("h")
+        held.append(stored(h.join(s, _same(("h.tree", "s.tree")) & (F.col("h.node") == F.col("s.node"))).select(
+            "h.tree", "h.leaf", "h.rank", F.col("s.up").alias("node"), (F.col("h.depth") - 2 ** k).alias("depth")), f"{folder}/held{k}"))
+    for k in range(len(steps) + 1):
         drop_folder(spark, f"{folder}/{k}")
-    return held
+    return _union(held)
 
 
 def format_paths(nodes: DataFrame, paths: DataFrame, trained: str = "assistant") -> DataFrame:
