@@ -19,7 +19,6 @@ from .ordered import once
 from .text import fields
 
 MIN_ANCHOR = 8
-SNAP_RATIO, SENTENCE_RATIO = 0.95, 0.9
 
 
 def page_index(pages: DataFrame) -> DataFrame:
