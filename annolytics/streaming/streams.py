@@ -3,7 +3,7 @@ never by equal values."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,13 @@ FIELDS = G.FIELDS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def keep_batches(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch to its own folder by its number, so that one that is tried again replaces what it wrote."""
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    return keep
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for the data there is now, through a table in the shared folder. In update mode every micro-batch
     is kept with its number, and ``latest_of`` picks the last value of each key."""
@@ -25,11 +32,8 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/table"
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    query = writer.foreachBatch(keep).start() if mode == "update" else writer.format("parquet").option("path", out).start()
+    query = writer.foreachBatch(keep_batches(out)).start() if mode == "update" else writer.format("parquet").option("path", out).start()
     query.awaitTermination()
     schema = StructType([*stream.schema, StructField("batch", IntegerType())]) if mode == "update" else stream.schema
     return spark.read.schema(schema).parquet(out)

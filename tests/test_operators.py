@@ -360,3 +360,22 @@ def test_spans_and_phrases_of_missing_pages_are_reported(spark):
         (1, "alpha", 1, None), (1, "alpha", 1, "too few occurrences"), (1, "delta", 0, "not found"), (9, "alpha", 0, "no such page")]
     spans = spark.createDataFrame([(1, 9, "alphabeta", "gammadelta", None)], "doc_id long, page int, first string, last string, occurrence int")
     assert [(r.n_spans, r.reason) for r in A.match_spans(spans, index).collect()] == [(0, "no such page")]
+
+
+def test_a_batch_tried_again_is_written_once(spark, tmp_path):
+    from annolytics.streaming import streams as S
+    keep = S.keep_batches(str(tmp_path / "table"))
+    for number, n in ((0, 3), (0, 3), (1, 2)):
+        keep(spark.range(n), number)
+    assert rows(spark.read.parquet(str(tmp_path / "table")).groupBy("batch").count(), "batch") == [(0, 3), (1, 2)]
+
+
+def test_progress_over_several_batches_is_that_of_the_table(spark, tmp_path):
+    from annolytics.streaming import streams as S
+    data = spark.createDataFrame([(i % 5, i, (i * 7) % 4, i * 10) for i in range(60)], "session long, ord long, step int, used long")
+    for part in range(3):
+        data.filter(F.col("ord") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    kept = S.run_available(S.progress(stream, F.col("step")), mode="update")
+    assert kept.select("batch").distinct().count() == 3
+    assert rows(S.latest_of(kept, ["session"]), "session") == rows(S.progress(data, F.col("step")), "session")
