@@ -3,10 +3,13 @@
 A document is one row: ``doc_id`` and ``lines``, an array of ``row_no, page, block, text, size, bold, dir_x, dir_y`` in reading
 order. Every rule here looks at one document only, so each step is an expression over that array: structuring a corpus
 needs no shuffle, no join and no Python, whatever its size, and a corpus dominated by one source or one group of copies
-is spread like any other. All expressions are linear in the lines of a document.
+is spread like any other. What a line takes from the lines before it (its state, the last heading, its number) is looked up once
+per run of lines, not per line, so that the expressions grow with the lines of a document (and the logarithm of sorting them).
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,16 @@ def _none(kind: str = "string") -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def positions(xs: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """The indexes, from 0, of the elements that pass."""
+    return F.array_compact(F.transform(xs, lambda x, i: F.when(test(x, i), i)))
+
+
+def runs(xs: Column, starts: Column) -> Column:
+    """``xs`` cut before the given indexes, in order; the first is 0, so that the runs hold every element once."""
+    return F.zip_with(starts, F.slice(starts, 2, 1 << 30), lambda at, end: F.slice(xs, at + 1, F.coalesce(end, F.size(xs)) - at))
+
+
 # --- rows ------------------------------------------------------------------------------------------------------------------
 def left_to_right(lines: Column) -> Column:
     """Lines not written from left to right (a vertical stamp in a margin) are dropped."""
@@ -81,31 +94,40 @@ def classify_rows(lines: Column) -> Column:
 def recurring_keys(rows: Column, pages: Column) -> Column:
     """Keys at the edge of at least three pages and of more than half of the pages: in the sorted keys such a one meets
     itself half the pages further on."""
-    seen = F.array_distinct(F.transform(F.filter(rows, lambda r: r["edge"] & (r["norm"] != "")),
-                                        lambda r: F.struct(r["page"], r["norm"])))
-    keys = F.array_sort(F.transform(seen, lambda e: e["norm"]))
+    seen = F.array_sort(F.transform(F.filter(rows, lambda r: r["edge"] & (r["norm"] != "")), lambda r: F.struct(r["norm"], r["page"])))
+    keys = let(seen, lambda es: F.transform(F.filter(es, lambda e, i: (i == 0) | ~e.eqNullSafe(F.get(es, i - 1))), lambda e: e["norm"]))
     half = F.floor(pages / 2).cast("int")
     found = let(F.struct(keys.alias("k"), half.alias("h")), lambda s: F.array_distinct(
         F.filter(s["k"], lambda n, i: F.coalesce(F.get(s["k"], i + s["h"]) == n, F.lit(False)))))
     return F.when(pages >= 3, found).otherwise(_none())
 
 
+def lone_numerals(rows: Column) -> Column:
+    """For each row whether its block has numerals only: sorted by block, words before numerals, the first of a block tells."""
+    def tell(order: Column) -> Column:
+        def opens(x: Column, i: Column) -> Column:
+            before = F.get(order, i - 1)
+            return (i == 0) | ~(before["page"].eqNullSafe(x["page"]) & before["block"].eqNullSafe(x["block"]))
+        blocks = runs(order, positions(order, opens))
+        return F.flatten(F.transform(blocks, lambda b: F.transform(b, lambda x: F.struct(x["at"].alias("at"), b[0]["numeral"].alias("lone")))))
+
+    order = F.array_sort(F.transform(rows, lambda r, i: F.struct(*fields(r, "page", "block", "numeral"), i.alias("at"))))
+    return F.transform(F.array_sort(let(order, tell)), lambda x: x["lone"])
+
+
 def mark_running_rows(lines: Column) -> Column:
     """Classified rows with why each would be dropped: ``is_running`` (headers and footers) and ``is_page_number``."""
     pages = F.size(F.array_distinct(F.transform(lines, lambda r: r["page"])))
 
     def mark(s: Column) -> Column:
-        rows, recurring = s["rows"], s["recurring"]
-
-        def row(r: Column) -> Column:
-            with_words = F.exists(rows, lambda o: (o["block"] == r["block"]) & (o["page"] == r["page"]) & ~o["numeral"])
-            number = F.when(r["numeral"], r["edge"] | ~with_words).otherwise(False)
+        def row(r: Column, i: Column) -> Column:
+            number = F.when(r["numeral"], r["edge"] | F.get(s["lone"], i)).otherwise(False)
             return F.struct(*fields(r, "row_no", "page", "block", "text", "heading", "norm"),
-                            (r["edge"] & F.array_contains(recurring, r["norm"])).alias("is_running"), number.alias("is_page_number"))
-        return F.transform(rows, row)
+                            (r["edge"] & F.array_contains(s["recurring"], r["norm"])).alias("is_running"), number.alias("is_page_number"))
+        return F.transform(s["rows"], row)
 
     return let(classify_rows(lines), lambda rows: let(
-        F.struct(rows.alias("rows"), recurring_keys(rows, pages).alias("recurring")), mark))
+        F.struct(rows.alias("rows"), recurring_keys(rows, pages).alias("recurring"), lone_numerals(rows).alias("lone")), mark))
 
 
 def drop_running_rows(lines: Column) -> Column:
@@ -113,8 +135,17 @@ def drop_running_rows(lines: Column) -> Column:
 
 
 # --- bibliography and checklist: a three-state automaton over the rows that can change it ------------------------------------
+FLAGGED = ("row_no", "page", "block", "text", "heading", "opens_refs", "ends_refs", "is_appendix", "is_checklist")
+
+
+def _is_event(r: Column) -> Column:
+    return r["opens_refs"] | r["ends_refs"] | r["is_appendix"] | r["is_checklist"]
+
+
 def region_states(rows: Column, bibliography: bool = True, checklists: bool = True) -> Column:
-    """Rows with the ``state`` before each: in the body, in the bibliography, in a checklist after it."""
+    """Rows with the ``state`` before each: in the body, in the bibliography, in a checklist after it. A checklist counts as one
+    from the first references heading on. The automaton runs over the rows that can change its state and leaves a character
+    for each; the rows up to the next such row share it."""
     def flag(r: Column) -> Column:
         return F.struct(
             *fields(r, "row_no", "page", "block", "text", "heading"), r["norm"].rlike(T.REFERENCES).alias("opens_refs"),
@@ -122,32 +153,32 @@ def region_states(rows: Column, bibliography: bool = True, checklists: bool = Tr
             (r["heading"] & r["norm"].rlike(T.APPENDIX)).alias("is_appendix"),
             (r["heading"] & r["norm"].rlike(T.CHECKLIST)).alias("is_checklist"))
 
-    def step(before: Column, r: Column) -> Column:
-        seen = before["after_refs"] | r["opens_refs"]
-        checklist = (r["is_checklist"] & seen) if checklists else F.lit(False)
-        opens = r["opens_refs"] if bibliography else F.lit(False)
-        s = before["state"]
-        state = (F.when(s == IN_CHECKLIST, F.when(r["is_appendix"], BODY).otherwise(IN_CHECKLIST))
-                 .when(s == IN_REFERENCES, F.when(~r["ends_refs"], IN_REFERENCES).when(checklist, IN_CHECKLIST).otherwise(BODY))
-                 .when(opens, IN_REFERENCES).when(checklist, IN_CHECKLIST).otherwise(BODY))
-        return F.struct(r["row_no"].alias("row_no"), state.alias("state"), seen.alias("after_refs"))
+    def after_references(flagged: Column) -> Column:
+        first = F.array_position(F.transform(flagged, lambda r: r["opens_refs"]), F.lit(True))
+        return let(F.struct(flagged.alias("rows"), first.alias("first")), lambda s: F.transform(s["rows"], lambda r, i: F.struct(
+            *fields(r, *FLAGGED[:-1]),
+            (r["is_checklist"] & (s["first"] > 0) & (i + 1 >= s["first"])).alias("is_checklist"))))
 
-    first = F.array(F.struct(F.lit(-1).alias("row_no"), F.lit(BODY).alias("state"), F.lit(False).alias("after_refs")))
+    def next_state(s: Column, r: Column) -> Column:
+        checklist = r["is_checklist"] if checklists else F.lit(False)
+        opens = r["opens_refs"] if bibliography else F.lit(False)
+        return (F.when(s == IN_CHECKLIST, F.when(r["is_appendix"], BODY).otherwise(IN_CHECKLIST))
+                .when(s == IN_REFERENCES, F.when(~r["ends_refs"], IN_REFERENCES).when(checklist, IN_CHECKLIST).otherwise(BODY))
+                .when(opens, IN_REFERENCES).when(checklist, IN_CHECKLIST).otherwise(BODY))
 
-    def follow(flagged: Column) -> Column:
-        events = F.filter(flagged, lambda r: r["opens_refs"] | r["ends_refs"] | r["is_appendix"] | r["is_checklist"])
-        changes = F.aggregate(events, first, lambda acc, r: F.concat(acc, F.array(step(F.try_element_at(acc, F.lit(-1)), r))))
+    def step(a: Column, r: Column) -> Column:
+        state = next_state(a["state"], r)
+        return F.struct(state.alias("state"), F.concat(a["path"], state.cast("string")).alias("path"))
 
-        def look_up(changed: Column) -> Column:
-            def row(r: Column) -> Column:
-                before = F.try_element_at(F.filter(changed, lambda c: c["row_no"] < r["row_no"]), F.lit(-1))
-                return F.struct(*fields(r, "row_no", "page", "block", "text", "heading", "opens_refs", "ends_refs", "is_appendix"),
-                                (r["is_checklist"] & (before["after_refs"] | r["opens_refs"])).alias("is_checklist"),
-                                before["state"].alias("state"))
-            return F.transform(flagged, row)
-        return let(changes, look_up)
+    def spread_states(rs: Column) -> Column:
+        events = F.filter(rs, _is_event)
+        start = F.struct(F.lit(BODY).alias("state"), F.lit(str(BODY)).alias("path"))
+        states = F.split(F.aggregate(events, start, step)["path"], "")
+        after_events = positions(rs, lambda r, i: (i == 0) | _is_event(F.get(rs, i - 1)))
+        return F.flatten(F.zip_with(runs(rs, after_events), states, lambda run, state: F.transform(
+            F.coalesce(run, F.slice(rs, 1, 0)), lambda r: F.struct(*fields(r, *FLAGGED), state.cast("int").alias("state")))))
 
-    return let(F.transform(rows, flag), follow)
+    return let(let(F.transform(rows, flag), after_references), spread_states)
 
 
 def cut_regions(rows: Column, keep_references: bool = False) -> Column:
@@ -168,9 +199,9 @@ def cut_regions(rows: Column, keep_references: bool = False) -> Column:
 # --- paragraphs and sentences --------------------------------------------------------------------------------------------
 def assemble_paragraphs(rows: Column) -> Column:
     """Consecutive text rows of one block as one paragraph; a hyphen before a lower-case row joins without a space."""
-    plain = F.transform(rows, lambda r: F.struct(
-        *fields(r, "page", "block", "kind"),
-        F.when(r["kind"] == "marker", r["text"]).otherwise(T.expand_ligatures(r["text"])).alias("text")))
+    def plain(r: Column) -> Column:
+        return F.struct(*fields(r, "page", "block", "kind"),
+                        F.when(r["kind"] == "marker", r["text"]).otherwise(T.expand_ligatures(r["text"])).alias("text"))
 
     def assemble(rs: Column) -> Column:
         def follows(r: Column, i: Column) -> Column:
@@ -187,12 +218,12 @@ def assemble_paragraphs(rows: Column) -> Column:
 
         heads = F.filter(rs, lambda r, i: ~follows(r, i))
         texts = F.split(F.array_join(F.transform(rs, piece), ""), T.CUT)
-        return F.zip_with(heads, texts, lambda h, t: F.struct(h["page"].alias("page"), h["kind"].alias("kind"),
-                                                              T.dehyphenate(t).alias("text")))
+        # no rows: splitting the empty text gives one piece, which has no head
+        found = F.filter(F.zip_with(heads, texts, lambda h, t: F.struct(h.alias("h"), t.alias("t"))), lambda x: x["h"].isNotNull())
+        return F.transform(found, lambda x, i: F.struct((i + 1).alias("para"), x["h"]["page"].alias("page"), x["h"]["kind"].alias("kind"),
+                                                        T.dehyphenate(x["t"]).alias("text")))
 
-    numbered = F.transform(let(plain, assemble), lambda p, i: F.struct(
-        (i + 1).alias("para"), p["page"].alias("page"), p["kind"].alias("kind"), p["text"].alias("text")))
-    return F.when(F.size(rows) > 0, numbered).otherwise(_none("struct<para:int,page:int,kind:string,text:string>"))
+    return let(F.transform(rows, plain), assemble)
 
 
 def paragraphs(lines: Column, keep_references: bool = False) -> Column:
@@ -202,35 +233,36 @@ def paragraphs(lines: Column, keep_references: bool = False) -> Column:
 def items(paras: Column) -> Column:
     """Sentences, headings and markers in reading order. A sentence has an ``id`` counted over the document, and the first
     one of a paragraph the last heading that stands between it and the sentence before."""
-    def build(s: Column) -> Column:
-        others = s["others"]
-
-        def heading_before(p: Column) -> Column:
-            head = F.try_element_at(F.filter(others, lambda o: (o["kind"] == "heading") & (o["para"] < p["para"])), F.lit(-1))
-            between = F.filter(others, lambda o: (o["para"] > head["para"]) & (o["para"] < p["para"]))
-            return F.when(F.size(between) == p["para"] - head["para"] - 1, head["text"])
-
-        def of(p: Column) -> Column:
-            def sentence(t: Column, i: Column) -> Column:
-                return F.struct(p["page"].alias("page"), p["para"].alias("para"), i.alias("pos"), F.lit("sentence").alias("kind"),
-                                t.alias("text"), F.when(i == 0, heading_before(p)).alias("heading_before"))
-            other = F.struct(p["page"].alias("page"), p["para"].alias("para"), F.lit(0).alias("pos"), p["kind"].alias("kind"),
-                             p["text"].alias("text"), F.lit(None).cast("string").alias("heading_before"))
-            return (F.when(p["kind"] == "para", F.transform(T.split_sentences(p["text"]), sentence))
-                    .otherwise(F.array(other)))
-
-        return number(F.flatten(F.transform(s["paras"], of)))
-
-    def number(all_items: Column) -> Column:
-        def with_ids(s: Column) -> Column:
-            return F.transform(s["all"], lambda x, i: F.struct(
-                F.when(x["kind"] == "sentence", i + 1 - F.size(F.filter(s["gaps"], lambda g: g < i))).cast("long").alias("id"),
-                *fields(x, "page", "para", "pos", "kind", "text", "heading_before")))
-        gaps = let(all_items, lambda a: F.struct(a.alias("all"), F.filter(
-            F.transform(a, lambda x, i: F.when(x["kind"] != "sentence", i)), lambda g: g.isNotNull()).alias("gaps")))
-        return let(gaps, with_ids)
-
-    return let(paras, lambda ps: let(F.struct(ps.alias("paras"), F.filter(ps, lambda p: p["kind"] != "para").alias("others")), build))
+    def other(p: Column) -> Column:
+        return F.struct(*fields(p, "page", "para"), F.lit(0).alias("pos"), *fields(p, "kind", "text"),
+                        F.lit(None).cast("string").alias("heading_before"))
+
+    def of_run(run: Column) -> Column:
+        """A run is the headings and markers before a paragraph, and the paragraph; the last one may lack it."""
+        apart = F.filter(run, lambda p: p["kind"] != "para")
+        last = F.try_element_at(run, F.lit(-1))
+        heading = F.try_element_at(F.filter(run, lambda p: p["kind"] == "heading"), F.lit(-1))["text"]
+        sentences = F.transform(T.split_sentences(last["text"]), lambda t, i: F.struct(
+            *fields(last, "page", "para"), i.alias("pos"), F.lit("sentence").alias("kind"), t.alias("text"),
+            F.when(i == 0, heading).alias("heading_before")))
+        others = F.transform(apart, other)
+        return F.when(last["kind"] == "para", F.concat(others, sentences)).otherwise(others)
+
+    def build(ps: Column) -> Column:
+        starts = positions(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["kind"] == "para"))
+        return F.flatten(F.transform(runs(ps, starts), of_run))
+
+    def number(xs: Column) -> Column:
+        """A run starts with a heading or marker, of which k stand before run k and one more in it, but for an opening sentence."""
+        def ids(s: Column) -> Column:
+            return F.flatten(F.zip_with(runs(xs, s), F.transform(s, lambda at, k: at - k), lambda run, at: F.transform(run, lambda x, i: F.struct(
+                F.when(x["kind"] == "sentence", at + i + apart).cast("long").alias("id"),
+                *fields(x, "page", "para", "pos", "kind", "text", "heading_before")))))
+
+        apart = F.when(F.get(xs, F.lit(0))["kind"] == "sentence", 1).otherwise(0)
+        return let(positions(xs, lambda x, i: (i == 0) | (x["kind"] != "sentence")), ids)
+
+    return let(let(paras, build), number)
 
 
 def explode_sentences(docs: DataFrame, all_items: Column) -> DataFrame:

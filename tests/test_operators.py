@@ -1,5 +1,6 @@
 """Operators against brute force and hand-written cases."""
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -14,6 +15,7 @@ from annolytics.operators import fidelity as X
 from annolytics.operators import layout as L
 from annolytics.operators import logs as H
 from annolytics.operators import ordered as O
+from annolytics.operators import text as S
 from annolytics.plans import load_queries
 from annolytics.plans.registry import Tables
 
@@ -379,3 +381,68 @@ def test_progress_over_several_batches_is_that_of_the_table(spark, tmp_path):
     kept = S.run_available(S.progress(stream, F.col("step")), mode="update")
     assert kept.select("batch").distinct().count() == 3
     assert rows(S.latest_of(kept, ["session"]), "session") == rows(S.progress(data, F.col("step")), "session")
+
+
+def _states(flags):
+    """The state before each row, one row after the other. ``flags``: opens references, ends them, appendix, checklist."""
+    out, state, seen = [], 0, False
+    for opens, ends, appendix, checklist in flags:
+        seen = seen or opens
+        checklist = checklist and seen
+        out.append((state, checklist))
+        if state == 2:
+            state = 0 if appendix else 2
+        elif state == 1 and not ends:
+            state = 1
+        else:
+            state = 2 if checklist and not (state == 0 and opens) else 1 if state == 0 and opens else 0
+    return out
+
+
+def test_region_states_are_those_of_the_automaton(spark):
+    r = random.Random(5)
+    texts = {"words": (0, 0, 0, 0), "references": (1, 0, 0, 0), "appendixa": (0, 1, 1, 0), "paperchecklist": (0, 1, 0, 1), "results": (0, 1, 0, 0)}
+    docs = [[r.choice(list(texts)) for _ in range(r.choice([0, 1, 2, 7, 40]))] for _ in range(80)]
+    made = [(d, [(i, 1, 1, x, x not in ("words", "references"), x) for i, x in enumerate(doc)]) for d, doc in enumerate(docs)]
+    df = spark.createDataFrame(made, "d int, rows array<struct<row_no:int,page:int,block:int,text:string,heading:boolean,norm:string>>")
+    got = {x.d: [(s.state, s.is_checklist) for s in x.s] for x in df.select("d", S.region_states(F.col("rows")).alias("s")).collect()}
+    assert got == {d: _states([tuple(map(bool, texts[x])) for x in doc]) for d, doc in enumerate(docs)}
+
+
+def test_items_follow_the_paragraphs(spark):
+    r = random.Random(6)
+    docs = [[r.choice(["para", "para", "heading", "marker", "blank"]) for _ in range(r.choice([0, 1, 3, 30]))] for _ in range(60)]
+    made = [(d, [(i + 1, 1, "para" if k == "blank" else k, "" if k == "blank" else f"{k} has number {i}. Then three words more.") for i, k in enumerate(doc)])
+            for d, doc in enumerate(docs)]
+    df = spark.createDataFrame(made, "d int, paras array<struct<para:int,page:int,kind:string,text:string>>")
+    got = {x.d: [(s.id, s.para, s.pos, s.kind, s.heading_before) for s in x.s] for x in df.select("d", S.items(F.col("paras")).alias("s")).collect()}
+    for d, doc in enumerate(docs):
+        want, last, head = [], 0, None
+        for i, k in enumerate(doc):
+            if k in ("heading", "marker"):
+                want.append((None, i + 1, 0, k, None))
+                head = f"heading has number {i}. Then three words more." if k == "heading" else head
+                continue
+            for pos in range(0 if k == "blank" else 2):
+                last += 1
+                want.append((last, i + 1, pos, "sentence", head if pos == 0 else None))
+            head = None
+        assert got[d] == want
+
+
+def test_structuring_grows_with_the_lines(spark):
+    def seconds(n):
+        pos = F.col("id").cast("int")
+        text = (F.when(pos % 8 == 7, (pos % 100).cast("string")).when(pos % 40 == 13, "5 References").when(pos % 40 == 18, "A. Paper Checklist")
+                .when(pos % 40 == 22, "B Appendix").otherwise(F.concat(F.lit("Some words of line "), pos.cast("string"), F.lit(" end here. And more"))))
+        line = F.struct(pos.alias("row_no"), F.floor(pos / 8).alias("page"), F.floor(pos / 4).alias("block"), text.alias("text"),
+                        F.when(pos % 40 == 18, 14.0).when(pos % 23 == 10, 14.0).otherwise(10.0).alias("size"), (pos % 29 == 5).alias("bold"),
+                        F.lit(1).alias("dir_x"), F.lit(0).alias("dir_y"))
+        doc = spark.range(n).select(line.alias("l")).agg(F.array_sort(F.collect_list("l")).alias("lines"))
+        start = time.time()
+        made = doc.select(F.explode(S.items(S.paragraphs(F.col("lines")))).alias("x")).agg(F.max("x.id"), F.max("x.heading_before")).first()
+        assert made[0] > n / 10
+        return time.time() - start
+
+    seconds(2_000)
+    assert seconds(32_000) < 20 * seconds(2_000)
