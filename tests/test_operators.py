@@ -436,7 +436,7 @@ def test_structuring_grows_with_the_lines(spark):
         text = (F.when(pos % 8 == 7, (pos % 100).cast("string")).when(pos % 40 == 13, "5 References").when(pos % 40 == 18, "A. Paper Checklist")
                 .when(pos % 40 == 22, "B Appendix").otherwise(F.concat(F.lit("Some words of line "), pos.cast("string"), F.lit(" end here. And more"))))
         line = F.struct(pos.alias("row_no"), F.floor(pos / 8).alias("page"), F.floor(pos / 4).alias("block"), text.alias("text"),
-                        F.when(pos % 40 == 18, 14.0).when(pos % 23 == 10, 14.0).otherwise(10.0).alias("size"), (pos % 29 == 5).alias("bold"),
+                        F.when(pos % 40 == 18, 14.0).when(pos % 40 == 22, 14.0).otherwise(10.0).alias("size"), (pos % 29 == 5).alias("bold"),
                         F.lit(1).alias("dir_x"), F.lit(0).alias("dir_y"))
         doc = spark.range(n).select(line.alias("l")).agg(F.array_sort(F.collect_list("l")).alias("lines"))
         start = time.time()
