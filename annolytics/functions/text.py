@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 # Characters the text layer of a page writes as one and their plain forms
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 QUOTES_FROM, QUOTES_TO = "’‘“”", "''\"\""
-CJK = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
+# Ranges of scripts
+KANA_RANGE, IDEOGRAPH_RANGE, HANGUL_RANGE, CYRILLIC_RANGE = r"\u3040-\u30ff", r"\u3400-\u9fff", r"\uac00-\ud7af", r"\u0400-\u04ff"
+HAN_RANGE = r"\u4e00-\u9fff"
+CJK = f"[{KANA_RANGE}{IDEOGRAPH_RANGE}{HANGUL_RANGE}]"
 
 # What the structuring rules look for. The heading patterns apply to normalised keys.
 PAGE_NUMBER = r"(?i)^(?:\d{1,4}|[ivxlcdm]{1,7})$"

@@ -11,7 +11,7 @@ from .ordered import first_rows, group_total, ordered_scan, running_count, upper
 # Style patterns and thresholds of the habits
 LABEL_START = r"^[^：:\n]{1,10}[：:]"
 LIST_LINE = r"(^|\n)\s*(\d+[.、)]|[-•*])\s"
-HAN = r"[一-鿿]"
+HAN = f"[{T.HAN_RANGE}]"
 TOP_EDGE, CENTRE, BAND_WIDTH = 670, 300, 250
 MIN_SHARE, MIN_COLOURS, HABIT = 0.03, 2, 0.05
 VENUE_FIELDS = ("publication_title", "proceedings_title", "conference_name", "book_title", "university", "repository", "publisher")

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..operators import text as X
 from ..operators.ordered import once, spread
 from .registry import Tables
 
@@ -61,7 +63,10 @@ texts AS (SELECT doc_id, page, string_agg(norm, '' ORDER BY word_no) AS text, li
 
 def pages(t: Tables) -> DataFrame:
     """One row per page with its words as an array."""
-    docs = documents(t).select("doc_id", "lines", F.explode(F.array_distinct(F.transform("lines", lambda r: r["page"]))).alias("page"))
+    def by_page(rows):
+        return X.runs(rows, X.positions(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["page"] != r["page"])))
+
+    docs = documents(t).select("doc_id", F.explode(let(F.col("lines"), by_page)).alias("rows"))
 
     def words(r):
         made = F.transform(F.split(r["text"], " "), lambda w, i: F.struct(
@@ -69,8 +74,7 @@ def pages(t: Tables) -> DataFrame:
             (i * 37 % 480 + 6 * F.length(w)).alias("x1"), (r["row_no"] % 8 * 14).alias("y0"), (r["row_no"] % 8 * 14 + 10).alias("y1")))
         return F.filter(made, lambda w: w["word"] != "")
 
-    own = F.flatten(F.transform(F.filter("lines", lambda r: r["page"] == F.col("page")), words))
-    docs = once(docs, own=own).select("doc_id", "page", "own")
+    docs = once(docs, own=F.flatten(F.transform("rows", words))).select("doc_id", F.col("rows")[0]["page"].alias("page"), "own")
     return once(docs, words=F.transform("own", lambda w, i: F.struct(i.alias("word_no"), *[w[c].alias(c) for c in (
         "word", "block", "line", "x0", "x1", "y0", "y1")]))).drop("own").filter(F.size("words") > 0)
 
