@@ -1,10 +1,13 @@
 """Text expressions. All run inside the JVM; regular expressions use Unicode classes."""
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters the text layer of a page writes as one and their plain forms
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -101,26 +104,29 @@ def count_matches(c: str | Column, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern))
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Named and numeric character references as the characters they stand for."""
+    return texts.map(lambda s: html.unescape(s) if s and "&" in s else s)
+
+
 def html_text(c: str | Column) -> Column:
-    """Markup as plain text: tags to spaces, the five named entities and the no-break space unescaped, collapsed."""
-    out = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse(out)
+    """Markup as plain text: tags to spaces, character references read, collapsed."""
+    return collapse(unescape(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"<[^>]+>", " ")))
 
 
 def note_title(c: str | Column) -> Column:
     """The text of the first heading, else of the whole note, at most 200 characters."""
-    html = F.coalesce(col(c), F.lit(""))
-    heading = F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    has = html.rlike(r"(?is)<h1[^>]*>.*?</h1>")
-    return F.substring(collapse(F.regexp_replace(F.when(has, heading).otherwise(html), r"<[^>]+>", "")), 1, 200)
+    markup = F.coalesce(col(c), F.lit(""))
+    heading = F.regexp_extract(markup, r"(?is)<h1[^>]*>(.*?)</h1>", 1)
+    has = markup.rlike(r"(?is)<h1[^>]*>.*?</h1>")
+    return F.substring(collapse(F.regexp_replace(F.when(has, heading).otherwise(markup), r"<[^>]+>", "")), 1, 200)
 
 
 def note_body(c: str | Column) -> Column:
     """The text of a note without its first heading."""
-    html = F.coalesce(col(c), F.lit(""))
-    parts = F.split(html, r"(?is)<h1[^>]*>.*?</h1>", 2)
+    markup = F.coalesce(col(c), F.lit(""))
+    parts = F.split(markup, r"(?is)<h1[^>]*>.*?</h1>", 2)
     return html_text(F.array_join(parts, " "))
 
 

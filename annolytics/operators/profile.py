@@ -166,7 +166,7 @@ def paper_status(items: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def note_list(notes: DataFrame) -> DataFrame:
-    return notes.select("key", "parent", F.substring(T.note_title("html"), 1, 100).alias("title"), "own",
+    return notes.select("key", "parent", T.note_title("html").alias("title"), "own",
                         F.length(T.collapse(F.regexp_replace("html", r"<[^>]+>", " "))).alias("characters"))
 
 

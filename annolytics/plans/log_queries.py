@@ -152,6 +152,16 @@ def reports(t: Tables):
     return rows.select("event_id", F.get_json_object("report", "$.missed").cast("long").alias("missed"))
 
 
+@query("h09_read_ranges", """SELECT user_id AS session, event_id AS ord, CASE WHEN event_id % 3 = 0 THEN '1' ELSE CAST(CAST(props->>'$.k' AS BIGINT) * 10 + 1 AS VARCHAR) END
+  || '+' || CASE WHEN event_id % 4 = 0 THEN 'all' ELSE props->>'$.k' END AS range FROM events WHERE event_type = 'view'""")
+def read_ranges(t: Tables):
+    k = F.get_json_object("props", "$.k").cast("long")
+    cmd = F.to_json(F.struct(F.when(F.col("event_id") % 3 != 0, k * 10 + 1).alias("offset"), F.when(F.col("event_id") % 4 != 0, k).alias("limit")))
+    blocks = t.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("ord"), F.lit("assistant").alias("type"), F.lit("tool_use").alias("block"),
+                             F.when(F.col("event_type") == "view", "Read").otherwise("Bash").alias("name"), cmd.alias("cmd"))
+    return G.read_ranges(blocks)
+
+
 GROWTH = """growth AS (SELECT *, lead(context) OVER w - context - coalesce(output, 0) AS grown, count(*) OVER (PARTITION BY session) - row_number() OVER w AS reread FROM known WINDOW w AS (PARTITION BY session ORDER BY ord)),
 shared AS (SELECT r.session, r.call_key, r.kind, r.ord, g.reread, CAST(round_even(CASE WHEN grown < 0 THEN 0 ELSE grown END * CASE WHEN s.c > 0 THEN coalesce(r.chars, 0) / s.c ELSE 1 / s.n END, 0) AS BIGINT) AS added
   FROM resulted r JOIN growth g USING (session, message_id) JOIN (SELECT session, message_id, sum(coalesce(chars, 0)) AS c, count(*) AS n FROM resulted GROUP BY 1, 2) s USING (session, message_id))"""

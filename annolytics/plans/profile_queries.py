@@ -215,3 +215,9 @@ GROUP BY ROLLUP (library)""")
 def grand_total(t: Tables):
     per = _library(t).groupBy("library", "parent").agg(F.count("*").alias("n"), F.count_if("own").alias("own_n"))
     return P.with_grand_total(per, "library", ["n", "own_n"])
+
+
+@query("g12_note_list", NOTES_SQL, rf"""SELECT key, parent, {title_sql('html')} AS title, own,
+  length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS characters FROM notes""")
+def note_list(t: Tables):
+    return P.note_list(_notes(t)[0])

@@ -22,6 +22,13 @@ def listing_scan(t: Tables):
     return S.list_annotations(rows).select("doc_id", F.md5("text").alias("text"), "comment")
 
 
+@query("a03_note_listing", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN md5(html) END AS html,
+  substr(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), 1, 200) AS title FROM pages""")
+def note_listing(t: Tables):
+    rows = t.pages.select("page_id", "html", F.when(F.col("page_id") % 3 == 0, F.array(F.lit(R.OWN_TAGS[0]))).otherwise(F.array(F.lit("mine"))).alias("tags"))
+    return S.list_notes(rows).select("page_id", F.md5("html").alias("html"), "title")
+
+
 @query("a04_positions", ANNOTATIONS_SQL, """SELECT key, CASE WHEN page % 9 <> 4 THEN page END AS page_index, CASE WHEN page % 9 = 4 THEN 0 WHEN page % 5 = 2 THEN 2 ELSE 1 END AS n,
   CASE WHEN page % 9 <> 4 THEN CAST(x1 AS DOUBLE) END AS x1 FROM annotations""")
 def positions(t: Tables):
@@ -56,6 +63,19 @@ def fingerprints(t: Tables):
     return t.documents.select("doc_id", S.content_fingerprint("text").alias("sha256"))
 
 
+@query("a06_changed_rows", """SELECT coalesce(a.doc_id, b.doc_id) AS path, a.sha256 AS was, b.sha256 AS now
+FROM (SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 7 <> 0) a
+FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS sha256 FROM documents WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id
+WHERE a.sha256 IS DISTINCT FROM b.sha256""")
+def changed_rows(t: Tables):
+    """Documents that are gone, new or other than before."""
+    d = F.col("doc_id")
+    before = t.documents.filter(d % 7 != 0).select(d.alias("path"), S.content_fingerprint("text").alias("sha256"))
+    after = t.documents.filter(d % 11 != 0).select(
+        d.alias("path"), S.content_fingerprint(F.when(d % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha256"))
+    return S.changed_files(before, after)
+
+
 @query("a07_sentence_sink", *TO_SENTENCES, "SELECT page, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM sentences GROUP BY page")
 def sentence_sink(t: Tables):
     path = f"{checkpoint_dir(t.spark)}/sentences-{uuid.uuid4().hex}"

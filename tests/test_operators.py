@@ -446,3 +446,43 @@ def test_structuring_grows_with_the_lines(spark):
 
     seconds(2_000)
     assert seconds(32_000) < 20 * seconds(2_000)
+
+
+def test_character_references_are_read(spark):
+    df = spark.createDataFrame([("<p>caf&eacute;&nbsp;&#8212; &#x41;&amp;lt; &copy;</p>",), ("",), (None,)], "h string")
+    assert [r.t for r in df.select(T.html_text("h").alias("t")).collect()] == ["café — A&lt; ©", "", ""]
+
+
+def test_margins_are_packed_like_one_step_after_the_other():
+    def steps(blocks, occupied, floor, ceiling, gap=3):
+        """Every whole top tried in turn, down and then up."""
+        taken, out = list(occupied), {}
+        for i in sorted(range(len(blocks)), key=lambda i: -blocks[i][0]):
+            want, h = blocks[i]
+            if h > ceiling - floor:
+                top, flag = ceiling, "too tall"
+            else:
+                want = min(max(want, floor + h), ceiling)
+                free = lambda t: all(t - h >= hi + gap or t <= lo - gap for lo, hi in taken)
+                tops = [t for t in [*range(want, floor + h - 1, -1), *range(want, ceiling + 1)] if free(t)]
+                top, flag = (tops[0], None) if tops else (want, "no room")
+            out[i] = (float(top), flag)
+            taken.append((top - h, top))
+        return [out[i] for i in range(len(blocks))]
+
+    r = random.Random(9)
+    for _ in range(300):
+        ceiling = r.choice([60, 200])
+        blocks = [(r.randrange(-20, ceiling + 30), r.choice([5, 14, 40, 80])) for _ in range(r.randrange(12))]
+        occupied = [(a, a + r.choice([4, 12, 50])) for a in (r.randrange(ceiling) for _ in range(r.randrange(5)))]
+        assert L._pack(blocks, occupied, 0, ceiling) == steps(blocks, occupied, 0, ceiling)
+
+
+def test_the_longest_shared_block_lays_the_key(spark):
+    r = random.Random(10)
+    for _ in range(300):
+        text, key = ("".join(r.choice("abc") for _ in range(r.randrange(1, 25))) for _ in range(2))
+        blocks = [(-n, i, j) for i in range(len(text)) for j in range(len(key)) for n in range(1, 25)
+                  if text[i:i + n] == key[j:j + n] and i + n <= len(text) and j + n <= len(key)]
+        start = max(0, min(blocks)[1] - min(blocks)[2]) if blocks else None
+        assert A._around_longest(text, key)[0] == start
