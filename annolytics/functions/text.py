@@ -43,6 +43,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sums_before(ns: Column, width: int = 32) -> Column:
+    """For each number of an array the sum of those before it. Sums run inside pieces of ``width``, then over the pieces, so that
+    no array grows by one element at a time over the whole length."""
+    def running(xs: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + of(x)))
+
+    def shift(pieces: Column) -> Column:
+        return let(running(pieces, lambda p: F.element_at(p, -1)), lambda bases: F.flatten(F.transform(
+            pieces, lambda p, k: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + F.get(bases, k)))))
+
+    def cut(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(width))
+        return F.transform(starts, lambda at: running(F.slice(xs, at, F.lit(width)), lambda x: x))
+
+    return let(let(ns, cut), shift)
+
+
 def collapse(c: str | Column) -> Column:
     """Whitespace runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))

@@ -24,13 +24,9 @@ MIN_ANCHOR = 8
 def page_index(pages: DataFrame) -> DataFrame:
     """Pages with the words' keys, their offsets in the page's text, and the text."""
     keyed = F.transform("raw_words", lambda w: F.struct(w.alias("w"), F.length(T.norm_key(w["word"])).alias("n")))
-    zero = F.array(F.lit(0))
-
-    def offsets(ws: Column) -> Column:
-        return F.aggregate(ws, zero, lambda acc, w: F.concat(acc, F.array(F.try_element_at(acc, F.lit(-1)) + w["n"])))
 
     def place(ws: Column) -> Column:
-        return let(offsets(ws), lambda at: F.transform(ws, lambda w, i: F.struct(
+        return let(T.sums_before(F.transform(ws, lambda w: w["n"])), lambda at: F.transform(ws, lambda w, i: F.struct(
             *fields(w["w"], "word_no", "word", "block", "line", "x0", "y0", "x1", "y1"),
             F.get(at, i).alias("offset"), w["n"].alias("n"))))
 
@@ -87,8 +83,10 @@ def match_phrases(intents: DataFrame, index: DataFrame) -> DataFrame:
 
 def find_spans(text: Column, a: Column, b: Column, max_span: int | None = None) -> Column:
     """Every occurrence of ``a`` with the next ``b`` after it, at most ``max_span`` long if that is given, as distinct ``start, stop``."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(a) + 1, F.lit(1))),
-                      lambda i: F.substring(text, i, F.length(a)) == a)
+    # the text cut before every occurrence of ``a``, also of overlapping ones
+    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), a, F.lit("\\E)")))
+    starts = let(pieces, lambda ps: F.filter(F.transform(T.sums_before(F.transform(ps, lambda p: F.length(p))), lambda at, k: F.when(
+        (k > 0) | text.startswith(a), at + 1)), lambda at: at.isNotNull()))
     spans = F.transform(starts, lambda i: let(F.call_function("locate", b, text, i + F.length(a)),
                                               lambda j: F.struct((i - 1).alias("start"), (j - 1 + F.length(b)).alias("stop"), (j > 0).alias("ok"))))
     good = F.filter(spans, lambda s: s["ok"] & (s["stop"] - s["start"] <= max_span) if max_span else s["ok"])

@@ -486,3 +486,19 @@ def test_the_longest_shared_block_lays_the_key(spark):
                   if text[i:i + n] == key[j:j + n] and i + n <= len(text) and j + n <= len(key)]
         start = max(0, min(blocks)[1] - min(blocks)[2]) if blocks else None
         assert A._around_longest(text, key)[0] == start
+
+
+def test_sums_before_and_spans(spark):
+    r = random.Random(11)
+    lists = [[r.randrange(9) for _ in range(n)] for n in (0, 1, 2, 255, 256, 257, 700)]
+    df = spark.createDataFrame([(x,) for x in lists], "xs array<int>")
+    assert [x.s for x in df.select(T.sums_before(F.col("xs")).alias("s")).collect()] == [[sum(xs[:i]) for i in range(len(xs))] for xs in lists]
+    cases = [("".join(r.choice("ab") for _ in range(r.randrange(12))), r.choice(["a", "aa", "aba", "b"]), r.choice(["b", "bb", "a"])) for _ in range(200)]
+    want = []
+    for text, a, b in cases:
+        starts = [i for i in range(len(text)) if text.startswith(a, i)]
+        ends = [(i, text.find(b, i + len(a))) for i in starts]
+        want.append([(i, j + len(b)) for i, j in ends if j >= 0])
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, a string, b string")
+    got = df.select("i", A.find_spans(F.col("t"), F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
+    assert [[tuple(s) for s in x.s] for x in got] == want
