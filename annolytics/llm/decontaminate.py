@@ -116,15 +116,15 @@ def _hits(bits: np.ndarray, masks: tuple[str, ...], texts: list[np.ndarray]) ->
     return out
 
 
-def _regions(bits: np.ndarray, masks: tuple[str, ...]):
-    """Places of texts that hit the filter, close ones together in one region with the words around."""
+def _regions(bits: np.ndarray, masks: tuple[str, ...], around: int):
+    """Places of texts that hit the filter, close ones together in one region with ``around`` words before and after."""
 
     def grouped(doc_id, key, words: np.ndarray, found: list[tuple[int, int]]) -> Iterator[tuple]:
         group: list[tuple[int, int]] = []
         for hit in [*found, None]:
             if group and (hit is None or hit[0] - group[-1][0] > CONTEXT or len(group) >= 4096):
-                start = max(0, group[0][0] - CONTEXT)
-                yield doc_id, key, start, words[start:group[-1][0] + CONTEXT].view(np.int64), [p - start for p, _ in group], [x for _, x in group]
+                start = max(0, group[0][0] - around)
+                yield doc_id, key, start, words[start:group[-1][0] + around].view(np.int64), [p - start for p, _ in group], [x for _, x in group]
                 group = []
             if hit:
                 group.append(hit)
@@ -167,6 +167,17 @@ def best_segment(agree: np.ndarray) -> tuple[int, int]:
     return out
 
 
+def longest_overlap(agree: np.ndarray, min_agree: float) -> tuple[int, int]:
+    """The longest stretch [from, to) of which ``min_agree`` agree; of equal ones the one with most agreeing words, then the first."""
+    same = np.r_[0, np.cumsum(agree)]
+    excess = same - min_agree * np.arange(len(same))
+    # for each end the first start with no greater excess: the running minimum falls to it there
+    first = np.searchsorted(-np.minimum.accumulate(excess), -(excess + 1e-9))
+    size = np.arange(len(same)) - first
+    last = int(np.lexsort((first, -(same - same[first]), -size))[0])
+    return int(first[last]), last
+
+
 def _checked(min_overlap: int, min_agree: float):
     """Overlaps around hits: region and item are laid over each other at the hit, words may be substituted, none left out."""
 
@@ -177,9 +188,9 @@ def _checked(min_overlap: int, min_agree: float):
                 shift = int(at) - int(item_at)
                 low, high = max(0, -shift), min(len(item), len(words) - shift)
                 agree = np.asarray(item[low:high]) == np.asarray(words[low + shift:high + shift])
-                first, last = best_segment(agree)
+                first, last = longest_overlap(agree, min_agree)
                 n, same = last - first, int(agree[first:last].sum())
-                if n >= min(min_overlap, len(item)) and same >= min_agree * n:
+                if n >= min(min_overlap, len(item)):
                     rows.append((doc_id, key, item_id, int(start) + low + shift + first, n, same, same / len(item)))
             yield pd.DataFrame(rows, columns=["doc_id", "key", "item_id", "first_word", "n_words", "n_same", "coverage"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -188,12 +199,13 @@ def _checked(min_overlap: int, min_agree: float):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_item: int = MIN_ITEM,
                min_overlap: int = MIN_OVERLAP, min_agree: float = MIN_AGREE) -> DataFrame:
-    """(doc_id, key, item_id, first_word, n_words, n_same, coverage): the longest overlap of a document's text with a benchmark item.
+    """(doc_id, key, item_id, first_word, n_words, n_same, coverage): the overlap of a document's text with a benchmark item, the longest of
+    each alignment, and of these the one with most agreeing words.
 
     ``docs``: (doc_id, text), ``benchmark``: (item_id, text). Words are those of ``Hasher``. Masks select words
     of every window of both sides, so that substituted words in the gaps do not matter; equal selections are hits. Around a hit the texts
     are compared word by word on that alignment; an overlap counts from ``min_overlap`` words (or the whole of a shorter item) of
-    which ``min_agree`` agree. first_word counts the text's words from 0, coverage is the share of the item's words found.
+    which ``min_agree`` agree, wherever the others stand, at its ends too. first_word counts the text's words from 0, coverage is the share of the item's words found.
 
     Windows of the test side go into a filter of fixed size (2 MB) that is sent to the tasks; of the training texts only regions
     with hits are shuffled, to an exact join by hash. Repeated hits of one alignment are verified once.
@@ -206,14 +218,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
     folder = scratch(spark, "leaks")
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text")).distinct()
                    .mapInPandas(lean(_item_rows(masks, min_item)), "item_id long, words array<long>, mask string, seed long, item_at int"), f"{folder}/items")
-    used = tuple(sorted(r["mask"] for r in items.select("mask").distinct().collect()))  # the masks, and runs shorter than they
+    lengths = {r["mask"]: r["n"] for r in items.groupBy("mask").agg(F.max(F.size("words")).alias("n")).collect()}
+    used, longest = tuple(sorted(lengths)), max(lengths.values(), default=0)  # the masks, and runs shorter than they
     parts = items.select("mask", "seed").mapInPandas(lean(_filter_bits), "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(BLOOM_BITS >> 3, np.uint8)
     bits[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.uint8)
 
     text = text_of("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    regions = stored(rows.mapInPandas(lean(_regions(bits, used)), "doc_id long, key binary, start int, words array<long>, at array<int>, seed array<long>")
+    regions = stored(rows.mapInPandas(lean(_regions(bits, used, max(CONTEXT, longest))), "doc_id long, key binary, start int, words array<long>, at array<int>, seed array<long>")
                      .withColumn("region", F.monotonically_increasing_id()), f"{folder}/regions")
     hits = regions.select("region", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("region", "h.at", "h.seed")
     alignments = (hits.join(items.select("seed", "item_id", "item_at", F.col("words").alias("item")), "seed")

@@ -430,6 +430,36 @@ def test_best_segment_is_the_greatest():
         assert value(*decontaminate.best_segment(np.array(agree, dtype=bool))) == best
 
 
+def test_leaks_equal_brute_force_over_all_stretches(spark):
+    rng = random.Random(13)
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate((7, 9, 12, 13, 20, 40, 200))]
+    rows, copies = [], []
+
+    def add(item, changed):
+        words = [f"n{len(rows)}x{j}" for j in range(30)]
+        words[15:15] = [f"o{len(rows)}x{j}" if j in changed else w for j, w in enumerate(items[item])]
+        copies.append((item, [j not in changed for j in range(len(items[item]))]))
+        rows.append((len(rows), " ".join(words), "en", "s", 0))
+
+    for item, changed in ((4, {12, 15}), (4, set(range(3, 20, 4))), (2, {11}), (2, {0}), (0, {3}), (3, {0, 12}), (6, set(range(7, 100)) | set(range(101, 190, 4)))):
+        add(item, changed)
+    for _ in range(150):
+        item = rng.randrange(len(items))
+        n = len(items[item])
+        add(item, set(rng.sample(range(n), rng.randint(0, n // 3))) | set(rng.choice([(), (0,), (n - 1,), (0, n - 1)])))
+    want = {}
+    for doc, (item, agree) in enumerate(copies):
+        n, total = len(agree), [0, *itertools.accumulate(agree)]
+        hit = any(all(agree[at + j] for j, bit in enumerate(m) if bit == "1") for m in decontaminate.item_seeds(n, decontaminate.MASKS) for at in range(n - len(m) + 1))
+        fits = [(b - a, total[b] - total[a], -a) for a in range(n) for b in range(a + min(13, n), n + 1) if total[b] - total[a] >= 0.75 * (b - a)]
+        if hit and fits:
+            size, same, first = max(fits)
+            want[doc, item] = (15 - first, size, same)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_same) for r in decontaminate.find_leaks(docs_of(spark, rows), bench).collect()}
+    assert got == want and {(d, copies[d][0]) for d in range(7)} <= set(got)
+
+
 # ---- queries and the pipeline
 
 def test_queries_equal_their_sql(spark):
