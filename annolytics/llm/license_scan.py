@@ -1,9 +1,10 @@
-"""Licence notices by exact containment of template words in lines, in DataFrame operations only."""
+"""Licence notices by exact containment of template words in lines or in windows of words, in DataFrame operations only."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import once
 from .common import lower_ascii, text_key, text_of
 
 PERCENT = 80
@@ -116,11 +117,40 @@ def template_matches(docs: DataFrame, templates: tuple = TEMPLATES, percent: int
     return met.where(contained >= F.col("b.o")).select("a.key", "a.line", "b.label", "b.template", (contained / F.size("b.words")).alias("contained")).distinct()
 
 
-def scan_licenses(docs: DataFrame, *, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def window_matches(docs: DataFrame, templates: tuple = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """(key, label, template, contained): the templates of which ``percent`` of the distinct words stand in a window of twice their
+    length anywhere in a text, whatever line breaks lie between, with the greatest share of such a window.
+
+    A template is looked for in texts that hold enough of its words at all (length filter). A window that counts can be taken to
+    begin at a word of the template; it is looked at where enough of them are left in the text (positional filter).
+    """
+    stated = []
+    for i, (label, template) in enumerate(templates):
+        words = template.split()
+        distinct = sorted(set(words))
+        stated.append(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.array(*[F.lit(w) for w in distinct]).alias("own"),
+                               F.lit(-(-len(distinct) * percent // 100)).alias("o"), F.lit(2 * len(words)).alias("width")))
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in templates for w in t.split()})])
+    text = text_of("text")
+    texts = once(docs.select(text_key(text).alias("key"), text.alias("t")), words=F.split(lower_ascii(F.col("t")), SEPARATORS)).drop("t")
+    held = once(texts, have=F.array_intersect(vocabulary, "words"))
+    tried = held.select("key", "words", F.explode(F.filter(F.array(*stated), lambda t: F.size(F.array_intersect(t["own"], F.col("have"))) >= t["o"])).alias("t"))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(F.col("t.own"), x["w"]))
+
+    def inside(x: Column, j: Column) -> Column:
+        near = F.filter(F.slice(F.col("places"), j + 1, F.col("t.width")), lambda y: y["at"] < x["at"] + F.col("t.width"))
+        return F.when(F.size("places") - j >= F.col("t.o"), F.size(F.array_distinct(F.transform(near, lambda y: y["w"])))).otherwise(0)
+
+    most = once(once(tried, places=places).drop("words"), most=F.array_max(F.transform("places", inside)))
+    return most.where(F.col("most") >= F.col("t.o")).select("key", "t.label", "t.template", (F.col("most") / F.size("t.own")).alias("contained")).distinct()
+
+
+def scan_licenses(docs: DataFrame, *, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, percent: int = PERCENT, wrapped: bool = False) -> DataFrame:
     """Every row of ``docs`` without its text, with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Phrases count where their words stand consecutively anywhere in the text; labels adds those of templates of which a line holds
-    ``percent`` of the distinct words. score is 1 with a phrase, else the best containment of a template, 0 without one. Label lists are
+    ``percent`` of the distinct words, and with ``wrapped`` also those that a window of twice the template's length holds, so that notices
+    broken over lines are found. score is 1 with a phrase, else the best containment of a template, 0 without one. Label lists are
     distinct, sorted, joined by commas, empty without a label. A null text is empty: counts 0, places null, no labels.
     Repeated rows each get a row, input columns named like an output are replaced. No documents: no rows.
 
@@ -128,7 +158,10 @@ def scan_licenses(docs: DataFrame, *, phrases: tuple = PHRASES, templates: tuple
     """
     outputs = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in outputs])
-    by_text = template_matches(docs, templates, percent).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("contained").alias("best"))
+    matches = template_matches(docs, templates, percent).select("key", "label", "contained")
+    if wrapped:
+        matches = matches.unionByName(window_matches(docs, templates, percent).select("key", "label", "contained"))
+    by_text = matches.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("contained").alias("best"))
     r, m = base_scan(rows, phrases).alias("r"), by_text.alias("m")
     both = F.array_sort(F.array_union("r.found", F.coalesce("m.more", F.array().cast("array<string>"))))
     return r.join(m, F.col("r.key") == F.col("m.key"), "left").select(

@@ -84,6 +84,11 @@ def licenses(t: Tables) -> DataFrame:
     return license_scan.scan_licenses(t.documents.select("doc_id", "text"))
 
 
+@register("op8_wrapped_licenses")
+def wrapped_licenses(t: Tables) -> DataFrame:
+    return license_scan.scan_licenses(t.documents.select("doc_id", "text"), wrapped=True)
+
+
 @register("op9_chat_trees", CHAT_SQL)
 def chats(t: Tables) -> DataFrame:
     turns = t.conversations.select("conv_id", "turn", "role", "text")

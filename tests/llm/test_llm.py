@@ -350,6 +350,35 @@ def test_licences_of_odd_rows(spark):
     assert license_scan.scan_licenses(odd(spark)).count() == len(ODD) and license_scan.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def test_wrapped_notices_are_those_of_windows_and_lines(spark):
+    rng = random.Random(14)
+    texts, planted = [None, ""], {}
+    for label, t in license_scan.TEMPLATES:
+        words = t.split()
+        for width in (3, 6, len(words)):
+            planted[len(texts)] = label
+            texts.append(prose(rng, 40) + "\n" + "\n * ".join(" ".join(words[i:i + width]) for i in range(0, len(words), width)).upper() + "\n" + prose(rng, 9))
+    pool = " ".join(t for _, t in license_scan.TEMPLATES).split()
+    texts += ["\n".join(" ".join(rng.choice([*pool, "x", "y"]) for _ in range(rng.randint(1, 12))) for _ in range(20)) for _ in range(60)]
+    split = lambda s: [w for w in re.split(r"[^a-z0-9]+", s.lower()) if w]
+    docs = docs_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs, phrases=(("no such phrase", "x"),), wrapped=True).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        words, labels, best = split(text or ""), set(), 0.0
+        for label, t in license_scan.TEMPLATES:
+            want, width = set(t.split()), 2 * len(t.split())
+            blocks = [split(line) for line in (text or "").split("\n")] + [words[a:a + width] for a in range(len(words))]
+            most = max((len(want & set(b)) for b in blocks), default=0)
+            if 100 * most >= 80 * len(want):
+                labels.add(label)
+                best = max(best, most / len(want))
+        assert got[i].labels == ",".join(sorted(labels)) and got[i].score == pytest.approx(best)
+        assert i not in planted or planted[i] in labels
+    # lines alone lose the broken ones
+    assert any(label not in r.labels.split(",") for r in license_scan.scan_licenses(docs).collect() if (label := planted.get(r.doc_id)))
+
+
 # ---- conversations
 
 def test_escapes_are_reversible(spark):
