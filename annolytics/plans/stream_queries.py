@@ -63,9 +63,13 @@ def counter_deltas(t: Tables):
 
     from ..session import checkpoint_dir
     path = f"{checkpoint_dir(t.spark)}/counters-{uuid.uuid4().hex}"
-    G.first_records(fx.counters(t)).withColumn("session", F.col("session").cast("string")).write.parquet(path)
+    G.first_records(fx.counters(t)).withColumns({"session": F.col("session").cast("string"), "closes": F.lit(False)}).write.parquet(path)
+    # files come in any order: rows wait for the row that closes their session, in files written after all others
+    known = t.spark.read.parquet(path)
+    ends = known.groupBy("session").agg(F.max("ord").alias("ord")).withColumn("closes", F.lit(True))
+    ends.select(*[F.col(c) if c in ends.columns else F.lit(0).cast(known.schema[c].dataType).alias(c) for c in known.columns]).write.mode("append").parquet(path)
     rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1000).parquet(path)
-    out = S.run_available(S.counter_deltas(rows))
+    out = S.run_available(S.counter_deltas(rows, delay=None)).filter("late = 0")
     return out.groupBy(F.col("session").cast("long").alias("session")).agg(*[F.sum(f).alias(f) for f in G.FIELDS])
 
 

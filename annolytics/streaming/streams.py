@@ -67,40 +67,69 @@ def activity_sessions(events: DataFrame, ts: str = "ts", delay: str = "1 hour",
 
 
 class CounterDeltas(StatefulProcessor):
-    """Cumulative totals to growth, per session: the state is the totals of the last row. Rows of a micro-batch are taken in the
-    order of their event, so that an old total sent again does not look like a reset."""
+    """Cumulative totals to growth, per session. Rows wait in the state until the session's newest ``ord`` is ``delay`` beyond
+    theirs (without a delay: until a row that ``closes`` them) and are taken in order, so that an old total sent again does not
+    look like a reset. The state is the totals of the last row taken, how far rows were taken, the newest ord, and the waiting rows."""
+
+    def __init__(self, delay: int | None) -> None:
+        self.delay = delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField(f, LongType()) for f in (*FIELDS, "ord")])
-        self.last = handle.getValueState("last", schema)
+        def longs(*names: str) -> StructType:
+            return StructType([StructField(n, LongType()) for n in names])
+        self.last = handle.getValueState("last", longs(*FIELDS))
+        self.reached = handle.getValueState("reached", longs("passed", "newest"))
+        self.waiting = handle.getListState("waiting", longs("ord", *[f"total_{f}" for f in FIELDS], *[f"last_{f}" for f in FIELDS]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ord")
-        state = self.last.get() if self.last.exists() else None
-        prev, at = (dict(zip(FIELDS, state[:3])), state[3]) if state else (None, -1)
-        made = []
-        for r in batch.itertuples(index=False):
-            if r.ord <= at:
-                continue
-            total = {f: int(getattr(r, f"total_{f}")) for f in FIELDS}
-            begins = prev is None or any(total[f] < prev[f] for f in FIELDS)
-            delta = {f: int(getattr(r, f"last_{f}")) if begins else total[f] - prev[f] for f in FIELDS}
-            same = not begins and total["input"] == prev["input"]
-            prev, at = total, int(r.ord)
-            if any(delta.values()):
-                made.append((str(key[0]), at, *delta.values(), int(same)))
-        if prev is not None:
-            self.last.update((*[prev[f] for f in FIELDS], at))
-        yield pd.DataFrame(made, columns=["session", "ord", *FIELDS, "same_call"])
+        batch, n = pd.concat(list(rows)), len(FIELDS)
+        passed, newest = self.reached.get() if self.reached.exists() else (None, None)
+        ends = batch.loc[batch["closes"], "ord"]
+        data = batch.loc[~batch["closes"], ["ord", *[f"total_{f}" for f in FIELDS], *[f"last_{f}" for f in FIELDS]]]
+        new, made = [tuple(int(v) for v in r) for r in data.itertuples(index=False)], []
+        made += [(str(key[0]), r[0], *r[1 + n:], 0, 1) for r in new if passed is not None and r[0] <= passed]
+        new = [r for r in new if passed is None or r[0] > passed]
+        newest = max([int(batch["ord"].max()), *([] if newest is None else [newest])])
+        marks = [*([] if passed is None else [passed]), *([] if self.delay is None else [newest - self.delay]), *[int(v) for v in ends]]
+        upto = max(marks, default=None)
+        if upto == passed:
+            if new:
+                self.waiting.appendList(new)
+        else:
+            held = sorted([*(self.waiting.get() if self.waiting.exists() else ()), *new])
+            prev = self.last.get() if self.last.exists() else None
+            for r in held:
+                if r[0] > upto:
+                    break
+                total = r[1:1 + n]
+                begins = prev is None or any(a < b for a, b in zip(total, prev))
+                delta = r[1 + n:] if begins else tuple(a - b for a, b in zip(total, prev))
+                same = not begins and total[0] == prev[0]
+                prev = total
+                if any(delta):
+                    made.append((str(key[0]), r[0], *delta, int(same), 0))
+            if prev is not None:
+                self.last.update(tuple(prev))
+            later = [tuple(r) for r in held if r[0] > upto]
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+        self.reached.update((upto, newest))
+        yield pd.DataFrame(made, columns=["session", "ord", *FIELDS, "same_call", "late"])
 
     def close(self) -> None:
         pass
 
 
-def counter_deltas(events: DataFrame) -> DataFrame:
-    """Growth of cumulative counters per session (a text key). Needs the RocksDB state store."""
-    schema = StructType([StructField("session", StringType()), *[StructField(c, LongType()) for c in ("ord", *G.FIELDS, "same_call")]])
-    return events.groupBy("session").transformWithStateInPandas(CounterDeltas(), schema, "Append", "None")
+def counter_deltas(events: DataFrame, delay: int | None = 0) -> DataFrame:
+    """Growth of cumulative counters per session (a text key). Needs the RocksDB state store.
+
+    Rows may come ``delay`` behind the newest ``ord`` of their session; without a delay all wait for a row whose ``closes`` is true, which
+    has no growth of its own and lets rows up to its ``ord`` go. A row that comes after later ones were taken is given with ``late`` 1 and
+    its own ``last_*``: between resets the next total already holds its growth, so late rows are not to be added up with the others."""
+    schema = StructType([StructField("session", StringType()), *[StructField(c, LongType()) for c in ("ord", *G.FIELDS, "same_call", "late")]])
+    rows = events if "closes" in events.columns else events.withColumn("closes", F.lit(False))
+    return rows.groupBy("session").transformWithStateInPandas(CounterDeltas(delay), schema, "Append", "None")
 
 
 def progress(events: DataFrame, step: Column) -> DataFrame:

@@ -383,6 +383,27 @@ def test_progress_over_several_batches_is_that_of_the_table(spark, tmp_path):
     assert rows(S.latest_of(kept, ["session"]), "session") == rows(S.progress(data, F.col("step")), "session")
 
 
+def test_counters_hold_rows_until_their_turn_and_mark_late_ones(spark, tmp_path):
+    from annolytics.streaming import streams as S
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    schema = "session string, ord long, total_input long, total_cached long, total_output long, last_input long, last_cached long, last_output long, closes boolean"
+    # totals grow by 10, 20, 30, begin anew with 5 at ord 4, then 7; each list is a file and a trigger
+    totals, own = {1: 10, 2: 30, 3: 60, 4: 5, 5: 12}, {1: 10, 2: 20, 3: 30, 4: 5, 5: 7}
+
+    def run(name, files, delay):
+        for ords in files:
+            made = [("a", abs(o), *[totals.get(o, 0)] * 3, *[own.get(o, 0)] * 3, o < 0) for o in ords]
+            spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        return sorted((r.ord, r.input, r.late) for r in S.run_available(S.counter_deltas(stream, delay)).collect())
+
+    whole = [(o, own[o], 0) for o in own]
+    assert run("closed", [[4, 5], [2], [3, 1], [-5]], None) == whole
+    assert run("delayed", [[1, 4], [3], [2, 5], [-5]], 3) == whole
+    # 3, the last before the new beginning, comes when 4 is taken: kept apart, not dropped
+    assert run("late", [[1, 2], [4], [3], [5]], 0) == [(1, 10, 0), (2, 20, 0), (3, 30, 1), (4, 5, 0), (5, 7, 0)]
+
+
 def _states(flags):
     """The state before each row, one row after the other. ``flags``: opens references, ends them, appendix, checklist."""
     out, state, seen = [], 0, False
