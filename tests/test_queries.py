@@ -18,3 +18,9 @@ def test_query(spark, con, name):
     rows, message = compare(spark, con, SF, QUERIES[name])
     assert message == ""
     assert rows > 0 or name == "f13_edited_notes"
+
+
+def test_comment_numbers_of_every_row_are_read(spark):
+    from annolytics.plans.registry import Tables
+    t = Tables(spark, f"/root/testdata/{SF}")
+    assert QUERIES["e03_whole_local_numbers"].build(t).count() == t.lineitem.count()
