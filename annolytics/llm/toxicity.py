@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import lean, scratch, stored, text_of
 
 MAX_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z = 8_000, 1_500, 3, 4.0
+MAX_SWAPS = 100_000
 RIDGE, STEADY, STEPS = 1e-4, 1.0, 400
 THRESHOLD = 0.7
 SHORT, LONG = 3, 8
@@ -62,10 +63,13 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled ids, the first by hash. A label given twice is toxic if one of them is."""
+    """(text, label) of at most ``max_rows`` labelled ids that ``docs`` has, the first by hash, a row per id: of several texts of an id
+    the least. A label given twice is toxic if one of them is."""
+    here = docs.where("doc_id is not null").select("doc_id").distinct()
     ids = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label")
+           .join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,12 +114,12 @@ def _fit(x: list[np.ndarray], y: np.ndarray, apart: list[tuple[np.ndarray, np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS,
-          min_z: float = MIN_Z, ridge: float = RIDGE, steady: float = STEADY, steps: int = STEPS) -> Model:
+          min_z: float = MIN_Z, ridge: float = RIDGE, steady: float = STEADY, steps: int = STEPS, max_swaps: int = MAX_SWAPS) -> Model:
     """Fits the classifier on at most ``max_rows`` labelled documents (the documented bound; texts whole).
 
     Features are words and their beginnings. Those in ``min_docs`` or more of the sample that differ between the classes by
     ``min_z`` standard errors or more, the ``max_features`` strongest, are kept. In each labelled sentence with an identity term the term is
-    swapped for the next of its group; ``steady`` weighs the squared change of the score against the usual loss. Null labels and
+    swapped for the next of its group, in at most ``max_swaps`` sentences whose features change, the first by hash; ``steady`` weighs the squared change of the score against the usual loss. Null labels and
     labels without a document are left out. Without labelled rows, or with one class only, the model is its bias.
     """
     sample = stored(labelled_sample(docs, labels, max_rows), scratch(docs.sparkSession, "labelled"))
@@ -135,21 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_f
     def encoded(text: str) -> list[int]:
         return sorted({place[f] for w in words_of(text) for f in features(w) if f in place})
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, label in zip(batch["text"], batch["label"]):
-                rows.append((int(label > 0), encoded(text), None))
-                for sentence in SENTENCE.findall(text):
-                    if (other := swapped(sentence)) is not None:
-                        rows.append((-1, encoded(sentence), encoded(other)))
-            yield pd.DataFrame(rows, columns=["label", "here", "there"])
-
-    rows = sample.mapInPandas(lean(encode), "label int, here array<int>, there array<int>").collect()
-    whole = [r for r in rows if r["label"] >= 0]
+            yield pd.DataFrame([(int(label > 0), encoded(text)) for text, label in zip(batch["text"], batch["label"])], columns=["label", "here"])
+
+    def swaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(encoded(s), encoded(other)) for text in batch["text"] for s in SENTENCE.findall(text) if (other := swapped(s)) is not None]
+            yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["here", "there"])
+
+    whole = sample.mapInPandas(lean(whole_texts), "label int, here array<int>").collect()
     whole.sort(key=lambda r: (r["label"], r["here"]))  # the sum of gradients does not depend on the order of tasks
     x = [np.array(r["here"], dtype=int) for r in whole]
-    apart = [(np.array(r["here"], dtype=int), np.array(r["there"], dtype=int)) for r in rows if r["label"] < 0 and r["here"] != r["there"]]
+    changed = sample.mapInPandas(lean(swaps), "here array<int>, there array<int>").orderBy(F.xxhash64("here", "there"), "here", "there").limit(max_swaps)
+    apart = [(np.array(r["here"], dtype=int), np.array(r["there"], dtype=int)) for r in changed.collect()]
     w = _fit(x, np.array([r["label"] for r in whole], dtype=float), apart, len(place), ridge, steady, steps)
     return Model({f: float(w[i]) for f, i in place.items()}, float(w[-1]))
 

@@ -233,6 +233,14 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_sample_is_of_documents_that_are_there_once_each(spark):
+    docs = docs_of(spark, [(i % 40, f"{'scum' if i % 2 else 'fine'} text {i // 40}", "en", "s", 0) for i in range(400)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, marks, 30).collect()
+    assert len(got) == 30 and {r.text.split()[2] for r in got} == {"0"} and all((r.text[0] == "s") == bool(r.label) for r in got)
+    assert "scum$" in toxicity.train(docs, marks, max_rows=40, min_z=1.0, max_swaps=1, steps=20).weights
+
+
 # ---- token counts
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
