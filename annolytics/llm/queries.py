@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import chat_trees, decontaminate, jaccard, license_scan, line_quality, mixing, token_cache, toxicity, url_filter, warc_dict
+from . import chat_trees, decontaminate, fill_middle, jaccard, license_scan, line_quality, mixing, token_cache, toxicity, url_filter, warc_dict
 from .common import scratch
-from .sql import CHAT_SQL, JACCARD_SQL, LICENSE_SQL, QUALITY_SQL, URL_SQL, WARC_SQL
+from .sql import CHAT_SQL, FIM_SQL, JACCARD_SQL, LICENSE_SQL, QUALITY_SQL, URL_SQL, WARC_SQL
 
 QUERIES: dict[str, Query] = {}
 
@@ -109,6 +109,14 @@ def leaks(t: Tables) -> DataFrame:
     return decontaminate.find_leaks(t.documents, t.benchmark).select("doc_id", "item_id", "first_word", "n_words", "n_same", "coverage")
 
 
+@register("op12_fill_middle", FIM_SQL)
+def fim(t: Tables) -> DataFrame:
+    made = fill_middle.fill_middle(t.documents.select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", F.col("first_cut").alias("prefix_chars"), (F.col("second_cut") - F.col("first_cut")).alias("middle_chars"),
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
     def runner(q: Query):
         return lambda spark, sf_dir: q.build(Tables(spark, sf_dir))
