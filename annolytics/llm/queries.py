@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import chat_trees, decontaminate, fill_middle, jaccard, license_scan, line_quality, mixing, token_cache, toxicity, url_filter, warc_dict
+from . import chat_trees, decontaminate, fill_middle, jaccard, license_scan, line_quality, mixing, token_cache, toxicity, url_filter, vector_codes, warc_dict
 from .common import scratch
-from .sql import CHAT_SQL, FIM_SQL, JACCARD_SQL, LICENSE_SQL, QUALITY_SQL, URL_SQL, WARC_SQL
+from .sql import CHAT_SQL, CODES_SQL, FIM_SQL, JACCARD_SQL, LICENSE_SQL, QUALITY_SQL, URL_SQL, WARC_SQL
 
 QUERIES: dict[str, Query] = {}
 
@@ -109,6 +109,11 @@ def leaks(t: Tables) -> DataFrame:
     return decontaminate.find_leaks(t.documents, t.benchmark).select("doc_id", "item_id", "first_word", "n_words", "n_same", "coverage")
 
 
+@register("op11_vector_codes", CODES_SQL)
+def codes(t: Tables) -> DataFrame:
+    return vector_codes.compress(t.embeddings).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 @register("op12_fill_middle", FIM_SQL)
 def fim(t: Tables) -> DataFrame:
     made = fill_middle.fill_middle(t.documents.select("doc_id", "text"))

@@ -134,3 +134,33 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN len(pre)::BI
        sha256(t) AS restored_sha256
 FROM p
 """
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and replacement, one after the other."""
+    gap = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+
+    def assigned(k: int) -> str:
+        return (f"a{k} AS MATERIALIZED (SELECT rn, p.part, min({gap} * 16 + b.entry)::BIGINT AS best FROM parts AS p JOIN b{k} AS b ON p.part = b.part GROUP BY rn, p.part)")
+
+    steps = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, label, list_transform(embedding, lambda e: floor(4096 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+parts AS MATERIALIZED (SELECT rn, part, x[part * len(x) // 8 + 1:(part + 1) * len(x) // 8] AS x FROM v, unnest(range(0, 8)) AS u(part)),
+firsts AS (SELECT rn, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 16),
+b0 AS MATERIALIZED (SELECT part, entry, x FROM parts JOIN firsts USING (rn))"""]
+    for k in range(6):
+        steps.append(assigned(k))
+        steps.append(f"""m{k} AS (SELECT a.part, a.best % 16 AS entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS mean
+      FROM a{k} AS a JOIN parts AS p ON a.rn = p.rn AND a.part = p.part, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY a.part, a.best % 16, i)""")
+        steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{k} AS b
+      LEFT JOIN (SELECT part, entry, list(mean ORDER BY i) AS x FROM m{k} GROUP BY part, entry) AS n USING (part, entry))""")
+    steps.append(assigned(6))
+    steps.append("c AS (SELECT rn, string_agg(lpad(to_hex(best % 16), 2, '0'), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM a6 GROUP BY rn)")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS digest FROM b6)")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM c JOIN v USING (rn), h
+"""
+
+
+CODES_SQL = _codes_sql()
