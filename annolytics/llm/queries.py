@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import chat_trees, decontaminate, fill_middle, jaccard, license_scan, line_quality, mixing, token_cache, toxicity, url_filter, vector_codes, warc_dict
+from . import chat_trees, decontaminate, fill_middle, jaccard, license_scan, line_quality, mixing, token_cache, toxicity, url_filter, vector_codes, vector_dedup, warc_dict
 from .common import scratch
 from .sql import CHAT_SQL, CODES_SQL, FIM_SQL, JACCARD_SQL, LICENSE_SQL, QUALITY_SQL, URL_SQL, WARC_SQL
 
@@ -122,6 +122,11 @@ def fim(t: Tables) -> DataFrame:
                        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
 
 
+@register("op13_vector_dedup")
+def near_vectors(t: Tables) -> DataFrame:
+    return vector_dedup.near_duplicates(t.embeddings)
+
+
 def queries() -> dict:
     def runner(q: Query):
         return lambda spark, sf_dir: q.build(Tables(spark, sf_dir))
