@@ -25,7 +25,7 @@ repeated AS (SELECT rn, i FROM grams QUALIFY count(*) OVER (PARTITION BY rn, g)
 covered AS (SELECT rn, count(DISTINCT i + k) AS n FROM repeated, unnest([0, 1, 2, 3, 4]) AS u(k) GROUP BY rn),
 lines AS (SELECT rn, source, t, trim(regexp_replace(regexp_replace(translate(l, {AZ}, {LOW}), '[0-9]', '0', 'g'), '{BLANKS}', ' ', 'g')) AS line
           FROM w, unnest(ls) AS u(l)),
-hot AS (SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT t) > {MAX_DOCS}),
+hot AS (SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT rn) > {MAX_DOCS}),
 gone AS (SELECT rn, sum(len(string_split(line, ' '))) AS n FROM lines JOIN hot USING (line)
          WHERE lines.source IS NOT DISTINCT FROM hot.source GROUP BY rn),
 m AS (SELECT w.rn, doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(t, '{BLANKS}', '', 'g'))::BIGINT AS word_chars,

@@ -106,13 +106,14 @@ def test_frequent_lines_are_removed_per_source(spark):
     own = [prose(rng, 40) for _ in range(30)]
     rows = [(i, f"{own[i]}\n  Copyright   {1990 + i % 5} ALL\nrights", "en", "a" if i < 20 else None, 5) for i in range(30)]
     rows += [(100, "copyright 2000 all\nRIGHTS reserved by the copyright owner of it all here", "en", "a", 1)]  # short, one frequent line
-    rows += [(200 + i, "the same text of twelve words which copies never make a frequent line", "en", "b", 1) for i in range(20)]
+    rows += [(200 + i, f"the same text of twelve words in twenty documents of one source {'' if i < 20 else chr(10) * (i - 20)}", "en", "b" if i < 20 else "d", 1) for i in range(32)]
     rows += [(300 + i, f"rights\n{own[0][:20]} one two three four five six seven eight nine {i}\nrights", "en", "c", 1) for i in range(3)]
     got = {r.doc_id: r for r in line_quality.judge(docs_of(spark, rows), max_docs=12, clean=True).collect()}
     assert got[0].n_left == 40 and got[0].text == own[0] and got[0].n_chars == len(own[0]) and got[0].kept
     assert got[25].n_left == 44 and got[25].text == rows[25][1]  # 10 texts of the null source are not over the limit
     assert got[100].n_left == got[100].n_words - 3
-    assert all(got[200 + i].kept and got[200 + i].n_left == 13 for i in range(20))
+    assert all(not got[200 + i].kept and got[200 + i].n_left == 0 and not got[200 + i].text for i in range(20))  # a document counts, copy or not
+    assert all(got[220 + i].kept and got[220 + i].n_left == 12 and got[220 + i].text == rows[31 + 20 + i][1] for i in range(12))
     empty = line_quality.judge(docs_of(spark, rows[:20]), max_docs=12, min_left=0.95).collect()
     assert not any(r.kept for r in empty) and not any(r.base_failed for r in empty)
 
