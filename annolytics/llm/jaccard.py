@@ -16,7 +16,7 @@ from .url_filter import possible_hits
 
 HOT_TOKENS, HOT_DOCS = 1 << 17, 8
 MAX_MATCHES = 4
-STAR_ROUNDS = 2
+BINS, BAND_BINS = 64, 6  # of the sketch by which near copies find a common centre
 CHECK_COST = 50.0  # of a verification, in postings read
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1F123BB5) for k in range(64)]
@@ -65,6 +65,20 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bands(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bins of the set's sketch: the least token of each of 64 classes of tokens. Two similar sets agree in a
+    bin about as often as they are similar, so sets of 90% share one of the ten bands but for one pair in two thousand."""
+    sketch = np.zeros(BINS, np.uint64)
+    classes, first = np.unique(tokens & np.uint64(BINS - 1), return_index=True)  # tokens are sorted: the first of a class is its least
+    sketch[classes.astype(np.int64)] = tokens[first]
+    runs = sketch[:BINS // BAND_BINS * BAND_BINS].reshape(-1, BAND_BINS)
+    h = np.arange(1, len(runs) + 1, dtype=np.uint64)
+    for column in runs.T:
+        h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return h[runs.any(1)]
+
+
 def need(n, percent: int):
     """The smallest number of shared tokens that a set of size n needs to be similar to any set."""
     return -(-n * percent // 100)
@@ -106,7 +120,7 @@ def _counted(n: int, percent: int):
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray, most: int):
-    """(set_key, n, signature, prefix) of each text: the first tokens of its set in the global order, which puts hot tokens last, the
+    """(set_key, n, signature, bands, prefix) of each text: the first tokens of its set in the global order, which puts hot tokens last, the
     hottest at the end, and sorts all others by hash. Enough of them for ``most`` matches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,15 +137,15 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray, most: int
                 seen.add(key)
                 size = len(tokens)
                 want = min(size, size - need(size, percent) + most)
-                bits = signature(tokens)
+                bits, sketch = signature(tokens), bands(tokens).view(np.int64)
                 if len(hot):
                     at = np.searchsorted(hot, tokens)
                     at[at == len(hot)] = 0
                     known = hot[at] == tokens
                     rest = tokens[known]
                     tokens = np.concatenate([tokens[~known], rest[np.argsort(rank[at[known]])]])
-                rows.append((key, size, bits, tokens[:want].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["set_key", "n", "signature", "prefix"])
+                rows.append((key, size, bits, sketch, tokens[:want].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["set_key", "n", "signature", "bands", "prefix"])
 
     return run
 
@@ -164,8 +178,8 @@ def _verified(n: int, percent: int):
 class JaccardJoin:
     """The join over ``docs`` (doc_id, text): ``rows`` (doc_id, key, set id, size) and ``classes`` (set id, root)."""
 
-    def __init__(self, docs: DataFrame, *, n: int = 5, percent: int = 80, most: int = MAX_MATCHES, star_rounds: int = STAR_ROUNDS):
-        self.spark, self.n, self.percent, self.most, self.star_rounds = docs.sparkSession, n, percent, most, star_rounds
+    def __init__(self, docs: DataFrame, *, n: int = 5, percent: int = 80, most: int = MAX_MATCHES):
+        self.spark, self.n, self.percent, self.most = docs.sparkSession, n, percent, most
         self.folder = scratch(self.spark, "jaccard")
         text = text_of("text")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
@@ -189,9 +203,9 @@ class JaccardJoin:
         place = np.empty(len(values), np.int64)
         place[rank] = np.arange(len(values))
         prefixes = (self.docs.select("text").mapInPandas(lean(_prefixes(self.n, self.percent, values[order], place[order], self.most)),
-                                                         "set_key binary, n long, signature array<long>, prefix array<long>")
-                    .groupBy("set_key").agg(F.first("signature").alias("signature"), F.first("prefix").alias("prefix")))
-        packed = stored(prefixes.join(self.sets.select("set_key", "id", "n"), "set_key").select("id", "n", "signature", "prefix"), f"{self.folder}/prefixes")
+                                                         "set_key binary, n long, signature array<long>, bands array<long>, prefix array<long>")
+                    .groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("signature", "bands", "prefix")]))
+        packed = stored(prefixes.join(self.sets.select("set_key", "id", "n"), "set_key").select("id", "n", "signature", "bands", "prefix"), f"{self.folder}/prefixes")
         whole = packed.select("id", "n", F.posexplode("prefix").alias("at", "token"))
         counts = whole.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
         common = whole.join(counts, "token")
@@ -207,7 +221,7 @@ class JaccardJoin:
         kept = placed.join(chosen, "id").where(F.col("at") < base + F.col("matches"))
         bits = packed.select("id", *[F.element_at("signature", i + 1).alias(f"s{i}") for i in range(LANES)])
         self.tokens = stored(kept.join(bits, "id").select(*ROW), f"{self.folder}/tokens")
-        drop_folder(self.spark, f"{self.folder}/prefixes")
+        self.sketches = packed.select("id", "n", "bands")
 
     def _similar_at_most(self, top: Column, n: Column, m: Column) -> Column:
         return F.lit(100) * top >= F.lit(self.percent) * (n + m - top)
@@ -248,36 +262,29 @@ class JaccardJoin:
         return links
 
     def _links(self) -> DataFrame:
-        """Links that connect the components of the join, found in rounds.
-
-        First each set is tested against one set per token, the centre: the set with fewest lone tokens there, later another.
-        That finds most of a group of copies with as many tests as there are rows. The last round is exact: it takes every pair
-        that shares as many prefix tokens as the shorter of its prefixes asks for and that the earlier rounds have not
-        put in one component. What it leaves out cannot be linked, or is in one component already."""
-        stars = None
-        for k in range(self.star_rounds):
-            rows = self._open(stars, k)
-            order = F.struct(F.col("at") - F.col("before"), F.xxhash64(F.lit(k), "id") if k else F.lit(0).cast("long"), "id")
-            centre = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), *ROW[1:], "root")).alias("c")).select("token", "c.*")
-            met = rows.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & self._possible())
-            found = self._similar(self._candidates(met), f"star{k}")
-            stars = self._joined(stars, found)
-        rows = self._open(stars, self.star_rounds)
+        """Links that connect the components of the join, found in two steps.
+
+        First each set is tested against the centre of each of its bands, another in each, that sets which share most of their tokens have in common. That
+        ties groups of near copies with at most ten tests a row, however large they are. The second step is exact: it takes every pair
+        that shares as many prefix tokens as the shorter of its prefixes asks for and that the first has not put in
+        one component. What it leaves out cannot be linked, or is in one component already."""
+        rows = self.sketches.select("id", "n", F.explode("bands").alias("band"))
+        centre = (rows.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("band", "id").alias("h"), "id", "n")).alias("o"))
+                  .where("c > 1").select("band", F.col("o.id").alias("centre"), F.col("o.n").alias("m")))
+        met = rows.join(centre, "band").where((F.col("id") != F.col("centre")) & self._similar_at_most(F.least("n", "m"), F.col("n"), F.col("m")))
+        stars = components(self._similar(met.select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct(), "star"))
+        drop_folder(self.spark, f"{self.folder}/prefixes")
+        rows = self._open(stars)
         met = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id"))
                                    & (F.col("a.root") != F.col("b.root")) & self._possible())
-        return self._joined(stars, self._similar(self._candidates(met), "all"))
-
-    def _joined(self, stars: DataFrame | None, found: DataFrame) -> DataFrame:
-        """(node, root) after more links."""
-        return components(found if stars is None else found.unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        found = self._similar(self._candidates(met), "all")
+        return components(found.unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
-    def _open(self, stars: DataFrame | None, k: int) -> DataFrame:
+    def _open(self, stars: DataFrame) -> DataFrame:
         """Prefix tokens that sets of two or more components share, with the component of each row."""
-        if stars is None:
-            return self.tokens.withColumn("root", F.col("id"))
         rows = self.tokens.join(stars, self.tokens["id"] == stars["node"], "left").select(*self.tokens.columns, F.coalesce("root", "id").alias("root"))
         several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-        return stored(rows.join(several, "token", "left_semi"), f"{self.folder}/open{k}")
+        return stored(rows.join(several, "token", "left_semi"), f"{self.folder}/open")
 
     def _rooted(self) -> DataFrame:
         """(set_key, root, doc_id, key): each distinct set with its component."""
@@ -305,8 +312,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     by size, place, tokens that no other prefix has and 512-bit signatures are part of the join's condition, and lose
     no link; what passes is verified on the whole texts.
 
-    Equal sets are one class throughout, so that copies are never paired; large groups of near copies are joined over
-    centres, and only pairs between components are looked at by the exact last round, see ``_links``.
+    Equal sets are one class throughout, so that copies are never paired; large groups of near copies are first tied to
+    centres, and only pairs between components are looked at by the exact join, see ``_links``.
 
     Null or empty texts, and those without words, have no shingles, link with nothing and keep their own doc_id. A null doc_id takes part in
     links and has its component's smallest id; a component without any id has none. Repeated rows each get a row. Columns other
