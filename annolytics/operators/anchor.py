@@ -10,7 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as G
 from ..functions import text as T
@@ -19,6 +19,7 @@ from .ordered import once
 from .text import fields
 
 MIN_ANCHOR = 8
+SNAP, CLOSE = 0.95, 0.9   # the least similarity of a passage taken for a phrase, and for a sentence
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -106,30 +107,59 @@ def match_spans(intents: DataFrame, index: DataFrame, max_span: int | None = Non
 
 
 # --- the closest passage ---------------------------------------------------------------------------------------------------
-def _shared(text: str, key: str, n: int) -> int:
-    """The first place in the text of ``n`` characters that the key has too, -1 without one."""
-    pieces = {key[i:i + n] for i in range(len(key) - n + 1)}
-    return next((i for i in range(len(text) - n + 1) if text[i:i + n] in pieces), -1)
+def shared_block(text: Column, key: Column) -> Column:
+    """The longest block of characters that a key shares with a text, as struct(size, at, key_at), places from 0: of equally long ones
+    the first in the text, and for it the first in the key. Size 0 where they share nothing.
 
+    The size grows along the key: at each place it is raised while one more character still stands somewhere in the text, so 2 * |key| searches
+    find it, all by the JVM's own substring search."""
+    def longer(s: Column, _: Column) -> Column:
+        fits = (s["i"] + s["n"] < F.length(key)) & F.contains(text, F.substring(key, s["i"] + 1, s["n"] + 1))
+        return F.struct(F.when(fits, s["i"]).otherwise(s["i"] + 1).alias("i"), F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"))
 
-def _around_longest(text: str, key: str) -> tuple[int | None, float]:
-    """Where the key would start if its longest block in common with the text (the first of equal ones) lay on it, and the ratio of
-    the text there to the key. The length is found by halving: a shared block has shared blocks of every smaller length."""
-    short, long = 0, min(len(text), len(key))
-    while short < long:
-        n = (short + long + 1) // 2
-        short, long = (n, long) if _shared(text, key, n) >= 0 else (short, n - 1)
-    if not short:
-        return None, 0.0
-    at = _shared(text, key, short)
-    start = max(0, at - key.index(text[at:at + short]))
-    return start, difflib.SequenceMatcher(None, text[start:start + len(key)], key, autojunk=False).ratio()
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"))
+    size = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), 2 * F.length(key))), zero, longer, lambda s: s["n"])
 
+    def place(n: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - n + 1)), lambda i: F.call_function("locate", F.substring(key, i, n), text))
+        return let(F.array_min(F.filter(found, lambda x: x > 0)), lambda at: F.struct(
+            n.alias("size"), (at - 1).alias("at"), (F.call_function("locate", F.substring(text, at, n), key) - 1).alias("key_at")))
 
-@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("ratio", DoubleType())]))
-def closest_window(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-    """The window of a text around the longest block it shares with a key, and how alike the two are."""
-    return pd.DataFrame([_around_longest(a or "", b or "") for a, b in zip(texts, keys)], columns=["start", "ratio"]).astype({"start": "Int32"})
+    return let(size, lambda n: F.when(n > 0, place(n)).otherwise(F.struct(n.alias("size"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("key_at"))))
+
+
+def shares_enough(text: Column, key: Column, min_ratio: float) -> Column:
+    """Whether some window of a text, no longer than the key, can be alike to ``min_ratio``: a count filter over the key's n-grams.
+
+    A ratio of r leaves at most e = 2 (1 - r) |key| characters of window and key unmatched, and each spoils at most n of the key's |key| - n + 1
+    n-grams; all others stand in the text. Eight characters are taken for ratios from 0.95 on, four below. Nothing that is alike enough
+    is lost, keys too short for the filter pass it."""
+    n = 8 if min_ratio >= 0.95 else 4
+    size = F.length(key)
+    needed = size - n + 1 - n * F.floor((2 * (1 - min_ratio) + 1e-9) * size)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(key, i, F.lit(n)))
+    return (needed <= 0) | (F.size(F.filter(grams, lambda g: F.contains(text, g))) >= needed)
+
+
+def ratio_bound(window: Column, key: Column) -> Column:
+    """A ratio that the two texts cannot exceed: characters are matched one to one, wherever they stand."""
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    letters = F.array_distinct(F.split(key, ""))
+    both = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda n, c: n + F.least(count(window, c), count(key, c)))
+    return F.when(F.length(window) + F.length(key) > 0, 2.0 * both / (F.length(window) + F.length(key))).otherwise(0.0)
+
+
+@F.pandas_udf(DoubleType())
+def window_ratio(windows: pd.Series, keys: pd.Series) -> pd.Series:
+    """How alike a window and a key are, null where either is: twice the characters in common blocks over all characters."""
+    return pd.Series([None if w is None or k is None else difflib.SequenceMatcher(None, w, k, autojunk=False).ratio() for w, k in zip(windows, keys)], dtype="Float64")
+
+
+def snapped(words: Column, start: Column, stop: Column) -> Column:
+    """The bounds of the words that a stretch of a page's text touches, as struct(start, stop); null without one. ``words`` carry their
+    offsets in the page's text (``page_index``)."""
+    return let(F.filter(words_in(words, start, stop), lambda w: w["n"] > 0), lambda ws: F.when(F.size(ws) > 0, F.struct(
+        F.array_min(F.transform(ws, lambda w: w["offset"])).alias("start"), F.array_max(F.transform(ws, lambda w: w["offset"] + w["n"])).alias("stop"))))
 
 
 @F.pandas_udf(DoubleType())
@@ -137,29 +167,71 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-def closest_passages(intents: DataFrame, index: DataFrame, key_columns: list[str], near: bool = True) -> DataFrame:
-    """For phrases a page does not have, the most alike passage of the page, the one before or the one after it; the page
-    itself wins a tie. An intent meets at most three pages by an equi-join."""
+def with_closest_window(rows: DataFrame, wanted: Column, min_ratio: float) -> DataFrame:
+    """Rows (``text, key``) with ``start``, ``window`` and ``similarity`` of the window of the text in which the key lies best, laid by their longest
+    shared block; null where not ``wanted`` or not alike to ``min_ratio``. Filters by n-grams and by characters come first, in
+    columns; only the windows and keys that pass, never a page's text, go to Python for the ratio."""
+    rows = once(rows, _try=wanted & (F.length("key") > 0) & shares_enough(F.col("text"), F.col("key"), min_ratio))
+    rows = once(rows, _block=F.when(F.col("_try"), shared_block(F.col("text"), F.col("key"))))
+    rows = once(rows, _start=F.when(F.col("_block.size") > 0, F.greatest(F.lit(0), F.col("_block.at") - F.col("_block.key_at"))))
+    rows = once(rows, _window=F.substring("text", F.col("_start") + 1, F.length("key")))
+    rows = rows.withColumn("_window", F.when(ratio_bound(F.col("_window"), F.col("key")) >= min_ratio, F.col("_window")))
+    rows = rows.withColumn("similarity", window_ratio("_window", F.when(F.col("_window").isNotNull(), F.col("key"))))
+    good = F.col("similarity") >= min_ratio
+    return rows.withColumns({"start": F.when(good, F.col("_start")), "window": F.when(good, F.col("_window")),
+                             "similarity": F.when(good, F.col("similarity"))}).drop("_try", "_block", "_start", "_window")
+
+
+def closest_passages(intents: DataFrame, index: DataFrame, key_columns: list[str], near: bool = True, min_ratio: float = 0.0) -> DataFrame:
+    """For phrases a page does not have, the most alike passage of the page, the one before or the one after it, of those that are
+    alike to ``min_ratio``; the page itself wins a tie, then the one before. An intent meets at most three pages by an equi-join. Gives the page,
+    the similarity, the words touched and the bounds of these in the page's text."""
     order = F.array(F.lit(0), F.lit(-1), F.lit(1)) if near else F.array(F.lit(0))
     probes = (intents.withColumn("key", T.norm_key("phrase")).select("*", F.posexplode(order).alias("try", "step"))
               .withColumns({"own_page": F.col("page"), "page": F.col("page") + F.col("step")}))
-    met = probes.join(index, ["doc_id", "page"]).withColumn("w", closest_window("text", "key")).filter("w.ratio > 0")
-    hit = words_in(F.col("words"), F.col("w.start"), F.col("w.start") + F.length("key"))
-    best = F.max_by(F.struct(F.col("page"), F.col("w.ratio").alias("ratio"), words_text(hit).alias("closest")),
-                    F.struct(F.col("w.ratio"), -F.col("try")))
+    met = with_closest_window(probes.join(index, ["doc_id", "page"]), F.lit(True), min_ratio).filter("similarity > 0")
+    stop = F.col("start") + F.length("key")
+    hit = words_in(F.col("words"), F.col("start"), stop)
+    best = F.max_by(F.struct(F.col("page"), "similarity", words_text(hit).alias("closest"), snapped(F.col("words"), F.col("start"), stop).alias("span")),
+                    F.struct(F.col("similarity"), -F.col("try")))
     return met.groupBy(*[F.col("own_page").alias("page") if c == "page" else F.col(c) for c in key_columns]).agg(best.alias("b")).select(
-        *key_columns, F.col("b.page").alias("closest_page"), F.col("b.ratio").alias("similarity"), F.col("b.closest").alias("closest"))
-
-
-def place_sentences(sents: DataFrame, index: DataFrame) -> DataFrame:
-    """Numbered sentences (with ``occurrence`` and ``same_text_count``) on their pages: the n-th occurrence when the page has
-    the text as often as the sentences have it, ambiguous when not, absent when it has none or is not there."""
-    rows = sents.join(index.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"], "left")
-    rows = rows.withColumn("matches", F.coalesce(count_phrase(F.col("page_text"), F.col("norm")), F.lit(0)))
+        *key_columns, F.col("b.page").alias("closest_page"), "b.similarity", "b.closest", F.col("b.span.start").alias("start"), F.col("b.span.stop").alias("stop"))
+
+
+def snap_phrases(intents: DataFrame, index: DataFrame, min_ratio: float = SNAP, near: bool = True) -> DataFrame:
+    """Intents (``doc_id, page, phrase, occurrence``) that their page does not have, with the passage taken instead: the closest one, snapped to
+    the bounds of its words, where no page of the three has a closer one, no occurrence is asked for and it is alike to ``min_ratio``. ``how`` is
+    snapped, elsewhere (a neighbour has it), or missed; an intent of a missing page is missed."""
+    missed = match_phrases(intents, index).filter("start IS NULL").select("doc_id", "page", "phrase", "occurrence")
+    close = closest_passages(missed.filter("occurrence IS NULL").select("doc_id", "page", "phrase").distinct(), index, ["doc_id", "page", "phrase"], near, min_ratio)
+    m, c = missed.alias("m"), close.alias("c")
+    rows = m.join(c, (F.col("m.doc_id") == F.col("c.doc_id")) & (F.col("m.page") == F.col("c.page")) & (F.col("m.phrase") == F.col("c.phrase")) & F.col("m.occurrence").isNull(), "left")
+    how = F.when(F.col("c.similarity").isNull(), "missed").when(F.col("c.closest_page") == F.col("m.page"), "snapped").otherwise("elsewhere")
+    mine = lambda name: F.when(F.col("c.closest_page") == F.col("m.page"), F.col(f"c.{name}")).alias(name)
+    return rows.select("m.*", how.alias("how"), "c.closest_page", "c.similarity", mine("start"), mine("stop"), mine("closest"))
+
+
+def place_sentences(sents: DataFrame, index: DataFrame, min_ratio: float = CLOSE) -> DataFrame:
+    """Numbered sentences (with ``occurrence`` and ``same_text_count``) on their pages: the n-th occurrence when the page has the text as often
+    as the sentences have it, ambiguous when not. A sentence that the page does not have takes the closest passage if that is alike
+    to ``min_ratio``, snapped to the bounds of its words, and is absent otherwise or when there is no such page. On a page that the index marks as
+    ``rotated`` a sentence gets no place."""
+    turned = F.coalesce(F.col("rotated"), F.lit(False)) if "rotated" in index.columns else F.lit(False)
+    words = F.col("words") if "words" in index.columns else F.lit(None).cast("array<struct<offset:int,n:int>>")
+    rows = sents.join(index.select("doc_id", "page", "text", words.alias("words"), turned.alias("turned")).withColumnRenamed("text", "page_text"), ["doc_id", "page"], "left")
+    rows = once(rows, matches=F.coalesce(count_phrase(F.col("page_text"), F.col("norm")), F.lit(0)))
     placed = F.col("matches") == F.col("same_text_count")
-    how = F.when(placed, "placed").when(F.col("matches") == 0, "absent").otherwise("ambiguous")
-    start = F.when(placed, find_phrase(F.col("page_text"), F.col("norm"), F.col("occurrence").cast("int")))
-    return rows.select("doc_id", "page", "id", "text", how.alias("how"), "matches", start.alias("start"))
+    rows = rows.withColumnsRenamed({"text": "sentence", "page_text": "text", "norm": "key"})
+    rows = with_closest_window(rows, (F.col("matches") == 0) & ~placed & ~F.coalesce("turned", F.lit(False)) & F.col("text").isNotNull(), min_ratio)
+    how = (F.when(F.coalesce("turned", F.lit(False)), "rotated").when(placed, "placed").when(F.col("matches") > 0, "ambiguous")
+           .when(F.col("similarity").isNotNull(), "closest").otherwise("absent"))
+    first = find_phrase(F.col("text"), F.col("key"), F.col("occurrence").cast("int"))
+    rows = once(rows, how=how, _first=F.when(placed, first))
+    close = F.coalesce(snapped(F.col("words"), F.col("start"), F.col("start") + F.length("key")), F.struct(F.col("start"), (F.col("start") + F.length("key")).alias("stop")))
+    rows = once(rows, span=F.when(F.col("how") == "placed", F.struct(F.col("_first").alias("start"), (F.col("_first") + F.length("key")).alias("stop")))
+                .when(F.col("how") == "closest", close))
+    return rows.select("doc_id", "page", "id", F.col("sentence").alias("text"), "how", "matches", F.col("span.start").alias("start"), F.col("span.stop").alias("stop"),
+                       "similarity")
 
 
 # --- ids, citations, labels, papers -----------------------------------------------------------------------------------------

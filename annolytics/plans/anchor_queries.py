@@ -84,23 +84,81 @@ def closest_passage(t: Tables):
     return A.closest_passages(intents, A.page_index(fx.pages(t)), ["doc_id", "page", "phrase"])
 
 
-PLACE = f"""page_text AS (SELECT doc_id, page, string_agg({norm_sql('text')}, '' ORDER BY id) AS text FROM sentences
-  WHERE id % 11 <> 0 GROUP BY doc_id, page),
-counted AS (SELECT doc_id, page, id, {norm_sql('text')} AS k, row_number() OVER (PARTITION BY doc_id, page, {norm_sql('text')} ORDER BY id) AS occ,
-  count(*) OVER (PARTITION BY doc_id, page, {norm_sql('text')}) AS same FROM sentences)"""
+# Phrases of eight words with one character lost and "zq" in its place. Their longest block on the page is the longer half, with the
+# lost character where that is a z or q; the window around it matches both halves. Halves that stand on the page twice are not judged.
+BROKEN = f"""whole AS (SELECT doc_id, page, text, array_to_string(ws[4:11], ' ') AS w FROM texts WHERE len(ws) >= 12),
+broken AS (SELECT doc_id, page, text, substr(w, 1, length(w) // 2 - 1) || 'zq' || substr(w, length(w) // 2 + 1) AS phrase,
+  {norm_sql("substr(w, 1, length(w) // 2 - 1)")} AS a, {norm_sql("substr(w, length(w) // 2, 1)")} AS c, {norm_sql("substr(w, length(w) // 2 + 1)")} AS b FROM whole),
+laid AS (SELECT *, length(a) + length(b) + 2 AS size, length(a) + (c = 'z')::INT >= length(b) + (c = 'q')::INT AS first_half,
+  CASE WHEN length(a) + (c = 'z')::INT >= length(b) + (c = 'q')::INT THEN a ELSE b END AS half FROM broken),
+judged AS (SELECT *, strpos(substr(text, strpos(text, half) + 1), half) > 0 OR strpos(text, a || 'zq' || b) > 0 AS twice,
+  CASE WHEN first_half THEN strpos(text, half) - 1 ELSE greatest(0, strpos(text, half) - 1 - length(a) - 2) END AS lies FROM laid),
+rated AS (SELECT *, 2.0::DOUBLE * (length(a) + length(b) + (c IN ('z', 'q'))::INT) / (least(size, length(text) - lies) + size) AS ratio FROM judged)"""
+
+
+@query("c04_snapped_phrases", *TO_WORDS, BROKEN, """
+SELECT r.doc_id, r.page, twice, CASE WHEN NOT twice THEN CASE WHEN ratio >= 0.95 THEN 'snapped' ELSE 'missed' END END AS how,
+  CASE WHEN NOT twice AND ratio >= 0.95 THEN ratio END AS similarity,
+  CASE WHEN NOT twice AND ratio >= 0.95 THEN min(w."offset")::INT END AS start, CASE WHEN NOT twice AND ratio >= 0.95 THEN max(w."offset" + w.n)::INT END AS stop
+FROM rated r JOIN indexed w ON w.doc_id = r.doc_id AND w.page = r.page AND w."offset" < lies + size AND w."offset" + w.n > lies AND w.n > 0
+GROUP BY r.doc_id, r.page, twice, ratio""")
+def snapped_phrases(t: Tables):
+    index = A.page_index(fx.pages(t))
+    words = F.transform("words", lambda w: w["word"])
+    whole = fx.pages(t).filter(F.size("words") >= 12).select("doc_id", "page", F.array_join(F.slice(words, 4, 8), " ").alias("w"))
+    half = F.floor(F.length("w") / 2).cast("int")
+    parts = whole.select("doc_id", "page", F.substring("w", F.lit(1), half - 1).alias("a"), F.substring("w", half, F.lit(1)).alias("c"), F.substring("w", half + 1, F.length("w")).alias("b"))
+    broken = parts.select("doc_id", "page", F.concat("a", F.lit("zq"), "b").alias("phrase"), F.lit(None).cast("int").alias("occurrence"),
+                          *[T.norm_key(x).alias(x) for x in "abc"])
+    found = A.snap_phrases(broken.select("doc_id", "page", "phrase", "occurrence"), index, near=False).drop("phrase", "occurrence")
+    plus = lambda x: F.when(F.col("c") == x, 1).otherwise(0)
+    longer = F.when(F.length("a") + plus("z") >= F.length("b") + plus("q"), F.col("a")).otherwise(F.col("b"))
+    judged = broken.withColumn("half", longer).join(index.select("doc_id", "page", "text"), ["doc_id", "page"]).select(
+        "doc_id", "page", ((F.call_function("locate", F.col("half"), F.col("text"), F.call_function("locate", F.col("half"), F.col("text")) + 1) > 0)
+                           | F.contains("text", F.concat("a", F.lit("zq"), "b"))).alias("twice"))
+    once_only = lambda c: F.when(~F.col("twice"), F.col(c)).alias(c)
+    return judged.join(found, ["doc_id", "page"], "left").select("doc_id", "page", "twice", once_only("how"), *[once_only(c) for c in ("similarity", "start", "stop")])
+
+
+# What a page prints: of every eleventh sentence the odd ones are lost, the even ones have "zq" in place of a character; every fifth page is rotated
+PLACE = f"""printed AS (SELECT doc_id, page, id, text, CASE WHEN id % 22 = 0 THEN substr(text, 1, length(text) // 2 - 1) || 'zq' || substr(text, length(text) // 2 + 1) ELSE text END AS shown
+  FROM sentences WHERE id % 11 <> 0 OR id % 22 = 0),
+page_words AS (SELECT doc_id, page, id, unnest(string_split(shown, ' ')) AS word, unnest(range(len(string_split(shown, ' ')))) AS pos FROM printed),
+placed_words AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page ORDER BY id, pos) - n AS "offset" FROM
+  (SELECT doc_id, page, id, pos, {norm_sql('word')} AS norm, length({norm_sql('word')}) AS n FROM page_words WHERE word <> '') w),
+page_text AS (SELECT doc_id, page, string_agg(norm, '' ORDER BY id, pos) AS text FROM placed_words GROUP BY doc_id, page),
+counted AS (SELECT doc_id, page, id, text AS own, {norm_sql('text')} AS k, row_number() OVER (PARTITION BY doc_id, page, {norm_sql('text')} ORDER BY id) AS occ,
+  count(*) OVER (PARTITION BY doc_id, page, {norm_sql('text')}) AS same FROM sentences),
+met AS (SELECT c.*, p.text, CASE WHEN k = '' OR p.text IS NULL THEN 0 ELSE len(string_split(p.text, k)) - 1 END AS m,
+  {norm_sql("substr(own, 1, length(own) // 2 - 1)")} AS a, {norm_sql("substr(own, length(own) // 2, 1)")} AS x, {norm_sql("substr(own, length(own) // 2 + 1)")} AS b
+  FROM counted c LEFT JOIN page_text p USING (doc_id, page)),
+laid AS (SELECT *, CASE WHEN m = 0 AND id % 22 = 0 AND page % 5 <> 0 AND length(k) > 0 THEN strpos(text, a || 'zq' || b) - 1
+  + CASE WHEN length(a) + (x = 'z')::INT >= length(b) + (x = 'q')::INT THEN 0 ELSE 2 - length(x) END END AS lies,
+  (length(k) - 2 + (x IN ('z', 'q'))::INT)::DOUBLE AS same_chars FROM met),
+close AS (SELECT *, CASE WHEN lies IS NOT NULL AND 2.0::DOUBLE * same_chars / (2 * length(k)) >= 0.9 THEN 2.0::DOUBLE * same_chars / (2 * length(k)) END AS similarity FROM laid),
+spans AS (SELECT c.doc_id, c.page, c.id, min(w."offset")::INT AS start, max(w."offset" + w.n)::INT AS stop FROM close c JOIN placed_words w
+  ON w.doc_id = c.doc_id AND w.page = c.page AND w.n > 0 AND w."offset" < lies + length(k) AND w."offset" + w.n > lies WHERE similarity IS NOT NULL GROUP BY ALL)"""
 
 
 @query("c05_sentence_places", *TO_SENTENCES, PLACE, """
-SELECT c.doc_id, c.page, id, CASE WHEN m = same THEN 'placed' WHEN m = 0 THEN 'absent' ELSE 'ambiguous' END AS how, m AS matches,
-  CASE WHEN m = same THEN length(array_to_string(string_split(text, k)[1:occ], '')) + (occ - 1) * length(k) END AS start
-FROM (SELECT c.*, p.text, CASE WHEN k = '' OR p.text IS NULL THEN 0 ELSE len(string_split(p.text, k)) - 1 END AS m FROM counted c LEFT JOIN page_text p USING (doc_id, page)) c""")
+SELECT doc_id, page, id, how, m AS matches, similarity, CASE how WHEN 'placed' THEN first WHEN 'closest' THEN start END AS start,
+  CASE how WHEN 'placed' THEN first + length(k) WHEN 'closest' THEN stop END AS stop
+FROM (SELECT c.*, s.start, s.stop, CASE WHEN page % 5 = 0 AND text IS NOT NULL THEN 'rotated' WHEN m = same THEN 'placed' WHEN m > 0 THEN 'ambiguous'
+    WHEN similarity IS NOT NULL THEN 'closest' ELSE 'absent' END AS how,
+  CASE WHEN m = same THEN length(array_to_string(string_split(text, k)[1:occ], '')) + (occ - 1) * length(k) END AS first
+  FROM close c LEFT JOIN spans s USING (doc_id, page, id)) r""")
 def sentence_places(t: Tables):
     from ..operators import text as X
     sents = fx.sentences(t)
-    # a page's text is what its sentences say but every eleventh, which the page lost
-    kept = F.transform(F.array_sort(F.collect_list(F.struct("id", T.norm_key("text").alias("n")))), lambda x: x["n"])
-    index = sents.filter(F.col("id") % 11 != 0).groupBy("doc_id", "page").agg(F.array_join(kept, "").alias("text"))
-    return A.place_sentences(X.number_repeats(sents), index).select("doc_id", "page", "id", "how", "matches", "start")
+    half = F.floor(F.length("text") / 2).cast("int")
+    broken = F.concat(F.substring("text", F.lit(1), half - 1), F.lit("zq"), F.substring("text", half + 1, F.length("text")))
+    shown = sents.filter((F.col("id") % 11 != 0) | (F.col("id") % 22 == 0)).withColumn("text", F.when(F.col("id") % 22 == 0, broken).otherwise(F.col("text")))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: F.filter(F.split(x["text"], " "), lambda w: w != ""))
+    zero = F.lit(0)
+    word = lambda w, i: F.struct(i.alias("word_no"), w.alias("word"), *[zero.alias(c) for c in ("block", "line", "x0", "x1", "y0", "y1")])
+    pages = shown.groupBy("doc_id", "page").agg(F.flatten(in_order).alias("ws"))
+    index = A.page_index(pages.select("doc_id", "page", F.transform("ws", word).alias("words"))).withColumn("rotated", F.col("page") % 5 == 0)
+    return A.place_sentences(X.number_repeats(sents), index).select("doc_id", "page", "id", "how", "matches", "similarity", "start", "stop")
 
 
 ID_INTENTS = """id_intents AS (SELECT doc_id, k, k * 7 + 1 AS first, k * 7 + 1 + CASE WHEN k = 3 THEN -1 ELSE (doc_id + k) % 4 END AS last

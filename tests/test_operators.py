@@ -499,14 +499,75 @@ def test_margins_are_packed_like_one_step_after_the_other():
         assert L._pack(blocks, occupied, 0, ceiling) == steps(blocks, occupied, 0, ceiling)
 
 
-def test_the_longest_shared_block_lays_the_key(spark):
-    r = random.Random(10)
-    for _ in range(300):
-        text, key = ("".join(r.choice("abc") for _ in range(r.randrange(1, 25))) for _ in range(2))
-        blocks = [(-n, i, j) for i in range(len(text)) for j in range(len(key)) for n in range(1, 25)
-                  if text[i:i + n] == key[j:j + n] and i + n <= len(text) and j + n <= len(key)]
-        start = max(0, min(blocks)[1] - min(blocks)[2]) if blocks else None
-        assert A._around_longest(text, key)[0] == start
+def _first_longest_block(text, key):
+    blocks = [(-n, i, j) for i in range(len(text)) for j in range(len(key)) for n in range(1, len(key) + 1)
+              if text[i:i + n] == key[j:j + n] and i + n <= len(text) and j + n <= len(key)]
+    return min(blocks) if blocks else None
+
+
+def test_the_longest_shared_block_is_the_first_of_equal_ones(spark):
+    r = random.Random(5)
+    cases = [("".join(r.choice("abc") for _ in range(r.randrange(0, 25))), "".join(r.choice("abcd") for _ in range(r.randrange(0, 12)))) for _ in range(150)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, k string")
+    for x in df.select("i", A.shared_block(F.col("t"), F.col("k")).alias("b")).collect():
+        want = _first_longest_block(*cases[x.i])
+        assert tuple(x.b) == ((-want[0], want[1], want[2]) if want else (0, None, None))
+
+
+def test_no_window_that_is_alike_enough_is_lost(spark):
+    import difflib
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    cases = []
+    for _ in range(250):
+        page = text(r.randrange(40, 160))
+        at, n = r.randrange(30), r.randrange(5, 70)
+        key = list(page[at:at + n])
+        for _ in range(r.randrange(0, 1 + n // 9)):
+            k = r.randrange(len(key))
+            key[k:k + r.choice((0, 1, 1))] = r.choice(("", "x", "yz"))
+            key = key or ["x"]
+        cases.append((page, "".join(key) or "x"))
+    cases += [("", "abc"), (text(50), ""), (None, "abcdef"), ("same text on the page".replace(" ", ""), "sametextonthepage"), ("é🙂" * 30, "é🙂" * 8 + "x")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, key string")
+    for least in (0.0, 0.9, 0.95):
+        kept = 0
+        for x in A.with_closest_window(df, F.lit(True), least).collect():
+            page, key = cases[x.i]
+            block = _first_longest_block(page or "", key)
+            start = max(0, block[1] - block[2]) if block else None
+            ratio = difflib.SequenceMatcher(None, page[start:start + len(key)], key, autojunk=False).ratio() if block else 0.0
+            kept += ratio >= max(least, 1e-9)
+            assert (x.start, x.similarity) == ((start, ratio) if block and ratio >= least else (None, None)), cases[x.i]
+        assert kept > 60
+
+
+def test_a_snapped_phrase_takes_whole_words_and_only_of_its_own_page(spark):
+    def page(doc, no, text):
+        return (doc, no, [(i, w, 0, 0, 0, 0, 1, 1) for i, w in enumerate(text.split())])
+    sch = "doc_id int, page int, words array<struct<word_no:int,word:string,block:int,line:int,x0:int,y0:int,x1:int,y1:int>>"
+    line = "the committee approved several independent recommendations yesterday"
+    index = A.page_index(spark.createDataFrame([page(1, 1, "a first page with other words"), page(1, 2, f"before that {line} and more"), page(2, 1, line)], sch))
+    lost = line.replace("independent", "indepndent")
+    asked = spark.createDataFrame([(1, 2, lost, None), (1, 1, lost, None), (1, 2, lost, 2), (2, 1, "nothing like it at all", None), (3, 1, lost, None)], "doc_id int, page int, phrase string, occurrence int")
+    got = {(r.doc_id, r.page, r.phrase, r.occurrence): r for r in A.snap_phrases(asked, index).collect()}
+    hit = got[1, 2, lost, None]
+    assert (hit.how, hit.closest_page, hit.closest, hit.start) == ("snapped", 2, f"{line}", len("beforethat")) and hit.similarity >= 0.95
+    assert hit.stop == hit.start + len(line.replace(" ", ""))
+    assert (got[1, 1, lost, None].how, got[1, 1, lost, None].closest_page, got[1, 1, lost, None].start) == ("elsewhere", 2, None)
+    assert {got[k].how for k in got if k[0] > 1 or k[3]} == {"missed"} and len(got) == 5
+
+
+def test_sentences_closest_rotated_absent_and_ambiguous(spark):
+    sents = spark.createDataFrame([(1, 1, 1, "Alpha beta gamma delta epsilon."), (1, 1, 2, "Short one."), (1, 1, 3, "Twice here."), (1, 2, 4, "Alpha beta gamma delta epsilon."), (1, 9, 5, "No page."), (1, 1, 6, " ")],
+                                  "doc_id int, page int, id long, text string")
+    words = lambda text: [(i, w, 0, 0, 0, 0, 1, 1) for i, w in enumerate(text.split())]
+    sch = "doc_id int, page int, words array<struct<word_no:int,word:string,block:int,line:int,x0:int,y0:int,x1:int,y1:int>>, rotated boolean"
+    index = A.page_index(spark.createDataFrame([(1, 1, words("Alpha beta gamma dellta epsilon. Twice here. Twice here."), None), (1, 2, words("Alpha beta gamma delta epsilon."), True)], sch))
+    got = {r.id: r for r in A.place_sentences(S.number_repeats(sents), index).collect()}
+    assert {i: r.how for i, r in got.items()} == {1: "closest", 2: "absent", 3: "ambiguous", 4: "rotated", 5: "absent", 6: "absent"}
+    assert (got[1].start, got[1].stop) == (0, len("alphabetagammadelltaepsilon.")) and 0.9 <= got[1].similarity < 1
+    assert got[4].start is None and got[4].stop is None
 
 
 def test_sums_before_and_spans(spark):
