@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import document_rows as D
 from ..operators import text as X
 from ..operators.ordered import once, spread
 from . import fixtures as fx
@@ -341,3 +342,34 @@ SELECT doc_id, min(page) AS page FROM lines WHERE regexp_matches(text, '(?i)^\s*
 def reference_page(t: Tables):
     docs = fx.documents(t).select("doc_id", X.reference_page(F.col("lines")).alias("page"))
     return docs.filter("page IS NOT NULL")
+
+
+# --- the same over a table of lines: a document of any length is cut into chunks ---------------------------------------------
+@query("b06_marked_rows", *TO_MARKED, "SELECT doc_id, row_no, is_running, is_page_number FROM marked")
+def marked_rows(t: Tables):
+    return D.marked_rows(fx.lines(t)).select("doc_id", "row_no", "is_running", "is_page_number")
+
+
+@query("b08_cut_rows", *TO_CUT, "SELECT doc_id, row_no, kind, text FROM cut")
+def cut_rows(t: Tables):
+    return D.cut_rows(fx.lines(t)).select("doc_id", "row_no", "kind", "text")
+
+
+@query("b13_item_rows", *TO_SENTS, ITEMS, """, headed AS (SELECT s.doc_id, s.id, (SELECT h.text FROM paras h WHERE h.doc_id = s.doc_id AND h.kind = 'heading' AND h.para < s.para
+   AND h.para > coalesce(s.before, 0) ORDER BY h.para DESC LIMIT 1) AS heading_before
+FROM (SELECT *, lag(para) OVER (PARTITION BY doc_id ORDER BY id) AS before FROM sents) s)""".lstrip(", "), """
+SELECT doc_id, page, para, kind, id, text, heading_before FROM items LEFT JOIN headed USING (doc_id, id)""")
+def item_rows(t: Tables):
+    return D.item_rows(D.paragraph_rows(fx.lines(t))).drop("pos")
+
+
+@query("b15_repeated_rows", *TO_SENTS, f"""
+SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id, page, {N} ORDER BY id) AS occurrence,
+  count(*) OVER (PARTITION BY doc_id, page, {N}) AS same_text_count FROM sents""")
+def repeated_rows(t: Tables):
+    return X.number_repeats(D.sentence_rows(D.paragraph_rows(fx.lines(t)))).select("doc_id", "id", "occurrence", "same_text_count")
+
+
+@query("a08_listing_rows", *TO_LISTED, "SELECT doc_id, line_no, line FROM listed")
+def listing_rows(t: Tables):
+    return D.listing_rows(D.paragraph_rows(fx.lines(t)))
