@@ -224,6 +224,48 @@ def test_classifier_finds_planted_words_and_holds_under_swaps(spark):
 
 def test_swaps():
     assert toxicity.swapped("The Women and men") == "the men and women" and toxicity.swapped("nobody") is None
+    assert [toxicity.swapped("gay men", by=k) for k in (1, 2, 3)] == ["straight women", "lesbian men", "bisexual women"]
+    assert toxicity.turns([("a", "b"), ("b", "c")]) == {"a": (("a", "b"), 0), "b": (("a", "b"), 1), "c": (("b", "c"), 1)}
+
+
+def test_groups_of_terms_with_like_neighbours():
+    rows = [("xa", "<the", 9), ("xa", ">of", 4), ("xb", "<the", 8), ("xb", ">of", 5), ("ya", "<in", 7), ("yb", "<in", 3), ("zz", ">at", 2)]
+    assert toxicity.alike_groups(["xa", "ya", "xb", "zz", "none", "yb"], rows) == (("xa", "xb"), ("ya", "yb"))
+
+
+def test_penalty_gradient_by_differences():
+    rng = np.random.default_rng(4)
+    apart = [(np.array([0, 2]), np.array([1]), 3), (np.array([], int), np.array([3, 4]), 5), (np.array([4]), np.array([0]), 1)]
+    w = rng.normal(size=6)
+
+    def loss(w):
+        return 7.0 * sum(n * (w[a].sum() - w[b].sum()) ** 2 for a, b, n in apart) / 9
+
+    pairs = np.repeat(np.arange(3), [len(a) + len(b) for a, b, _ in apart])
+    cols = np.concatenate([np.concatenate(p[:2]) for p in apart])
+    signs = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b, _ in apart])
+    got = toxicity.penalty_gradient(w, pairs, cols, signs, np.array([3, 5, 1]) / 9, 5, 7.0)
+    e = np.eye(6) * 1e-6
+    assert np.allclose(got, [(loss(w + e[i]) - loss(w - e[i])) / 2e-6 for i in range(5)], atol=1e-6)
+
+
+def test_neutral_terms_of_any_prose_are_found_and_held_steady(spark):
+    """Terms in an invented language: two stand in the same places, one of them by chance more often in toxic texts."""
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        term = rng.choice(["vorik", "vorla", "semka", "semta"])
+        rude = " grobzek" if bad and i % 2 else " vorbzek" if bad else ""
+        rows.append((i, f"ona {term} tey {prose(rng, 8)}{rude}. ona {rng.choice(['vorik', 'semka', 'vorla', 'semta'])} tey.", "xx", "s", 0))
+        labels.append((i, int(bad)))
+    docs, marks = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, loose = toxicity.train(docs, marks, steady=20.0), toxicity.train(docs, marks, steady=0.0)
+    (found,) = [g for g in model.groups if {t[:3] for t in g} >= {"vor", "sem"}]  # those that both classes use evenly
+    one, other = next(t for t in found if t[0] == "v"), next(t for t in found if t[0] == "s")
+    gap = lambda m: abs(m.score({one}, m.starts()) - m.score({other}, m.starts()))
+    assert model.swaps > 0 and loose.groups == model.groups and gap(loose) > 0 and gap(model) < 0.5 * gap(loose)
+    assert toxicity.train(docs, marks, derive=False).swaps == 0
 
 
 def test_toxicity_without_labels(spark):
@@ -239,7 +281,7 @@ def test_sample_is_of_documents_that_are_there_once_each(spark):
     marks = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, toxic int")
     got = toxicity.labelled_sample(docs, marks, 30).collect()
     assert len(got) == 30 and {r.text.split()[2] for r in got} == {"0"} and all((r.text[0] == "s") == bool(r.label) for r in got)
-    assert "scum$" in toxicity.train(docs, marks, max_rows=40, min_z=1.0, max_swaps=1, steps=20).weights
+    assert "scum$" in toxicity.train(docs, marks, max_rows=40, min_z=1.0, steps=20).weights
 
 
 # ---- token counts
