@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from .ordered import (first_rows, group_total, last_known, ordered_scan, previous, running_count, running_max, running_sum)
+from .ordered import first_rows, group_total, last_known, once, ordered_scan, previous, running_count, running_max, running_sum
 
 OWN = "annolytics"                     # the type of the lines the tool itself writes
 FIELDS = ("input", "cached", "output")
@@ -439,9 +439,32 @@ def _message(role: str, kind: str, text: Column) -> Column:
         F.lit(kind).alias("type"), F.when(text == "", "[Empty message]").otherwise(text).alias("text"))).alias("content"))
 
 
+def cut_middle(text: Column, n: Column) -> Column:
+    """A text of at most ``n`` characters that keeps both ends: half of them, an ellipsis, the rest from the end."""
+    head = F.ceil(n / 2).cast("int")
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, F.lit(1), head - 1), F.lit("…"), F.right(text, n - head)))
+
+
+def shortening_limits(budget: int) -> list[int]:
+    """The characters that each side of an oversized turn may keep, tried in turn: half of the budget, then four fifths each time."""
+    limits = [budget // 2]
+    while limits[-1] > 1:
+        limits.append(int(limits[-1] * 0.8))
+    return [n for n in limits if n]
+
+
+def _turn_lines(user: Column, answer: Column) -> Column:
+    return F.concat(F.lit("[Turn "), (F.col("turn") + 1).cast("string"), F.lit("]\nUser: "), user, F.lit("\nAnswer ("), "agent", F.lit("): "), answer)
+
+
+def _excerpt(user: Column, answer: Column) -> Column:
+    return F.concat(F.lit("User: "), user, F.lit("\nAnswer ("), "agent", F.lit("): "), answer)
+
+
 def bounded_history(turn_rows: DataFrame, chars: int = HISTORY_CHARS) -> DataFrame:
-    """The turns handed to a new session, newest first: beyond ten turns the latest five whole, the earlier ones as excerpts,
-    up to the first that does not fit. A first turn over the budget by itself is marked ``shortened``.
+    """The turns handed to a new session, newest first, with what is said of each: beyond ten turns the latest five whole, the earlier
+    ones as excerpts (``user`` and ``answer`` cut), up to the first that does not fit. A newest turn over the budget by itself is
+    ``shortened``: both sides keep their ends, as long as the budget lets them. ``omitted`` counts the turns of the conversation that are not there.
 
     An excerpt costs at least its fixed words, so only so many of the newest turns can fit: the others leave before any
     window.
@@ -452,21 +475,45 @@ def bounded_history(turn_rows: DataFrame, chars: int = HISTORY_CHARS) -> DataFra
     n = turn_rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
     few = first_rows(turn_rows.select("conv_id", "turn", F.coalesce("user", F.lit("")).alias("user"), answer.alias("answer"), F.coalesce("agent", F.lit("")).alias("agent")),
                      ["conv_id"], [F.desc("turn")], budget // fixed + HISTORY_FROM + 1).join(n, "conv_id")
-    line = F.concat(F.lit("[Turn "), (F.col("turn") + 1).cast("string"), F.lit("]\nUser: "), "user", F.lit("\nAnswer ("), "agent", F.lit("): "), "answer")
-    pair = F.to_json(F.array(_message("user", "input_text", F.col("user")), _message("assistant", "output_text", F.col("answer"))))
-    excerpt = F.concat(F.lit("User: "), cut(F.col("user"), EXCERPT_USER), F.lit("\nAnswer ("), "agent", F.lit("): "), cut(F.col("answer"), EXCERPT_ANSWER))
+
+    def cost(user: Column, answer: Column) -> Column:
+        pair = F.to_json(F.array(_message("user", "input_text", user), _message("assistant", "output_text", answer)))
+        return F.greatest(F.length(_turn_lines(user, answer)) + 2, F.length(pair) + 1).cast("long")
+
+    u, a = F.col("user"), F.col("answer")
+    limits = F.array(*[F.lit(n) for n in shortening_limits(budget)])
+    fits = F.get(F.filter(limits, lambda n: cost(cut_middle(u, n), cut_middle(a, n)) <= budget), F.lit(0))
+    rows = once(few, limit=F.when((F.col("rank") == 1) & (cost(u, a) > budget), fits))
+    rows = rows.withColumns({c: F.when(F.col("limit").isNull(), F.col(c)).otherwise(cut_middle(F.col(c), F.col("limit"))) for c in ("user", "answer")})
+    cuts = {"cut_user": cut(u, EXCERPT_USER), "cut_answer": cut(a, EXCERPT_ANSWER)}
+    rows = once(rows, whole_cost=cost(u, a), **cuts)
+    excerpt = F.to_json(F.struct(_excerpt(F.col("cut_user"), F.col("cut_answer")).alias("e")))
+    rows = rows.withColumn("excerpt_cost", (F.length(excerpt) - 6 + 4).cast("long"))
     newest = Window.partitionBy("conv_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = few.withColumns({"whole_cost": F.greatest(F.length(line) + 2, F.length(pair) + 1).cast("long"),
-                            "excerpt_cost": (F.length(F.to_json(F.struct(excerpt.alias("e")))) - 6 + 4).cast("long")})
     may_whole = F.col("rank") <= F.when(F.col("n_turns") > HISTORY_FROM, HISTORY_WHOLE).otherwise(F.col("n_turns"))
-    rows = rows.withColumn("upto", F.sum("whole_cost").over(newest))
-    short = (F.col("rank") == 1) & (F.col("whole_cost") > budget)
-    rows = rows.withColumn("whole", may_whole & ((F.col("upto") <= budget) | short))
-    used = F.coalesce(F.max(F.when(F.col("whole"), F.least("upto", F.lit(budget)))).over(Window.partitionBy("conv_id")), F.lit(0))
+    rows = rows.withColumn("upto", F.sum("whole_cost").over(newest)).withColumn("whole", may_whole & (F.col("upto") <= budget))
+    of_conversation = Window.partitionBy("conv_id")
+    used = F.coalesce(F.max(F.when(F.col("whole"), F.col("upto"))).over(of_conversation), F.lit(0))
     later = F.sum(F.when(F.col("whole"), 0).otherwise(F.col("excerpt_cost"))).over(newest)
-    rows = rows.withColumns({"fits": F.col("whole") | (used + later <= budget), "shortened": short & F.col("whole")}).filter("fits")
-    return rows.select("conv_id", "turn", F.when(F.col("whole"), "whole").otherwise("excerpt").alias("form"), "shortened",
-                       F.when(F.col("whole"), F.col("whole_cost")).otherwise(F.col("excerpt_cost")).alias("cost"))
+    rows = rows.withColumn("fits", F.col("whole") | (used + later <= budget)).filter("fits")
+    w = F.col("whole")
+    return rows.select("conv_id", "turn", F.when(w, "whole").otherwise("excerpt").alias("form"), F.col("limit").isNotNull().alias("shortened"),
+                       F.when(w, F.col("whole_cost")).otherwise(F.col("excerpt_cost")).alias("cost"), F.when(w, u).otherwise(F.col("cut_user")).alias("user"),
+                       F.when(w, a).otherwise(F.col("cut_answer")).alias("answer"), "agent", (F.col("n_turns") - F.count("*").over(of_conversation)).alias("omitted"))
+
+
+def history_handoffs(history: DataFrame) -> DataFrame:
+    """One text per conversation from the rows of ``bounded_history``, whose budget bounds it: what is left out, the excerpts, then the whole
+    turns, each from the oldest on."""
+    u, a = F.col("user"), F.col("answer")
+    parts = history.groupBy("conv_id").agg(
+        F.max("omitted").alias("omitted"), F.max("shortened").alias("shortened"), F.count_if(F.col("form") == "excerpt").alias("n_excerpts"),
+        F.array_sort(F.collect_list(F.struct((F.col("form") == "whole").alias("w"), "turn", F.when(F.col("form") == "whole", _turn_lines(u, a)).otherwise(_excerpt(u, a)).alias("said")))).alias("said"))
+    left_out = F.when((F.col("omitted") > 0) | F.col("shortened"), F.concat_ws(
+        " ", F.lit("The history is cut to a limit."), F.when(F.col("omitted") > 0, F.concat(F.lit("Earlier turns left out: "), F.col("omitted").cast("string"), F.lit("."))),
+        F.when(F.col("shortened"), "The latest turn is shortened.")))
+    heading = F.when(F.col("n_excerpts") > 0, F.concat(F.lit("Earlier turns in excerpts: "), F.col("n_excerpts").cast("string"), F.lit(".")))
+    return parts.select("conv_id", "omitted", F.concat_ws("\n\n", left_out, heading, F.transform("said", lambda t: t["said"])).alias("handoff"))
 
 
 def unseen_turns(turn_rows: DataFrame, states: DataFrame) -> DataFrame:
@@ -554,15 +601,30 @@ CLOSING_FORMS = (
     ClosingForm(r"(?i)(\d+)\s+remaining warnings?\b\s*(?:\((.*)\)|[:：]\s*([^\n]+))?", count=1, words=(2, 3)),
     ClosingForm(r"(?i)remaining warnings?\s*[:：]\s*(\d+)(?:\s*\((.*)\)|\s+([A-Za-z][^\n]*))?\s*[.。]?\s*$", count=1, words=(2,), tail=3, glue=" "))
 CLOSING_LABEL = r"(?i)(?:剩[余餘]警告\s*[:：]|remaining warnings\s*[:：])\s*([^\n]+)"
-CLOSING_NONE = (r"^0(?:\s*[条條件个個])?$", r"^(?:无|無|没有|沒有|none)(?:\s*[，,；;].*)?$", r"^none\s+warn\p{L}*$")
+CLOSING_ZERO = r"^0(?:\s*[条條件个個])?$"
+CLOSING_NONE = ("无", "無", "没有", "沒有", "none")
 CLOSING_DENIAL = r"(?i)[无無]剩[余餘]警告|[没沒]有剩[余餘]警告|no (?:remaining )?warnings"
 REMARK = r"\s*[(（][^)）]*[)）]\s*[.。]?$"
 END_MARKS = r"[\s.。．!！]+$"
 
 
-def closing_warnings(reply: Column) -> Column:
+def _literal(text: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and not c.isspace() and c.isascii() else c for c in text)
+
+
+def none_pattern(label: str, none: str) -> str:
+    """What says that nothing is left: a word for none by itself, with an aside after a comma, or before a word that begins like one of
+    the label's own words (of four letters or more)."""
+    words = "|".join(_literal(w) for w in (*CLOSING_NONE, none.lower()) if w)
+    begins = "|".join(sorted({_literal(w[:4]) for w in label.lower().split() if len(w) >= 4}))
+    own = rf"|\s+(?:{begins})\p{{L}}*" if begins else ""
+    return rf"{CLOSING_ZERO}|^(?:{words})(?:\s*[，,；;].*{own})?$"
+
+
+def closing_warnings(reply: Column, label: str = "Remaining warnings", none: str = "none") -> Column:
     """What the last line of a reply says of the warnings left: an empty text for none, the words or the count, null when it
-    does not say. A form with a count decides before a label with words, and that before a plain denial."""
+    does not say. A form with a count decides before a label with words, that before a plain denial, and that before ``label``, which
+    with ``none`` is how the user's language says it."""
     line = F.regexp_extract(F.trim(reply), r"([^\n]*)$", 1)
 
     def bare(c: Column) -> Column:
@@ -577,9 +639,13 @@ def closing_warnings(reply: Column) -> Column:
             said = F.when(group[form.tail] != "", bare(F.concat(amount, F.lit(form.glue), group[form.tail]))).otherwise(said)
         return F.when(group[form.count].rlike("^0+$"), "").otherwise(said)
 
-    words = F.regexp_extract(line, CLOSING_LABEL, 1)
-    core = bare(F.regexp_replace(F.lower(words), REMARK, ""))
-    labelled = F.when(reduce(or_, [core.rlike(p) for p in CLOSING_NONE]), "").otherwise(bare(words))
-    ways = [*((form.pattern, counted(form)) for form in CLOSING_FORMS), (CLOSING_LABEL, labelled), (CLOSING_DENIAL, F.lit(""))]
-    return F.coalesce(*[F.when(line.rlike(pattern), said) for pattern, said in ways])
+    def labelled(pattern: str) -> Column:
+        words = F.regexp_extract(line, pattern, 1)
+        return F.when(bare(F.regexp_replace(F.lower(words), REMARK, "")).rlike(none_pattern(label, none)), "").otherwise(bare(words))
 
+    ways = [*((form.pattern, counted(form)) for form in CLOSING_FORMS), (CLOSING_LABEL, labelled(CLOSING_LABEL)), (CLOSING_DENIAL, F.lit(""))]
+    if label:
+        own = rf"(?iu){_literal(label)}\s*[:：]\s*(.+)$"
+        said = labelled(own)
+        ways.append((own, F.when((said != "") | (bare(F.regexp_extract(line, own, 1)) != ""), said)))
+    return F.coalesce(*[F.when(line.rlike(pattern), said) for pattern, said in ways])

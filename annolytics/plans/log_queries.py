@@ -258,22 +258,51 @@ def spent_on_latest(t: Tables):
     return G.spent_on_latest(fx.conv_log(t))
 
 
-HISTORY = r"""told AS (SELECT conv_id, turn, coalesce(said, '') AS u, agent, CASE WHEN coalesce(reply, '') <> '' THEN reply WHEN reply IS NOT NULL THEN '(no text)'
+BUDGET = 4000 - G.HISTORY_RESERVE
+
+
+def _whole_cost(u: str, a: str) -> str:
+    return f"""greatest(length('[Turn ' || (turn + 1) || ']' || chr(10) || 'User: ' || {u} || chr(10) || 'Answer (' || agent || '): ' || {a}) + 2,
+  length('[{{"type":"message","role":"user","content":[{{"type":"input_text","text":' || to_json(CASE WHEN {u} = '' THEN '[Empty message]' ELSE {u} END) || '}}]}},{{"type":"message","role":"assistant","content":[{{"type":"output_text","text":' || to_json({a}) || '}}]}}]') + 1)"""
+
+
+def _ends(s: str, n: str) -> str:
+    return f"CASE WHEN length({s}) <= {n} THEN {s} ELSE substr({s}, 1, ({n} + 1) // 2 - 1) || '…' || right({s}, {n} - ({n} + 1) // 2) END"
+
+
+HISTORY = f"""told AS (SELECT conv_id, turn, coalesce(said, '') AS u, agent, CASE WHEN coalesce(reply, '') <> '' THEN reply WHEN reply IS NOT NULL THEN '(no text)'
     ELSE '(not finished' || CASE WHEN coalesce(ended, '') <> '' THEN ': ' || CASE WHEN length(ended) <= 300 THEN ended ELSE substr(ended, 1, 299) || '…' END ELSE '' END || ')' END AS a,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank, count(*) OVER (PARTITION BY conv_id) AS n FROM turn_rows),
-priced AS (SELECT *, greatest(length('[Turn ' || (turn + 1) || ']' || chr(10) || 'User: ' || u || chr(10) || 'Answer (' || agent || '): ' || a) + 2,
-  length('[{"type":"message","role":"user","content":[{"type":"input_text","text":' || to_json(CASE WHEN u = '' THEN '[Empty message]' ELSE u END) || '}]},{"type":"message","role":"assistant","content":[{"type":"output_text","text":' || to_json(a) || '}]}]') + 1) AS whole_cost,
-  length(to_json('User: ' || CASE WHEN length(u) <= 250 THEN u ELSE substr(u, 1, 249) || '…' END || chr(10) || 'Answer (' || agent || '): ' || CASE WHEN length(a) <= 400 THEN a ELSE substr(a, 1, 399) || '…' END)) + 4 AS excerpt_cost FROM told),
-wholes AS (SELECT *, rank <= CASE WHEN n > 10 THEN 5 ELSE n END AND (upto <= 2976 OR rank = 1) AS whole FROM (SELECT *, sum(whole_cost) OVER (PARTITION BY conv_id ORDER BY rank) AS upto FROM priced) p),
-spent AS (SELECT *, coalesce(max(CASE WHEN whole THEN least(upto, 2976) END) OVER (PARTITION BY conv_id), 0) + sum(CASE WHEN whole THEN 0 ELSE excerpt_cost END) OVER (PARTITION BY conv_id ORDER BY rank) AS total FROM wholes)"""
+limited AS (SELECT *, CASE WHEN rank = 1 AND {_whole_cost('u', 'a')} > {BUDGET} THEN list_filter({G.shortening_limits(BUDGET)}, lambda l: {_whole_cost(f"({_ends('u', 'l')})", f"({_ends('a', 'l')})")} <= {BUDGET})[1] END AS lim FROM told),
+clipped AS (SELECT * REPLACE (CASE WHEN lim IS NULL THEN u ELSE {_ends('u', 'lim')} END AS u, CASE WHEN lim IS NULL THEN a ELSE {_ends('a', 'lim')} END AS a) FROM limited),
+excerpts AS (SELECT *, CASE WHEN length(u) <= 250 THEN u ELSE substr(u, 1, 249) || '…' END AS eu, CASE WHEN length(a) <= 400 THEN a ELSE substr(a, 1, 399) || '…' END AS ea FROM clipped),
+priced AS (SELECT *, {_whole_cost('u', 'a')} AS whole_cost, length(to_json('User: ' || eu || chr(10) || 'Answer (' || agent || '): ' || ea)) + 4 AS excerpt_cost FROM excerpts),
+wholes AS (SELECT *, rank <= CASE WHEN n > 10 THEN 5 ELSE n END AND upto <= {BUDGET} AS whole FROM (SELECT *, sum(whole_cost) OVER (PARTITION BY conv_id ORDER BY rank) AS upto FROM priced) p),
+spent AS (SELECT *, coalesce(max(CASE WHEN whole THEN upto END) OVER (PARTITION BY conv_id), 0) + sum(CASE WHEN whole THEN 0 ELSE excerpt_cost END) OVER (PARTITION BY conv_id ORDER BY rank) AS total FROM wholes),
+history AS (SELECT *, n - count(*) OVER (PARTITION BY conv_id) AS omitted FROM spent WHERE whole OR total <= {BUDGET})"""
+KEPT = """SELECT conv_id, turn, CASE WHEN whole THEN 'whole' ELSE 'excerpt' END AS form, lim IS NOT NULL AS shortened,
+  CAST(CASE WHEN whole THEN whole_cost ELSE excerpt_cost END AS BIGINT) AS cost"""
+
+
+@query("h17_bounded_history", *TO_TURNS, HISTORY, f"{KEPT} FROM history")
+def bounded_history(t: Tables):
+    return G.bounded_history(G.turn_table(_turns(t)), chars=4000).select("conv_id", "turn", "form", "shortened", "cost")
 
 
-@query("h17_bounded_history", *TO_TURNS, HISTORY, """SELECT conv_id, turn, CASE WHEN whole THEN 'whole' ELSE 'excerpt' END AS form, whole AND rank = 1 AND whole_cost > 2976 AS shortened,
-  CAST(CASE WHEN whole THEN whole_cost ELSE excerpt_cost END AS BIGINT) AS cost FROM spent WHERE whole OR total <= 2976""")
-def bounded_history(t: Tables):
+@query("h17_history_texts", *TO_TURNS, HISTORY, f"""{KEPT}, CASE WHEN whole THEN u ELSE eu END AS "user", CASE WHEN whole THEN a ELSE ea END AS answer, agent, CAST(omitted AS BIGINT) AS omitted FROM history""")
+def history_texts(t: Tables):
     return G.bounded_history(G.turn_table(_turns(t)), chars=4000)
 
 
+@query("h17_handoffs", *TO_TURNS, HISTORY, """parts AS (SELECT conv_id, max(omitted) AS omitted, bool_or(lim IS NOT NULL) AS shortened, count(*) FILTER (NOT whole) AS n_excerpts, string_agg(CASE WHEN whole
+  THEN '[Turn ' || (turn + 1) || ']' || chr(10) || 'User: ' || u || chr(10) || 'Answer (' || agent || '): ' || a ELSE 'User: ' || eu || chr(10) || 'Answer (' || agent || '): ' || ea END, chr(10) || chr(10) ORDER BY whole, turn) AS said
+  FROM history GROUP BY conv_id)""", """SELECT conv_id, CAST(omitted AS BIGINT) AS omitted, concat_ws(chr(10) || chr(10), CASE WHEN omitted > 0 OR shortened THEN concat_ws(' ', 'The history is cut to a limit.',
+  CASE WHEN omitted > 0 THEN 'Earlier turns left out: ' || omitted || '.' END, CASE WHEN shortened THEN 'The latest turn is shortened.' END) END,
+  CASE WHEN n_excerpts > 0 THEN 'Earlier turns in excerpts: ' || n_excerpts || '.' END, said) AS handoff FROM parts""")
+def handoffs(t: Tables):
+    return G.history_handoffs(G.bounded_history(G.turn_table(_turns(t)), chars=4000))
+
+
 @query("h18_unseen_turns", *TO_TURNS, REACH, "SELECT t.conv_id, s.agent AS for_agent, t.turn FROM turn_rows t JOIN seen s ON s.conv_id = t.conv_id AND t.turn > s.through")
 def unseen_turns(t: Tables):
     rows = _turns(t)
@@ -308,6 +337,17 @@ def closing_lines(t: Tables):
     return t.events.select("event_id", G.closing_warnings(text).alias("warnings"))
 
 
+# a reply in French per event: its own number and kind stand in the remainder, which is kept unless it says none
+REMAINDERS = """CASE event_id % 6 WHEN 0 THEN 'aucun' WHEN 1 THEN 'Aucun avertissement' WHEN 2 THEN 'aucun, tout corrigé (' || event_type || ')' WHEN 3 THEN 'aucun texte pour la p. ' || event_id
+  WHEN 4 THEN event_type || ' en p. ' || event_id ELSE '' END"""
+
+
+@query("h23_labelled_closings", f"""SELECT event_id, CASE WHEN event_id % 6 <= 2 THEN '' WHEN event_id % 6 <= 4 THEN {REMAINDERS} END AS warnings FROM events""")
+def labelled_closings(t: Tables):
+    said = F.concat(F.lit("Terminé.\nAvertissements restants : "), F.expr(REMAINDERS), F.lit("."))
+    return t.events.select("event_id", G.closing_warnings(said, "Avertissements restants", "aucun").alias("warnings"))
+
+
 @query("h24_wall_time", """kinds AS (SELECT user_id AS session, event_id AS ord, CASE event_type WHEN 'signup' THEN 'run' WHEN 'purchase' THEN 'counts' ELSE 'other' END AS kind, epoch_us(ts) // 1000 AS ms, 100 + user_id AS probe FROM events)""",
        """SELECT session, CASE WHEN c >= b THEN round_even((c - b) / 1000, 1) ELSE CAST(p AS DOUBLE) END AS wall_s FROM (SELECT session, arg_min(ms, ord) FILTER (kind = 'run') AS b, arg_max(ms, ord) FILTER (kind = 'counts') AS c, max(probe) AS p FROM kinds GROUP BY session) x""")
 def wall_time(t: Tables):

@@ -584,3 +584,36 @@ def test_sums_before_and_spans(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, a string, b string")
     got = df.select("i", A.find_spans(F.col("t"), F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
     assert [[tuple(s) for s in x.s] for x in got] == want
+
+
+@pytest.mark.parametrize("reply, label, none, want", [
+    ("Fini.\nAvertissements restants : aucun.", "Avertissements restants", "aucun", ""),
+    ("Avertissements restants : aucun avertissement", "Avertissements restants", "aucun", ""),
+    ("Avertissements restants : aucun texte pour la p. 3.", "Avertissements restants", "aucun", "aucun texte pour la p. 3"),
+    ("Verbleibende Warnungen: keine (alles behoben)", "Verbleibende Warnungen", "keine", ""),
+    ("Verbleibende Warnungen: keine Übersetzung für S. 3", "Verbleibende Warnungen", "keine", "keine Übersetzung für S. 3"),
+    ("VERBLEIBENDE WARNUNGEN: 0", "Verbleibende Warnungen", "keine", ""),
+    ("Verbleibende Warnungen: keine", "Remaining warnings", "none", None),
+    ("Remaining warnings: none warned about", "Remaining warnings", "none", "none warned about"),
+    ("Remaining warnings: none, all fixed", "Verbleibende Warnungen", "keine", ""),
+    ("Offen (S. 2): zwei Sätze!", "Offen (S. 2)", "nichts", "zwei Sätze"), ("Offen (S. 2): nichts", "Offen (S. 2)", "nichts", "")])
+def test_closing_lines_of_other_languages(spark, reply, label, none, want):
+    df = spark.createDataFrame([(reply,)], "reply string")
+    assert df.select(H.closing_warnings(F.col("reply"), label, none).alias("w")).first().w == want
+
+
+def test_history_keeps_both_ends_of_an_oversized_turn(spark):
+    budget = 2000 - H.HISTORY_RESERVE
+    turns = [(1, t, f"question {t}", f"answer {t}", None, "a") for t in range(12)]
+    turns += [(2, 0, "first", "short", None, "a"), (2, 1, "Q" + 'x"' * 3000 + "?", "A" + "\u0001y" * 2000 + ".", None, "a"), (3, 0, "", None, "lost", "a")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, user string, reply string, ended string, agent string")
+    got = {(r.conv_id, r.turn): r for r in H.bounded_history(df, chars=2000).collect()}
+    long = got[2, 1]
+    assert long.shortened and long.form == "whole" and long.cost <= budget and len(long.user) == len(long.answer)
+    assert long.user[0] == "Q" and long.user[-1] == "?" and "…" in long.user and long.answer[0] == "A" and long.answer[-1] == "."
+    assert len(long.user) in H.shortening_limits(budget) and got.get((2, 0)) is None and long.omitted == 1
+    assert [got[1, t].form for t in (11, 7)] == ["whole", "whole"] and got[1, 6].form == "excerpt" and not got[1, 11].shortened
+    assert sum(r.cost for r in got.values() if r.conv_id == 1) <= budget and got[3, 0].answer == "(not finished: lost)"
+    texts = {r.conv_id: r.handoff for r in H.history_handoffs(H.bounded_history(df, chars=2000)).collect()}
+    assert texts[2].startswith("The history is cut to a limit. Earlier turns left out: 1. The latest turn is shortened.\n\n[Turn 2]\nUser: Q")
+    assert texts[3] == "[Turn 1]\nUser: \nAnswer (a): (not finished: lost)" and texts[1].endswith("[Turn 12]\nUser: question 11\nAnswer (a): answer 11")
