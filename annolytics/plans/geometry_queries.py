@@ -199,12 +199,18 @@ def side_votes(t: Tables):
     return C.preferred_sides(_drawn_sides(t))
 
 
-@query("d14_shape_clusters")
+NEAR = "a.doc_id = b.doc_id AND a.page = b.page AND b.x0 <= a.x1 + 3 AND a.x0 - 3 <= b.x1 AND b.y0 <= a.y1 + 3 AND a.y0 - 3 <= b.y1"
+# boxes take in what is near them, again and again; the last two rounds must agree, or the rows do not
+ROUNDS = 9
+CLUSTERS = ["near0 AS (SELECT DISTINCT doc_id, page, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 + row_no % 5 * 30 AS DOUBLE) AS y1 FROM shapes)",
+            *[f"""near{k} AS (SELECT DISTINCT doc_id, page, n.x0, n.y0, n.x1, n.y1 FROM (SELECT a.doc_id, a.page, {{'x0': min(b.x0), 'y0': min(b.y0), 'x1': max(b.x1), 'y1': max(b.y1)}} AS n
+  FROM near{k - 1} a JOIN near{k - 1} b ON {NEAR} GROUP BY a.doc_id, a.page, a.x0, a.y0, a.x1, a.y1) g)""" for k in range(1, ROUNDS + 1)]]
+
+
+@query("d14_shape_clusters", LINES_SQL, SHAPES_SQL, *CLUSTERS, f"""SELECT * FROM near{ROUNDS} WHERE x1 - x0 >= 8 AND y1 - y0 >= 8 AND NOT (x1 - x0 > 0.95 * 612 AND y1 - y0 > 0.95 * 792)""")
 def shape_clusters(t: Tables):
     shapes = _shapes(t).withColumn("y1", F.col("y1") + F.col("row_no") % 5 * 30)
-    box = F.struct(*[F.col(c).cast("double").alias(c) for c in L.BOX])
-    pages = shapes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(box)).alias("shapes"))
-    return C.cluster_shapes(pages.withColumns({"width": F.lit(612), "height": F.lit(792)}))
+    return C.cluster_shapes(shapes.withColumns({"width": F.lit(612), "height": F.lit(792)}), ["doc_id", "page"])
 
 
 @query("d15_margin_boxes", *TO_WORDS, EXTENTS, """
@@ -218,7 +224,19 @@ def margin_boxes(t: Tables):
     return rows.select("doc_id", "page", "side", m.alias("m")).select("doc_id", "page", "side", "m.left", "m.right")
 
 
-@query("d16_margin_room")
+FREE = "list_filter(list_concat([want], list_transform(taken, lambda t: {edge})), lambda c: c {side} want AND len(list_filter(taken, lambda t: c - h < t.hi + 3 AND c > t.lo - 3)) = 0)"
+# one block of every page a step, highest wish first: the nearest free top below, else above, else where it is
+MARGINS = f"""side_notes AS (SELECT parent, page, key, ord, own, CAST(y1 + 60 AS DOUBLE) AS y_top, CAST(x1 - x0 AS DOUBLE) AS h, CAST(y0 AS DOUBLE) AS lo, CAST(y1 AS DOUBLE) AS hi FROM annotations WHERE type IN ('text', 'note')),
+turns AS (SELECT parent, page, key, h, CAST(least(greatest(y_top, 30 + h), 760) AS DOUBLE) AS want, row_number() OVER (PARTITION BY parent, page ORDER BY y_top DESC, ord, key) AS k FROM side_notes WHERE NOT own),
+packed AS (SELECT parent, page, 0::BIGINT AS k, coalesce(list({{'lo': lo, 'hi': hi}}) FILTER (own), []) AS taken, NULL::VARCHAR AS key, NULL::DOUBLE AS y_top, NULL::DOUBLE AS h, NULL::VARCHAR AS flag FROM side_notes GROUP BY parent, page
+  UNION ALL SELECT parent, page, k, list_append(taken, {{'lo': top - h, 'hi': top}}), key, top, h, CASE WHEN h > 730 THEN 'too tall' WHEN free IS NULL THEN 'no room' END FROM (
+    SELECT *, CAST(CASE WHEN h > 730 THEN 760 ELSE coalesce(free, want) END AS DOUBLE) AS top FROM (
+      SELECT *, coalesce(CASE WHEN below - h >= 30 THEN below END, CASE WHEN above <= 760 THEN above END) AS free FROM (
+        SELECT *, list_max({FREE.format(edge="t.lo - 3", side="<=")}) AS below, list_min({FREE.format(edge="t.hi + 3 + h", side=">=")}) AS above FROM (
+          SELECT p.parent, p.page, n.k, p.taken, n.key, n.h, n.want FROM packed p JOIN turns n ON n.parent = p.parent AND n.page = p.page AND n.k = p.k + 1) a) b) c) d)"""
+
+
+@query("d16_margin_room", "RECURSIVE " + ANNOTATIONS_SQL, MARGINS, "SELECT parent, page, key, y_top, h, flag FROM packed WHERE k > 0")
 def margin_room(t: Tables):
     """Margin notes of every page between what stands there already: the rows of a page are counted into its margin."""
     rows = fx.annotations(t).filter(F.col("type").isin("text", "note"))

@@ -474,7 +474,7 @@ def test_character_references_are_read(spark):
     assert [r.t for r in df.select(T.html_text("h").alias("t")).collect()] == ["café — A&lt; ©", "", ""]
 
 
-def test_margins_are_packed_like_one_step_after_the_other():
+def test_margins_are_packed_like_one_step_after_the_other(spark):
     def steps(blocks, occupied, floor, ceiling, gap=3):
         """Every whole top tried in turn, down and then up."""
         taken, out = list(occupied), {}
@@ -492,11 +492,15 @@ def test_margins_are_packed_like_one_step_after_the_other():
         return [out[i] for i in range(len(blocks))]
 
     r = random.Random(9)
-    for _ in range(300):
+    pages, want = [], {}
+    for page in range(300):
         ceiling = r.choice([60, 200])
         blocks = [(r.randrange(-20, ceiling + 30), r.choice([5, 14, 40, 80])) for _ in range(r.randrange(12))]
         occupied = [(a, a + r.choice([4, 12, 50])) for a in (r.randrange(ceiling) for _ in range(r.randrange(5)))]
-        assert L._pack(blocks, occupied, 0, ceiling) == steps(blocks, occupied, 0, ceiling)
+        pages.append((page, [(f"{i:02}", float(t), float(h)) for i, (t, h) in enumerate(blocks)], [(float(a), float(b)) for a, b in occupied], 0, ceiling))
+        want |= {(page, f"{i:02}"): p for i, p in enumerate(steps(blocks, occupied, 0, ceiling))}
+    df = spark.createDataFrame(pages, "page int, blocks array<struct<key:string,y_top:double,h:double>>, occupied array<struct<lo:double,hi:double>>, floor int, ceiling int")
+    assert {(p.page, p.key): (p.y_top, p.flag) for p in L.pack_margins(df).collect()} == want
 
 
 def _first_longest_block(text, key):
@@ -617,3 +621,48 @@ def test_history_keeps_both_ends_of_an_oversized_turn(spark):
     texts = {r.conv_id: r.handoff for r in H.history_handoffs(H.bounded_history(df, chars=2000)).collect()}
     assert texts[2].startswith("The history is cut to a limit. Earlier turns left out: 1. The latest turn is shortened.\n\n[Turn 2]\nUser: Q")
     assert texts[3] == "[Turn 1]\nUser: \nAnswer (a): (not finished: lost)" and texts[1].endswith("[Turn 12]\nUser: question 11\nAnswer (a): answer 11")
+
+
+def grown_boxes(boxes, gap=3):
+    """Merging one pair at a time until no two boxes are near."""
+    boxes = [tuple(map(float, b)) for b in boxes]
+    while True:
+        pair = next(((a, b) for i, a in enumerate(boxes) for b in boxes[i + 1:] if a[0] - gap <= b[2] and b[0] - gap <= a[2] and a[1] - gap <= b[3] and b[1] - gap <= a[3]), None)
+        if not pair:
+            return set(boxes)
+        a, b = pair
+        boxes.remove(a)
+        boxes.remove(b)
+        boxes.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+
+
+def test_shape_clusters_are_those_of_pairwise_growth(spark):
+    rnd = random.Random(8)
+    data, want = [], {}
+    for page in range(12):
+        boxes = []
+        for _ in range([0, 1, 5, 30, 80, 200][page % 6]):
+            x, y = rnd.randrange(-200, 560), rnd.randrange(-90, 760)
+            boxes.append((x, y, x + rnd.choice([0, 2, 9, 30]), y + rnd.choice([0, 1, 8, 20])))
+        boxes += boxes[:3] + [(300 + 12 * i, 800, 309 + 12 * i, 812) for i in range(12)]  # repeats; a chain of neighbours just in reach
+        data += [(page, *b) for b in boxes]
+        want[page] = {b for b in grown_boxes(boxes) if b[2] - b[0] >= 8 and b[3] - b[1] >= 8}
+    df = spark.createDataFrame([*data, (1, None, 1, 2, 3)], "page int, x0 int, y0 int, x1 int, y1 int").withColumns({"width": F.lit(5000), "height": F.lit(5000)})
+    found = [tuple(r) for r in C_cluster(df).select("page", *L.BOX).collect()]
+    assert len(found) == len(set(found))
+    assert {p: {f[1:] for f in found if f[0] == p} for p in want} == want
+    assert C_cluster(df.limit(0)).count() == 0
+
+
+def C_cluster(df):
+    from annolytics.operators.captions import cluster_shapes
+    return cluster_shapes(df, ["page"])
+
+
+def test_a_crowded_page_is_clustered_by_cells(spark):
+    n = F.col("id")
+    dots = spark.range(100_000).select(F.lit(1).alias("page"), *[e.cast("double").alias(c) for c, e in (
+        ("x0", 40 + n % 250 * 2), ("y0", 60 + n % 997 * 0.5 + F.when(n % 250 < 125, 0).otherwise(4)), ("x1", 41 + n % 250 * 2), ("y1", 61 + n % 997 * 0.5 + F.when(n % 250 < 125, 0).otherwise(4)))],
+        F.lit(5000).alias("width"), F.lit(5000).alias("height"))
+    lone = spark.createDataFrame([(1, 700.0, 60.0, 720.0, 80.0, 5000, 5000)], dots.schema)
+    assert {tuple(r) for r in C_cluster(dots.union(lone)).select(*L.BOX).collect()} == {(40.0, 60.0, 539.0, 563.0), (700.0, 60.0, 720.0, 80.0)}
