@@ -5,14 +5,17 @@ canonical text of a position.
 """
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import rules as R
 from ..functions import text as T
 from ..session import cut_lineage
-from .layout import BOX
+from .layout import BOX, box_pairs
 from .ordered import first_rows, ordered_scan, running_count
 
 CHANGED_AFTER = 5          # seconds between the dates of an annotation the user changed
@@ -98,24 +101,36 @@ def _pass(new: DataFrame, old: DataFrame, keys: list[str], chunk_rows: int) -> t
     return pairs, left(a, b), left(b, a)
 
 
-def _greedy_overlap(group: pd.DataFrame) -> pd.DataFrame:
-    old = group[group.is_old].sort_values("ord").to_dict("records")
-    found = []
-    for a in group[~group.is_old].sort_values("ord").to_dict("records"):
-        for i, o in enumerate(old):
-            if min(a["x1"], o["x1"]) - max(a["x0"], o["x0"]) > 2 and min(a["y1"], o["y1"]) - max(a["y0"], o["y0"]) > 2:
-                found.append((a["key"], o["key"], "overlap"))
-                del old[i]
-                break
-    return pd.DataFrame(found, columns=["new_key", "old_key", "how"])
+def _first_free(new: DataFrame, old: DataFrame, keys: list[str], test, reach: float = 0.0) -> DataFrame:
+    """(new_key, old_key): each new row in order takes the first old row, in order, that passes ``test`` with it and is free.
+
+    That is the one pairing in which no new row could have an earlier old row from a later new one, so it is found for all rows at
+    once: every new row asks its first candidate, an old row holds the earliest that asks, and candidates that are held by an earlier
+    row are struck off. Rounds end when no two ask for the same. Candidates come from the grid of ``box_pairs``: no page is one task."""
+    a = new.select(*keys, *BOX, F.struct("ord", "new_key").alias("n"))
+    b = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in BOX], F.struct("ord", "old_key").alias("o"))
+    met = box_pairs(a.select(*keys, *BOX).distinct(), old.select(*keys, *BOX).distinct(), keys, test, [], reach)
+    asks = cut_lineage(met.join(a, [*keys, *BOX]).join(b, [*keys, *[f"o_{c}" for c in BOX]]).select("n", "o"))
+    while True:
+        held = cut_lineage(asks.groupBy("n").agg(F.min("o").alias("o")).groupBy("o").agg(F.min("n").alias("holder"), F.count("*").alias("askers")))
+        if held.filter("askers > 1").isEmpty():
+            return held.select("holder.new_key", "o.old_key")
+        asks = cut_lineage(asks.join(held, "o", "left").filter("holder IS NULL OR n <= holder").select("n", "o"))
+
 
+def _near(tolerance: float):
+    def test(a: Column, b: Column) -> Column:
+        return reduce(and_, [F.abs(a[c] - b[c]) <= tolerance for c in BOX])
+    return test
 
-def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_rows: int = 1 << 16) -> DataFrame:
+
+def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_rows: int = 1 << 16, tolerance: float | None = None) -> DataFrame:
     """New annotations paired with at most one old one each: by text and place, by place, by text, then by overlap, within the
     document, type and page.
 
-    A pass over an equality pairs the n-th with the n-th, which is what taking the first free one in order gives. Only rows
-    that no equality pairs, on pages with such rows on both sides, reach the last pass.
+    A pass over an equality pairs the n-th with the n-th, which is what taking the first free one in order gives. With a
+    ``tolerance`` (in points, half of one for positions that were rounded on their way) rows that a pass over places leaves are
+    paired by places that near, equal ones first. Rows without a whole box are not near and do not overlap.
     """
     page = ["parent", "type", "page"]
 
@@ -123,24 +138,23 @@ def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_ro
         body = T.collapse(F.when(R.is_mark(), F.coalesce("text", F.lit(""))).otherwise(F.coalesce("comment", F.lit(""))))
         return df.select(*page, "ord", F.col("key").alias(key), body.alias("body"), "place", *BOX)
 
+    def without(df, pairs, key):
+        return cut_lineage(df.join(pairs.select(key), key, "left_anti"))
+
     a, b, found = side(new, "new_key"), side(old, "old_key"), []
     for name, keys in (("text and place", ["body", "place"]), ("place", ["place"]), ("text", ["body"])):
         wordless = [x.filter("body = ''") for x in (a, b)] if "body" in keys else []
         made, a, b = _pass(*[x.filter("body <> ''") if wordless else x for x in (a, b)], page + keys, chunk_rows)
         found.append(made.withColumn("how", F.lit(name)))
+        if tolerance is not None and "place" in keys:
+            made = _first_free(a, b, page + [k for k in keys if k != "place"], _near(tolerance), tolerance)
+            a, b = without(a, made, "new_key"), without(b, made, "old_key")
+            found.append(made.withColumn("how", F.lit(name)))
         if wordless:
             a, b = a.unionByName(wordless[0]), b.unionByName(wordless[1])
     if overlap:
-        a, b = cut_lineage(a), cut_lineage(b)
-        rest = (a.select(*page, "ord", F.col("new_key").alias("key"), *BOX, F.lit(False).alias("is_old"))
-                .unionByName(b.select(*page, "ord", F.col("old_key").alias("key"), *BOX, F.lit(True).alias("is_old"))))
-        both = a.select(*page).distinct().join(b.select(*page).distinct(), page)
-        found.append(rest.join(both, page, "left_semi").groupBy(*page)
-                     .applyInPandas(_greedy_overlap, "new_key string, old_key string, how string"))
-    out = found[0]
-    for made in found[1:]:
-        out = out.unionByName(made)
-    return out
+        found.append(_first_free(cut_lineage(a), cut_lineage(b), page, G.overlaps).withColumn("how", F.lit("overlap")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def tag_delta(had: Column, want: Column, now: Column) -> Column:

@@ -150,7 +150,16 @@ def rewrite_pairs(t: Tables):
     return D.match_rewrite(config(t), listing(t), overlap=False, chunk_rows=FIXTURE_CHUNK).select("new_key", "old_key", "how")
 
 
-@query("f04_overlap_pairs")
+# one new row of every page a step takes the first of the old ones left that lies under it
+GREEDY = """news AS (SELECT parent, type, page, key, x0, y0, x1, y1, row_number() OVER (PARTITION BY parent, type, page ORDER BY ord, key) AS k FROM new3),
+taken AS (SELECT parent, type, page, 0::BIGINT AS k, list({'key': key, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} ORDER BY ord, key) AS free, NULL::VARCHAR AS new_key, NULL::VARCHAR AS old_key FROM old3 GROUP BY parent, type, page
+  UNION ALL SELECT parent, type, page, k, list_filter(free, lambda o: o.key IS DISTINCT FROM pick), key, pick FROM (
+    SELECT t.parent, t.type, t.page, n.k, t.free, n.key, list_filter(t.free, lambda o: least(o.x1, n.x1) - greatest(o.x0, n.x0) > 2 AND least(o.y1, n.y1) - greatest(o.y0, n.y0) > 2)[1].key AS pick
+    FROM taken t JOIN news n ON n.parent = t.parent AND n.type = t.type AND n.page = t.page AND n.k = t.k + 1) s)"""
+
+
+@query("f04_overlap_pairs", "RECURSIVE " + TO_SNAPSHOTS[0], *TO_SNAPSHOTS[1:], *PAIRS, GREEDY,
+       "SELECT new_key, old_key, how FROM pairs UNION ALL SELECT new_key, old_key, 'overlap' FROM taken WHERE old_key IS NOT NULL")
 def overlap_pairs(t: Tables):
     return D.match_rewrite(config(t), listing(t), chunk_rows=FIXTURE_CHUNK)
 

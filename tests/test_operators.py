@@ -666,3 +666,32 @@ def test_a_crowded_page_is_clustered_by_cells(spark):
         F.lit(5000).alias("width"), F.lit(5000).alias("height"))
     lone = spark.createDataFrame([(1, 700.0, 60.0, 720.0, 80.0, 5000, 5000)], dots.schema)
     assert {tuple(r) for r in C_cluster(dots.union(lone)).select(*L.BOX).collect()} == {(40.0, 60.0, 539.0, 563.0), (700.0, 60.0, 720.0, 80.0)}
+
+
+def test_places_within_half_a_point_are_one_place(spark):
+    cols = "key string, parent string, type string, page int, ord long, text string, comment string, place string, x0 double, y0 double, x1 double, y1 double"
+
+    def row(key, ord_, text, x, y, **more):
+        box = (float(x), float(y), float(x) + 30, float(y) + 12)
+        return tuple({"key": key, "parent": "p", "type": "highlight", "page": 1, "ord": ord_, "text": text, "comment": "", "place": str(box), **dict(zip(("x0", "y0", "x1", "y1"), box)), **more}.values())
+
+    new = spark.createDataFrame([row("n0", 0, "a", 10.4, 10), row("n1", 1, "b", 100.5, 50), row("n2", 2, "c", 200.6, 50), row("n3", 3, "a", 10, 10.5), row("n4", 4, "x", 127.9, 64),
+                                 row("n5", 5, "z", 1, 1, page=2)], cols)
+    old = spark.createDataFrame([row("o0", 0, "a", 10, 10), row("o1", 1, "a", 10, 10), row("o2", 2, "q", 100, 50), row("o3", 3, "q", 200, 50), row("o4", 4, "x", 128.3, 63.7),
+                                 row("o5", 5, "z", 1, 1, page=3)], cols)
+
+    def pairs(**options):
+        return {(r.new_key, r.old_key, r.how) for r in D.match_rewrite(new, old, **options).collect()}
+
+    assert pairs(tolerance=0.5) == {("n0", "o0", "text and place"), ("n3", "o1", "text and place"), ("n1", "o2", "place"), ("n4", "o4", "text and place"), ("n2", "o3", "overlap")}
+    assert pairs(overlap=False) == {("n0", "o0", "text"), ("n3", "o1", "text"), ("n4", "o4", "text")}
+
+
+def test_a_full_page_is_paired_in_rounds(spark):
+    n = F.col("id")
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), n.cast("string")).alias("key"), F.lit("p").alias("parent"), F.lit("highlight").alias("type"), F.lit(1).alias("page"), n.alias("ord"),
+                                      F.concat(F.lit("t"), n.cast("string")).alias("text"), F.lit("").alias("comment"), n.cast("string").alias("place"),
+                                      (n % 200 * 3).alias("x0"), (F.floor(n / 200) * 8).alias("y0"), (n % 200 * 3 + 4).alias("x1"), (F.floor(n / 200) * 8 + 6).alias("y1"))
+    moved = rows.withColumns({"text": F.concat("text", F.lit("!")), "place": F.concat("place", F.lit("!")), "x0": F.col("x0") + 1, "x1": F.col("x1") + 1})
+    got = D.match_rewrite(moved, rows).filter("new_key = old_key AND how = 'overlap'").count()
+    assert got == 20_000
