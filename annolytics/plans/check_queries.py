@@ -160,19 +160,13 @@ def canonical_numbers(t: Tables):
     return _pairs(t).select("key", F.array_join(found, "|").alias("numbers"))
 
 
-@query("e03_local_numbers", PAIRS, "SELECT key, numbers FROM shown WHERE NOT wrong")
-def local_numbers(t: Tables):
-    found = F.transform(N.numbers(F.lower(N.local_numbers(F.col("comment")))), lambda x: x["t"])
-    return _pairs(t).filter("NOT wrong").select("key", F.array_join(found, "|").alias("numbers"))
-
-
 # what the comments themselves say, the other number of every seventh order too
 SAID = PAIRS.replace("FROM pairs)", "FROM (SELECT key, hi + CASE WHEN wrong THEN 1 ELSE 0 END AS hi, lo, q FROM pairs) s)")
 
 
+@query("e03_local_numbers", SAID, "SELECT key, numbers FROM shown")
 @query("e03_whole_local_numbers", SAID, "SELECT key, numbers FROM shown")
-def whole_local_numbers(t: Tables):
-    """``e03_local_numbers`` over every row."""
+def local_numbers(t: Tables):
     found = F.transform(N.numbers(F.lower(N.local_numbers(F.col("comment")))), lambda x: x["t"])
     return _pairs(t).select("key", F.array_join(found, "|").alias("numbers"))
 

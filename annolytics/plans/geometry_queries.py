@@ -248,28 +248,17 @@ def margin_room(t: Tables):
     return L.pack_margins(pages.filter(F.size("blocks") > 0).withColumns({"floor": F.lit(30.0), "ceiling": F.lit(760.0)}))
 
 
-@query("d17_free_gaps", *TO_WORDS, """
-iv AS (SELECT doc_id, page, line, word_no, CAST(greatest(x0, 60) AS DOUBLE) AS a, CAST(least(x1, 400) AS DOUBLE) AS b FROM words WHERE x0 < 400 AND x1 > 60 AND word_no % 5 = 0),
+GAPS = (*TO_WORDS, """
+iv AS (SELECT doc_id, page, line, word_no, CAST(greatest(x0, 60) AS DOUBLE) AS a, CAST(least(x1, 400) AS DOUBLE) AS b FROM words WHERE x0 < 400 AND x1 > 60),
 edges AS (SELECT doc_id, page, line, coalesce(max(b + 3) OVER w, 60) AS began, a - 3 AS stop FROM iv WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY a, b, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
   UNION ALL SELECT p.doc_id, p.page, p.line, coalesce(max(b + 3), 60), 400 FROM (SELECT DISTINCT doc_id, page, line FROM words) p LEFT JOIN iv USING (doc_id, page, line) GROUP BY p.doc_id, p.page, p.line),
 free AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY stop - greatest(began, 60) DESC, began) AS r FROM edges WHERE stop > greatest(began, 60))""", """
 SELECT doc_id, page, line, CAST(greatest(began, 60) AS DOUBLE) AS a, CAST(stop AS DOUBLE) AS b FROM free WHERE r = 1 AND stop - greatest(began, 60) >= 60""")
-def free_gaps(t: Tables):
-    lines = fx.pages(t).select("doc_id", "page", "words", F.explode(F.array_distinct(F.transform("words", lambda w: w["line"]))).alias("line"))
-    blocked = F.transform(F.filter("words", lambda w: (w["line"] == F.col("line")) & (w["word_no"] % 5 == 0)),
-                          lambda w: F.struct(w["x0"].alias("a"), w["x1"].alias("b")))
-    rows = lines.select("doc_id", "page", "line", L.widest_gap(blocked, F.lit(60), F.lit(400)).alias("g"))
-    return rows.filter("g IS NOT NULL").select("doc_id", "page", "line", "g.a", "g.b")
 
 
-@query("d17_whole_free_gaps", *TO_WORDS, """
-iv AS (SELECT doc_id, page, line, word_no, CAST(greatest(x0, 60) AS DOUBLE) AS a, CAST(least(x1, 400) AS DOUBLE) AS b FROM words WHERE x0 < 400 AND x1 > 60),
-edges AS (SELECT doc_id, page, line, coalesce(max(b + 3) OVER w, 60) AS began, a - 3 AS stop FROM iv WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY a, b, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-  UNION ALL SELECT p.doc_id, p.page, p.line, coalesce(max(b + 3), 60), 400 FROM (SELECT DISTINCT doc_id, page, line FROM words) p LEFT JOIN iv USING (doc_id, page, line) GROUP BY p.doc_id, p.page, p.line),
-free AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY stop - greatest(began, 60) DESC, began) AS r FROM edges WHERE stop > greatest(began, 60))""", """
-SELECT doc_id, page, line, CAST(greatest(began, 60) AS DOUBLE) AS a, CAST(stop AS DOUBLE) AS b FROM free WHERE r = 1 AND stop - greatest(began, 60) >= 60""")
-def whole_free_gaps(t: Tables):
-    """``d17_free_gaps`` between all words."""
+@query("d17_free_gaps", *GAPS)
+@query("d17_whole_free_gaps", *GAPS)
+def free_gaps(t: Tables):
     lines = fx.pages(t).select("doc_id", "page", "words", F.explode(F.array_distinct(F.transform("words", lambda w: w["line"]))).alias("line"))
     blocked = F.transform(F.filter("words", lambda w: w["line"] == F.col("line")), lambda w: F.struct(w["x0"].alias("a"), w["x1"].alias("b")))
     rows = lines.select("doc_id", "page", "line", L.widest_gap(blocked, F.lit(60), F.lit(400)).alias("g"))

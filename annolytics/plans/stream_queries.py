@@ -82,6 +82,15 @@ def progress(t: Tables):
     return S.latest_of(S.run_available(S.progress(rows, F.col("at")), "update"), ["session"])
 
 
+@query("s06_live_progress", f"SELECT user_id AS session, max({STEPS}) AS step, arg_max(CAST(round(value) AS BIGINT), event_id) AS used FROM events GROUP BY user_id")
+def live_progress(t: Tables):
+    """Progress whose state forgets sessions idle for two days: the rows of all runs of a session together."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    rows = _stream(t).select(F.col("user_id").alias("session"), F.col("event_id").alias("ord"), F.expr(STEPS).alias("at"), F.round("value").alias("used"), "ts")
+    out = S.run_available(S.live_progress(rows, F.col("at"), delay="30 days", idle_seconds=2 * 86400), "update")
+    return out.groupBy(F.col("session").cast("long").alias("session")).agg(F.max("step").cast("int").alias("step"), F.max_by("used", "ord").alias("used"))
+
+
 @query("s07_call_results", """calls AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'), results AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view')""", """
 SELECT c.user_id AS session, c.event_id AS call_id, r.event_id AS result_id FROM calls c JOIN results r ON c.user_id = r.user_id AND c.event_id % 3 = r.event_id % 3 AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL '12 hours'""")
 def call_results(t: Tables):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..operators import logs as G
 from ..session import checkpoint_dir
@@ -137,6 +137,53 @@ def progress(events: DataFrame, step: Column) -> DataFrame:
     return events.groupBy("session").agg(F.max(step).alias("step"), F.max_by("used", "ord").alias("used"))
 
 
+class LiveProgress(StatefulProcessor):
+    """The furthest step of a session and its latest gauge, till the session has been idle for ``idle_ms`` of event time: a timer then
+    gives its last row and clears its state, so that the state holds the sessions that are alive, however many there were."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", StructType([StructField(n, LongType()) for n in ("step", "ord", "used", "until")]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        step, last, used, until = self.at.get() if self.at.exists() else (None, None, None, None)
+        ends = until
+        for batch in rows:
+            newest = batch.loc[batch["ord"].idxmax()]
+            step = max(int(batch["step"].max()), step) if step is not None else int(batch["step"].max())
+            if last is None or newest["ord"] > last:
+                last, used = int(newest["ord"]), int(newest["used"])
+            ends = max(int(batch["ms"].max()) + self.idle_ms, ends or 0)
+        if ends != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(ends)
+        self.at.update((step, last, used, ends))
+        yield pd.DataFrame({"session": [str(key[0])], "step": [step], "used": [used], "ord": [last], "ended": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        step, last, used, _ = self.at.get()
+        self.at.clear()
+        yield pd.DataFrame({"session": [str(key[0])], "step": [step], "used": [used], "ord": [last], "ended": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_progress(events: DataFrame, step: Column, ts: str = "ts", delay: str = "1 hour", idle_seconds: int = 3600) -> DataFrame:
+    """``progress`` with bounded state: (session, step, used, ord, ended), a row of each session that a micro-batch changes and one with ``ended``
+    when no event came for ``idle_seconds``. A session that goes on after its end starts anew; over all rows of a session the greatest step and
+    the ``used`` of the greatest ``ord`` are those of ``progress``. Events that come later than ``delay`` are dropped; ``ord`` and ``used`` are
+    numbers and not null. Needs the RocksDB state store."""
+    schema = StructType([StructField("session", StringType()), StructField("step", LongType()), StructField("used", LongType()), StructField("ord", LongType()), StructField("ended", BooleanType())])
+    rows = events.withWatermark(ts, delay).select(F.col("session").cast("string").alias("session"), step.cast("long").alias("step"), F.col("used").cast("long").alias("used"),
+                                                  F.col("ord").cast("long").alias("ord"), ts, F.unix_millis(ts).alias("ms"))
+    return rows.groupBy("session").transformWithStateInPandas(LiveProgress(idle_seconds * 1000), schema, "Update", "EventTime")
+
+
 def join_results(calls: DataFrame, results: DataFrame, delay: str = "2 hours", within: str = "1 hour", how: str = "inner") -> DataFrame:
     """Calls (``session, tool_id, call_ts``) with their results (``result_ts``) in time."""
     a = calls.withWatermark("call_ts", delay).alias("c")

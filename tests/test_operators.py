@@ -1,4 +1,5 @@
 """Operators against brute force and hand-written cases."""
+import datetime
 import random
 import time
 
@@ -695,3 +696,26 @@ def test_a_full_page_is_paired_in_rounds(spark):
     moved = rows.withColumns({"text": F.concat("text", F.lit("!")), "place": F.concat("place", F.lit("!")), "x0": F.col("x0") + 1, "x1": F.col("x1") + 1})
     got = D.match_rewrite(moved, rows).filter("new_key = old_key AND how = 'overlap'").count()
     assert got == 20_000
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    from annolytics.streaming import streams as S
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    names = "session string, ord long, step int, used long, ts timestamp"
+    for day in range(6):  # each day has two sessions of its own and a row of one that goes on
+        rows = [(f"{day}-{k}", day * 10 + k * 3 + i, i + k, 100 * day + k * 10 + i, datetime.datetime(2024, 1, 1 + day, 10 + i)) for k in range(2) for i in range(3)]
+        rows.append(("all", day * 10 + 9, (2, 5, 1, 0, 3, 4)[day], day, datetime.datetime(2024, 1, 1 + day, 12)))
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    data = spark.read.schema(names).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = S.live_progress(stream, F.col("step"), delay="1 hour", idle_seconds=6 * 3600)
+    query = made.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("update").foreachBatch(S.keep_batches(str(tmp_path / "out"))).start()
+    query.awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    best = {r.session: (r.step, r.used) for r in kept.groupBy("session").agg(F.max("step").alias("step"), F.max_by("used", "ord").alias("used")).collect()}
+    assert best == {r.session: (r.step, r.used) for r in S.progress(data, F.col("step")).collect()}
+    ended = {r.session for r in kept.filter("ended").collect()}
+    assert {f"{d}-{k}" for d in range(4) for k in range(2)} <= ended and "all" not in ended
+    sizes = [o.numRowsTotal for p in query.recentProgress for o in p.stateOperators]
+    assert max(sizes) <= 24 and len(query.recentProgress) >= 6  # sessions of two days with their timers, not of all six
