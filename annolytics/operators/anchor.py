@@ -8,7 +8,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -235,24 +235,56 @@ def place_sentences(sents: DataFrame, index: DataFrame, min_ratio: float = CLOSE
 
 
 # --- ids, citations, labels, papers -----------------------------------------------------------------------------------------
-def resolve_ids(intents: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
-    """Intents naming sentence ids (``first, last``) with the sentences' page and text, or why they do not resolve. A range that
-    leaves the document's ids names an unknown one and is judged by its ends, so that no range makes more rows than its
-    document has sentences. The join is on ``(doc_id, id)``, so a document cited by everyone is spread over its sentences."""
-    ends = sents.groupBy("doc_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    asked = intents.join(ends, "doc_id", "left")
-    inside = (F.col("first") <= F.col("last")) & (F.col("first") >= F.col("first_id")) & (F.col("last") <= F.col("last_id"))
-    wanted = asked.filter(inside).select(*intents.columns, F.explode(F.sequence("first", "last")).alias("id"))
-    met = wanted.join(sents.select("doc_id", "id", F.col("page").alias("s_page"), F.col("text").alias("s_text")), ["doc_id", "id"], "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s_text"))), lambda x: x["s_text"]), " ")
-    per = met.groupBy(*keys).agg(F.count("s_page").alias("found"), F.count("*").alias("asked"), F.min("s_page").alias("page"),
-                                 F.max("s_page").alias("last_page"), text.alias("text"))
-    out = intents.join(per, keys, "left")
+ID_CHUNK = 64
+
+
+def _turns(block: Column, upto: Column) -> Column:
+    """How often the page changes along the first ``upto`` sentences of a block; one whose rows name several pages is a change too."""
+    at = lambda k: F.element_at(block, k)
+    return F.when(upto < 2, 0).otherwise(F.size(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), upto)), lambda k: (
+        at(k - 1)["to_page"] != at(k)["page"]) | (at(k)["page"] != at(k)["to_page"]))))
+
+
+def resolve_ids(intents: DataFrame, sents: DataFrame, keys: list[str], width: int = ID_CHUNK) -> DataFrame:
+    """Intents naming sentence ids (``first, last``) with the sentences' page and text, or why they do not resolve.
+
+    Sentences lie in blocks of ``width`` ids; one small row per block carries how many sentences and changes of page its document has
+    before it. A range is judged by its two ends alone: it is whole where as many sentences lie between them as ids, and on one page
+    where no change does. No row is made per id and citation. Only ranges that resolve, each once however often it is cited, meet the blocks of
+    their texts. Rows that repeat an id give its texts one after the other; rows without an id or a page count as missing."""
+    blocks = (sents.filter("id IS NOT NULL AND page IS NOT NULL").select("doc_id", "id", "page", "text", F.floor(F.col("id") / width).alias("chunk"))
+              .repartition("doc_id", "chunk").groupBy("doc_id", "chunk", "id")
+              .agg(F.min("page").alias("page"), F.max("page").alias("to_page"), F.sort_array(F.collect_list("text")).alias("texts"))
+              .groupBy("doc_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "page", "to_page", "texts"))).alias("block")))
+    block, order = F.col("block"), Window.partitionBy("doc_id").orderBy("chunk")
+    head, tail = F.element_at("block", 1), F.element_at("block", -1)
+    sums = blocks.select("doc_id", "chunk", F.size("block").alias("n"), _turns(block, F.size("block")).alias("inside"), head["page"].alias("from"),
+                         (head["page"] != head["to_page"]).alias("torn"), tail["to_page"].alias("to"))
+    opens = F.when(F.col("torn") | (F.lag("to").over(order) != F.col("from")), 1).otherwise(0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("opens", opens).select("doc_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), (
+        F.coalesce(F.sum("inside").over(before), F.lit(0)) + F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("turns_before"))
+
+    ranges = intents.filter("first <= last").select("doc_id", "first", "last").distinct()
+    ends = ranges.select("*", F.explode(F.array_distinct(F.array("first", "last"))).alias("id")).withColumn("chunk", F.floor(F.col("id") / width))
+    met = once(ends.join(blocks, ["doc_id", "chunk"]), i=F.array_position(F.transform("block", lambda x: x["id"]), F.col("id")).cast("int")).filter("i > 0")
+    own = F.element_at("block", F.col("i"))
+    met = met.select("doc_id", "chunk", "first", "last", "id", "i", _turns(block, F.col("i")).alias("turns"), own["page"].alias("page"), (own["page"] != own["to_page"]).alias("torn"))
+    met = met.join(sums, ["doc_id", "chunk"])
+    end = F.struct("page", "torn", (F.col("n_before") + F.col("i")).alias("n"), (F.col("turns_before") + F.col("turns")).alias("turns"))
+    judged = (met.groupBy("doc_id", "first", "last").agg(F.max(F.when(F.col("id") == F.col("first"), end)).alias("a"), F.max(F.when(F.col("id") == F.col("last"), end)).alias("b"))
+              .filter("b.n - a.n = last - first")
+              .select("doc_id", "first", "last", "a.page", (F.col("a.torn") | (F.col("a.turns") != F.col("b.turns"))).alias("several")))
+    parts = (judged.filter(~F.col("several")).select("doc_id", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("chunk"))
+             .join(blocks, ["doc_id", "chunk"])
+             .withColumn("texts", F.flatten(F.transform(F.filter("block", lambda x: x["id"].between(F.col("first"), F.col("last"))), lambda x: x["texts"]))))
+    texts = parts.groupBy("doc_id", "first", "last").agg(F.array_join(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("chunk", "texts"))), lambda x: x["texts"])), " ").alias("text"))
+    found = judged.join(texts, ["doc_id", "first", "last"], "left")
     reason = (F.when(~F.coalesce(F.col("first") <= F.col("last"), F.lit(False)), "broken range")
-              .when(F.col("asked").isNull() | (F.col("found") < F.col("asked")), "unknown id")
-              .when(F.col("page") != F.col("last_page"), "several pages"))
-    return out.select(*keys, "first", "last", reason.alias("reason"), F.when(reason.isNull(), F.col("page")).alias("page"),
-                      F.when(reason.isNull(), F.col("text")).alias("text"))
+              .when(F.col("several").isNull(), "unknown id").when(F.col("several"), "several pages"))
+    return intents.select(*dict.fromkeys([*keys, "doc_id", "first", "last"])).join(found, ["doc_id", "first", "last"], "left").select(
+        *keys, "first", "last", reason.alias("reason"), F.when(reason.isNull(), F.col("page")).alias("page"), F.when(reason.isNull(), F.col("text")).alias("text"))
 
 
 def resolve_citations(answers: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:

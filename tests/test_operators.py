@@ -352,6 +352,34 @@ def test_a_range_of_a_billion_ids_is_judged_by_its_ends(spark):
                    (4, "unknown id", None, None)]
 
 
+@pytest.mark.parametrize("width", [1, 4, 1024])
+def test_ranges_of_ids_are_those_of_their_rows(spark, width):
+    rnd = random.Random(width)
+    sents = [(d, i, 1 + i // 7 if d else rnd.choice([1, 1, 1, 2]), rnd.choice([None, "", f"s{i}"])) for d in range(3) for i in range(-5, 60) if rnd.random() < 0.97]
+    sents += [rnd.choice(sents) for _ in range(6)] + [(1, 70, None, "x"), (1, None, 1, "y"), (None, 1, 1, "z"), (2, 3, 9, "other page")]
+    wanted = [(d, k, f, rnd.choice([f, f + rnd.randrange(-1, 9)])) for k, (d, f) in enumerate((rnd.choice([0, 1, 2, 5, None]), rnd.randrange(-6, 62)) for _ in range(400))]
+    wanted += [(1, 500, None, 3), (1, 501, 70, 70), (1, 502, 3, None)] + [(1, 600 + n, 7, 13) for n in range(5)]
+    got = A.resolve_ids(spark.createDataFrame(wanted, "doc_id long, k int, first long, last long"),
+                        spark.createDataFrame(sents, "doc_id long, id long, page int, text string"), ["k"], width)
+    want = []
+    for d, k, f, t in sorted(wanted, key=lambda w: w[1]):
+        met = sorted(((i, x, p) for dd, i, p, x in sents if None not in (dd, i, p, f, t) and dd == d and f <= i <= t), key=lambda m: (m[0], m[1] or ""))
+        reason = ("broken range" if f is None or t is None or f > t else "unknown id" if {m[0] for m in met} != set(range(f, t + 1))
+                  else "several pages" if len({m[2] for m in met}) > 1 else None)
+        want.append((k, f, t, reason, *((None, None) if reason else (met[0][2], " ".join(m[1] for m in met if m[1] is not None)))))
+    assert rows(got, "k") == want
+    assert {w[3] for w in want} == {None, "broken range", "unknown id", "several pages"}
+
+
+def test_wide_ranges_make_no_row_per_id(spark):
+    n = 200_000
+    sents = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("doc_id"), "id", F.floor(F.col("id") / 50).cast("int").alias("page"), F.lit("s").alias("text"))
+    wanted = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("k"), (F.col("id") + 1).alias("first"), (F.lit(n) - F.col("id")).alias("last"))
+    began = time.time()       # a row per id and citation would be a thousand million
+    assert [tuple(r) for r in A.resolve_ids(wanted, sents, ["doc_id", "k"]).groupBy("reason").count().collect()] == [("several pages", 5000)]
+    assert time.time() - began < 60
+
+
 def test_spans_and_phrases_of_missing_pages_are_reported(spark):
     words = [(0, "alpha", 0, 0, 0.0, 0.0, 1.0, 1.0), (1, "betagamma", 0, 0, 1.0, 0.0, 2.0, 1.0)]
     pages = spark.createDataFrame([(1, 1, words)], "doc_id long, page int, words array<struct<word_no: int, word: string, block: int, line: int, x0: double, "
