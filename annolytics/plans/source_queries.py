@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..session import checkpoint_dir
+from ..sources import files as B
 from ..sources import library as S
 from ..sources import sinks
 from . import fixtures as fx
 from .anchor_queries import TO_SENTENCES
-from .fixtures import ANNOTATIONS_SQL
+from .fixtures import ANNOTATIONS_SQL, LOG_SQL
 from .registry import Tables, query
 
 
@@ -76,6 +77,41 @@ def changed_rows(t: Tables):
     return S.changed_files(before, after)
 
 
+# Log files: sixteen, each with the lines of its sessions
+FILES_SQL = """file_lines AS (SELECT session % 16 AS file, session, ord, raw, strlen(raw) + 1 AS n FROM log),
+placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY file ORDER BY session, ord, raw ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "next", CAST(sum(n) OVER (PARTITION BY file) AS BIGINT) AS length FROM file_lines)"""
+
+
+def _log_files(t: Tables, lines) -> str:
+    path = f"{checkpoint_dir(t.spark)}/logs-{uuid.uuid4().hex}"
+    rows = lines.withColumn("file", F.col("session") % 16).repartition("file").sortWithinPartitions("file", "session", "ord", "raw")
+    rows.select("file", "raw").write.partitionBy("file").text(path)
+    return path
+
+
+def _file():
+    return F.regexp_extract("path", r"file=(\d+)", 1).cast("long")
+
+
+@query("a06_changed_files", LOG_SQL, FILES_SQL, """before AS (SELECT file, sha256(string_agg(raw || chr(10), '' ORDER BY session, ord, raw)) AS sha256 FROM placed WHERE file <> 3 GROUP BY file),
+after AS (SELECT file, sha256(string_agg(raw || chr(10), '' ORDER BY session, ord, raw)) AS sha256 FROM placed WHERE file <> 5 AND NOT (file % 4 = 2 AND ord % 100 = 0) GROUP BY file)""",
+       """SELECT coalesce(a.file, b.file) AS file, a.sha256 AS was, b.sha256 AS now FROM before a FULL JOIN after b ON a.file = b.file WHERE a.sha256 IS DISTINCT FROM b.sha256""")
+def changed_files(t: Tables):
+    """Files that are gone, new or of other content, by their fingerprints."""
+    lines, file = fx.log_lines(t), F.col("session") % 16
+    prints = lambda rows: B.file_fingerprints(t.spark, _log_files(t, rows)).select(_file().alias("path"), "sha256")
+    changed = S.changed_files(prints(lines.filter(file != 3)), prints(lines.filter((file != 5) & ~((file % 4 == 2) & (F.col("ord") % 100 == 0)))))
+    return changed.withColumnRenamed("path", "file")
+
+
+@query("a11_byte_lines", LOG_SQL, FILES_SQL, """SELECT file, "next" - n AS "at", "next", md5(raw) AS raw FROM placed WHERE file % 3 <> 1 OR "next" - n >= length // 2""")
+def byte_lines(t: Tables):
+    """The lines of log files behind an offset: of every third file the second half, others have no offset or are shorter than theirs."""
+    path = _log_files(t, fx.log_lines(t))
+    offsets = B.list_files(t.spark, path).filter(_file() % 3 != 0).select("path", F.when(_file() % 3 == 1, F.floor(F.col("length") / 2)).otherwise(F.col("length") + 10).alias("offset"))
+    return B.new_file_lines(t.spark, path, offsets, block=1 << 16).select(_file().alias("file"), "at", "next", F.md5("raw").alias("raw"))
+
+
 @query("a07_sentence_sink", *TO_SENTENCES, "SELECT page, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM sentences GROUP BY page")
 def sentence_sink(t: Tables):
     path = f"{checkpoint_dir(t.spark)}/sentences-{uuid.uuid4().hex}"

@@ -40,12 +40,6 @@ def content_fingerprint(c: str | Column) -> Column:
     return F.sha2(T.col(c), 256)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and SHA-256 of files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files that are new, gone or different."""
     a, b = before.select("path", F.col("sha256").alias("was")), after.select("path", F.col("sha256").alias("now"))
