@@ -352,6 +352,41 @@ def test_a_range_of_a_billion_ids_is_judged_by_its_ends(spark):
                    (4, "unknown id", None, None)]
 
 
+@pytest.mark.parametrize("reach", [0.0, 3.0])
+def test_pairs_of_boxes_of_all_sizes(spark, reach):
+    rnd = random.Random(7)
+
+    def some(n, first):
+        made = []
+        for i in range(n):
+            x, y, w, h = rnd.uniform(-50, 300), rnd.uniform(-50, 300), rnd.choice([0, 0.3, 2, 8, 64, 400]), rnd.choice([0, 1, 4, 5, 200])
+            made.append((rnd.choice([1, 1, 1, 2]), first + i, round(x), float(round(y)), round(x) + float(w), round(y) + float(h)))
+        return [(k, i, float(x0), y0, x1, y1) for k, i, x0, y0, x1, y1 in made] + [(None, first + n, 0.0, 0.0, 1.0, 1.0), (1, first + n + 1, None, 0.0, 1.0, 1.0), (3 + first, first + n + 2, 0.0, 0.0, 9.0, 9.0)]
+
+    a, b = some(120, 0), some(120, 1000)
+    columns = "k long, i long, x0 double, y0 double, x1 double, y1 double"
+
+    def near(m, o):
+        return ((F.least(m["x1"], o["x1"]) - F.greatest(m["x0"], o["x0"]) >= -reach) & (F.least(m["y1"], o["y1"]) - F.greatest(m["y0"], o["y0"]) >= -reach))
+
+    got = L.box_pairs(spark.createDataFrame(a, columns), spark.createDataFrame(b, columns), ["k"], near, ["i"], reach)
+    got = [(r.k, r.x0, r.y0, r.x1, r.y1, r.i) for r in got.collect()]
+    want = [(k, x0, y0, x1, y1, j) for k, _, x0, y0, x1, y1 in a for kk, j, u0, v0, u1, v1 in b if k == kk and None not in (k, x0, u0)
+            and min(x1, u1) - max(x0, u0) >= -reach and min(y1, v1) - max(y0, v0) >= -reach]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_a_hundred_thousand_boxes_on_one_page(spark):
+    n = 100_000
+    at = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)) / 10
+    boxes = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("key"), F.col("id").alias("ord"), at(1, 6000).alias("x0"), at(2, 7800).alias("y0"), (at(3, 80) + 4).alias("w"))
+    boxes = boxes.select("k", "key", "ord", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + 4).alias("y1"))
+    began = time.time()       # on cells of fixed size each box met some thousand others
+    hits = L.overlapping(boxes.filter("key % 2 = 0"), boxes.filter("key % 2 = 1"), ["k"]).agg(F.count("*").alias("n"), F.sum("hits").alias("hits")).first()
+    assert hits.n > 40_000 and hits.hits < 10 * n
+    assert time.time() - began < 90
+
+
 @pytest.mark.parametrize("width", [1, 4, 1024])
 def test_ranges_of_ids_are_those_of_their_rows(spark, width):
     rnd = random.Random(width)
