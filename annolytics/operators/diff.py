@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import rules as R
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .layout import BOX, box_pairs
 from .ordered import first_rows, ordered_scan, running_count
 
@@ -23,6 +23,9 @@ CHANGED_AFTER = 5          # seconds between the dates of an annotation the user
 CLASHES = {"comment": ("comment",), "color": ("color",), "text": ("text",), "place": ("place",), "tags_removed": ("tags",)}
 PRINTED = ("type", "color", "page_label", "fp_comment", "fp_text", "fp_place")
 NO_TAGS = "array<string>"
+PAGE = ["parent", "type", "page"]
+HOT_ROWS = 1 << 20         # rows of a key's bucket from which its ranks are taken chunk by chunk
+BUCKETS = 1 << 14
 
 
 def fingerprint(*parts: Column | str) -> Column:
@@ -101,6 +104,52 @@ def _pass(new: DataFrame, old: DataFrame, keys: list[str], chunk_rows: int) -> t
     return pairs, left(a, b), left(b, a)
 
 
+def _meet(rows: DataFrame, keys: list[str], name: str, words: bool) -> DataFrame:
+    """Rows ``body, place, n, o, how`` with a new row ``n``, an old one ``o`` or both: free ones of a key are paired, the n-th with the
+    n-th, the others stay as they are. Rows that are partitioned by some of the keys are not moved."""
+    side = F.when(F.col("n").isNull(), 0).when(F.col("o").isNull(), 1).otherwise(2)
+    able = reduce(and_, [F.col(k).isNotNull() for k in PAGE + keys], F.col("how").isNull())
+    able = able & (F.col("body") != "") if words else able
+    turn = Window.partitionBy(*PAGE, *keys, "lone", "side").orderBy(F.coalesce("n.ord", "o.ord").asc_nulls_last(), F.coalesce("n.key", "o.key"))
+    rows = rows.withColumns({"side": side, "lone": F.when(~able, side)}).withColumn("nth", F.row_number().over(turn))
+    rest = [F.max(c).alias(c) for c in ("body", "place") if c not in keys]
+    met = rows.groupBy(*PAGE, *keys, "lone", "nth").agg(*rest, F.max("n").alias("n"), F.max("o").alias("o"), F.max("how").alias("how"))
+    made = F.when(F.col("n").isNotNull() & F.col("o").isNotNull(), F.coalesce("how", F.lit(name)))
+    return met.select(*PAGE, "body", "place", "n", "o", made.alias("how"))
+
+
+def _meet_chunked(rows: DataFrame, steps: list[tuple], chunk_rows: int) -> DataFrame:
+    """The same for keys with many copies, by ``_pass``."""
+    def side(x, key):
+        return cut_lineage(rows.filter(f"{x} IS NOT NULL").select(*PAGE, "body", "place", F.col(x).alias(key), F.col(f"{x}.ord").alias("ord")))
+
+    def rows_of(df, n, o, how):
+        return df.select(*PAGE, "body", "place", n.alias("n"), o.alias("o"), how.alias("how"))
+
+    (a, b), found, none = (side("n", "new_key"), side("o", "old_key")), [], F.lit(None)
+    kind, nothing = rows.schema["n"].dataType, F.lit(None).cast("string")
+    for name, keys, words in steps:
+        wordless = [x.filter("body = ''") for x in (a, b)] if words else []
+        made, a, b = _pass(*[x.filter("body <> ''") if words else x for x in (a, b)], PAGE + keys, chunk_rows)
+        found.append(made.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in PAGE], nothing.alias("body"), nothing.alias("place"),
+                                 F.col("new_key").alias("n"), F.col("old_key").alias("o"), F.lit(name).alias("how")))
+        if words:
+            a, b = a.unionByName(wordless[0]), b.unionByName(wordless[1])
+    left = [rows_of(a, F.col("new_key"), none.cast(kind), nothing), rows_of(b, none.cast(kind), F.col("old_key"), nothing)]
+    return reduce(DataFrame.unionByName, found + left)
+
+
+def _meet_by(rows: DataFrame, keys: list[str], steps: list[tuple], chunk_rows: int, hot_rows: int) -> DataFrame:
+    """The steps, whose keys all hold ``keys``, after one shuffle by these. Keys are counted in buckets first; those of a bucket with
+    more than ``hot_rows`` rows are ranked chunk by chunk, so that no key is one large task."""
+    bucket = F.pmod(F.xxhash64(*PAGE, *keys), F.lit(BUCKETS))
+    hot = [r.bucket for r in rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows).collect()]
+    light = (rows.filter(~bucket.isin(hot)) if hot else rows).repartition(*PAGE, *keys)
+    for name, own, words in steps:
+        light = _meet(light, own, name, words)
+    return light.unionByName(_meet_chunked(rows.filter(bucket.isin(hot)), steps, chunk_rows)) if hot else light
+
+
 def _first_free(new: DataFrame, old: DataFrame, keys: list[str], test, reach: float = 0.0) -> DataFrame:
     """(new_key, old_key): each new row in order takes the first old row, in order, that passes ``test`` with it and is free.
 
@@ -124,36 +173,58 @@ def _near(tolerance: float):
     return test
 
 
-def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_rows: int = 1 << 16, tolerance: float | None = None) -> DataFrame:
+def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_rows: int = 1 << 16, tolerance: float | None = None,
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """New annotations paired with at most one old one each: by text and place, by place, by text, then by overlap, within the
     document, type and page.
 
-    A pass over an equality pairs the n-th with the n-th, which is what taking the first free one in order gives. With a
-    ``tolerance`` (in points, half of one for positions that were rounded on their way) rows that a pass over places leaves are
-    paired by places that near, equal ones first. Rows without a whole box are not near and do not overlap.
+    A pass over an equality pairs the n-th with the n-th, which is what taking the first free one in order gives. The passes over places
+    share one shuffle of both sides, the one over texts moves what they leave. With a ``tolerance`` (in points, half of one for positions
+    that were rounded on their way) rows that a pass over places leaves are paired by places that near, equal ones first. Rows without
+    a whole box are not near and do not overlap.
     """
-    page = ["parent", "type", "page"]
+    body = T.collapse(F.when(R.is_mark(), F.coalesce("text", F.lit(""))).otherwise(F.coalesce("comment", F.lit(""))))
+    if tolerance is not None:
+        return _match_near(*[df.select(*PAGE, "ord", F.col("key").alias(key), body.alias("body"), "place", *BOX)
+                             for df, key in ((new, "new_key"), (old, "old_key"))], overlap, chunk_rows, tolerance)
+    row = F.struct("ord", "key", *(BOX if overlap else []))
+
+    def side(df, x, other):
+        rows = df.select(*PAGE, body.alias("body"), "place", row.alias(x))
+        return rows.withColumns({other: F.lit(None).cast(rows.schema[x].dataType), "how": F.lit(None).cast("string")})
+
+    def made(rows):
+        return rows.filter("how IS NOT NULL").select(F.col("n.key").alias("new_key"), F.col("o.key").alias("old_key"), "how")
+
+    rows = side(new, "n", "o").unionByName(side(old, "o", "n"))
+    placed = stored(_meet_by(rows, ["place"], [("text and place", ["body", "place"], True), ("place", ["place"], False)], chunk_rows, hot_rows))
+    said = stored(_meet_by(placed.filter("how IS NULL"), ["body"], [("text", ["body"], True)], chunk_rows, hot_rows))
+    found = made(placed).unionByName(made(said))
+    if overlap:
+        a, b = [said.filter(f"how IS NULL AND {x} IS NOT NULL").select(*PAGE, f"{x}.ord", F.col(f"{x}.key").alias(key), *[f"{x}.{c}" for c in BOX])
+                for x, key in (("n", "new_key"), ("o", "old_key"))]
+        found = found.unionByName(_first_free(a, b, PAGE, G.overlaps).withColumn("how", F.lit("overlap")))
+    return found
 
-    def side(df, key):
-        body = T.collapse(F.when(R.is_mark(), F.coalesce("text", F.lit(""))).otherwise(F.coalesce("comment", F.lit(""))))
-        return df.select(*page, "ord", F.col("key").alias(key), body.alias("body"), "place", *BOX)
 
+def _match_near(a: DataFrame, b: DataFrame, overlap: bool, chunk_rows: int, tolerance: float) -> DataFrame:
+    """The passes with a ``tolerance``."""
     def without(df, pairs, key):
         return cut_lineage(df.join(pairs.select(key), key, "left_anti"))
 
-    a, b, found = side(new, "new_key"), side(old, "old_key"), []
+    found = []
     for name, keys in (("text and place", ["body", "place"]), ("place", ["place"]), ("text", ["body"])):
         wordless = [x.filter("body = ''") for x in (a, b)] if "body" in keys else []
-        made, a, b = _pass(*[x.filter("body <> ''") if wordless else x for x in (a, b)], page + keys, chunk_rows)
+        made, a, b = _pass(*[x.filter("body <> ''") if wordless else x for x in (a, b)], PAGE + keys, chunk_rows)
         found.append(made.withColumn("how", F.lit(name)))
-        if tolerance is not None and "place" in keys:
-            made = _first_free(a, b, page + [k for k in keys if k != "place"], _near(tolerance), tolerance)
+        if "place" in keys:
+            made = _first_free(a, b, PAGE + [k for k in keys if k != "place"], _near(tolerance), tolerance)
             a, b = without(a, made, "new_key"), without(b, made, "old_key")
             found.append(made.withColumn("how", F.lit(name)))
         if wordless:
             a, b = a.unionByName(wordless[0]), b.unionByName(wordless[1])
     if overlap:
-        found.append(_first_free(cut_lineage(a), cut_lineage(b), page, G.overlaps).withColumn("how", F.lit("overlap")))
+        found.append(_first_free(cut_lineage(a), cut_lineage(b), PAGE, G.overlaps).withColumn("how", F.lit("overlap")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -171,8 +242,9 @@ def rewrite_plan(new: DataFrame, old: DataFrame, pairs: DataFrame, records: Data
 
     n, o = new.alias("n"), old.alias("o")
     labels = records.select(F.col("key").alias("r_key"), F.col("page_label").alias("r_label"), F.col("tags").alias("r_tags"))
-    rows = (n.join(pairs, c("n", "key") == F.col("new_key"), "left").join(o, c("o", "key") == F.col("old_key"), "full_outer")
-            .join(labels, F.col("r_key") == c("o", "key"), "left"))
+    # the record meets the old rows before they meet the new ones: both move once, by their key
+    was = o.join(labels, F.col("r_key") == c("o", "key"), "left")
+    rows = n.join(pairs, c("n", "key") == F.col("new_key"), "left").join(was, c("o", "key") == F.col("old_key"), "full_outer")
     none = F.array().cast(NO_TAGS)
     delta = tag_delta(F.coalesce("r_tags", none), F.coalesce(c("n", "tags"), none), F.coalesce(c("o", "tags"), none))
     user_label = F.col("r_key").isNotNull() & (F.col("r_label") != c("o", "page_label"))
@@ -233,7 +305,7 @@ def apply_plan(old: DataFrame, new: DataFrame, plan: DataFrame) -> DataFrame:
     removed ones are left out. Rows that are not the plan's pass through."""
     wanted = plan.filter("action IN ('update', 'remove')").select(F.col("old_key").alias("key"), "action", "fields", "new_key", "tag_delta")
     values = new.select(F.col("key").alias("new_key"), *[F.col(f).alias(f"n_{f}") for f in FIELDS])
-    rows = old.join(wanted, "key", "left").join(values, "new_key", "left").filter(F.coalesce(F.col("action") != "remove", F.lit(True)))
+    rows = old.join(wanted.join(values, "new_key", "left"), "key", "left").filter(F.coalesce(F.col("action") != "remove", F.lit(True)))
     set_fields = {f: F.when(F.array_contains("fields", f), F.col(f"n_{f}")).otherwise(F.col(f)) for f in FIELDS}
     tags = F.when(F.array_contains("fields", "tags"), F.array_union(F.array_except("tags", F.col("tag_delta.remove")), F.col("tag_delta.add"))).otherwise(F.col("tags"))
     kept = rows.withColumns({**set_fields, "tags": tags}).select(*old.columns)

@@ -7,7 +7,7 @@ from ..functions import geometry as G
 from ..functions import rules as R
 from ..operators import diff as D
 from ..operators import layout as L
-from ..session import cut_lineage
+from ..session import stored
 from . import fixtures as fx
 from .fixtures import ANNOTATIONS_SQL
 from .registry import Tables, query
@@ -142,7 +142,7 @@ FIXTURE_CHUNK = 1 << 34    # the fixtures' order numbers are sparse
 
 def _plan(t: Tables):
     new, old = config(t), listing(t)
-    return cut_lineage(D.rewrite_plan(new, old, D.match_rewrite(new, old, overlap=False, chunk_rows=FIXTURE_CHUNK), records(t)))
+    return stored(D.rewrite_plan(new, old, D.match_rewrite(new, old, overlap=False, chunk_rows=FIXTURE_CHUNK), records(t)))
 
 
 @query("f04_rewrite_pairs", *TO_SNAPSHOTS, *PAIRS, "SELECT new_key, old_key, how FROM pairs")
@@ -249,6 +249,7 @@ seen AS (SELECT b.* REPLACE (CASE WHEN b.action = 'update' AND b.ord % 5 = 0 THE
 
 def _read_back(t: Tables):
     plan, expected = _next(t)
+    expected = stored(expected)    # read three times
     state = plan.select(F.coalesce("old_key", "new_key").alias("key"), "action")
     was = listing(t).select("key", *[F.col(c).alias(f"w_{c}") for c in ("comment", "color", "text", "page_label")])
     rows = expected.join(state, "key").join(was, "key", "left").filter(~((F.col("action") == "create") & (F.col("ord") % 7 == 0)))

@@ -129,6 +129,25 @@ def test_rewrite_matching_is_the_greedy_one(spark):
     assert got == greedy(new, old)
 
 
+def test_rewrite_matching_moves_rows_once_per_key_and_cuts_hot_keys(spark):
+    cols = "key string, parent string, type string, page int, ord long, text string, comment string, place string, x0 int, y0 int, x1 int, y1 int"
+
+    def side(prefix, n, places):
+        rows = [(f"{prefix}{i}", None if i % 31 == 30 else "pq"[i % 2], "highlight", 1, i, ["", "a", "b", None][i * 7 % 4], "",
+                 None if i % 17 == 16 else str(i % places), 0, 0, 1, 1) for i in range(n)]
+        return spark.createDataFrame(rows, cols)
+
+    new, old = side("n", 130, 9), side("o", 90, 4)
+    light = D.match_rewrite(new, old, overlap=False)
+    plan = light._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    hot = D.match_rewrite(new, old, overlap=False, hot_rows=0, chunk_rows=8)
+    found = sorted(tuple(r) for r in light.collect())
+    assert found == sorted(tuple(r) for r in hot.collect()) and {r[2] for r in found} == {"text and place", "place", "text"}
+    unkeyed = {x + str(i) for x in "no" for i in range(130) if i % 31 == 30}
+    assert not unkeyed & {k for r in found for k in r[:2]}
+
+
 def test_repeated_marks_and_overlaps_on_hot_pages(spark):
     rnd = random.Random(2)
     data = []
