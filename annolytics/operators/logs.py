@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from .ordered import first_rows, group_total, last_known, once, ordered_scan, previous, running_count, running_max, running_sum
+from .ordered import by_chunks, first_rows, group_total, last_known, once, ordered_scan, previous, running_count, running_max, running_sum
 
 OWN = "annolytics"                     # the type of the lines the tool itself writes
 FIELDS = ("input", "cached", "output")
@@ -161,7 +161,8 @@ def _struct(prefix: str) -> Column:
 def counter_calls(events: DataFrame, width: int = EVENT_CHUNK) -> DataFrame:
     """Calls from cumulative counters (``total_*`` and ``last_*`` per field, none missing): the growth since the row before. A
     smaller total starts a segment, whose first row counts its ``last_*``; an unchanged input total is the same call."""
-    rows = ordered_scan(first_records(events), ["session"], ["ord"], chunk(width=width), before=previous(_struct("total")))
+    rows = by_chunks(first_records(events).withColumn("__at", chunk(width=width)), "session", "__at")
+    rows = ordered_scan(rows, ["session"], ["ord"], "__at", before=previous(_struct("total"))).drop("__at")
     b = F.col("before")
     reset = F.lit(False)
     for f in FIELDS:
@@ -220,12 +221,13 @@ def counter_calls_with_gaps(events: DataFrame, width: int = EVENT_CHUNK) -> Data
     whole = F.lit(True)
     for f in FIELDS:
         whole = whole & F.col(f"total_{f}").isNotNull()
-    rows = ordered_scan(rows.withColumn("whole", whole), ["session"], ["ord"], chunk(width=width), before=previous(F.struct("whole", _struct("total").alias("t"))))
+    rows = by_chunks(rows.withColumns({"whole": whole, "at": chunk(width=width)}), "session", "at")
+    rows = ordered_scan(rows, ["session"], ["ord"], "at", before=previous(F.struct("whole", _struct("total").alias("t"))))
     grew = F.col("whole") & F.col("before.whole")
     for f in FIELDS:
         grew = grew & (F.col(f"total_{f}") >= F.col(f"before.t.{f}"))
     anchor = F.coalesce(grew & (F.col("total_input") > F.col("before.t.input")), F.lit(False))
-    rows = rows.withColumns({"anchor": anchor, "at": chunk(width=width), **{f"prev_{f}": F.col(f"before.t.{f}") for f in FIELDS}}).drop("before", "whole")
+    rows = rows.withColumns({"anchor": anchor, **{f"prev_{f}": F.col(f"before.t.{f}") for f in FIELDS}}).drop("before", "whole")
     first = rows.filter("anchor").groupBy("session", "at").agg(F.min("ord").alias("ord")).withColumn("cut", F.lit(True))
     rows = rows.join(first, ["session", "at", "ord"], "left")
     # a piece runs from the first anchor of a chunk to the next piece

@@ -175,3 +175,15 @@ def spread(df: DataFrame) -> DataFrame:
     work that is all computing. Where the scan has enough partitions, as on any large table, nothing moves."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_rows(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+    """A table, whose rows are counted, by keys over as many partitions as shuffles have, or one for each ``rows`` if these are more: a number that
+    adaptive execution keeps, so that the rows of a task, and its memory, do not grow with the table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // rows)), *keys)
+
+
+def by_chunks(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys and chunk over as many partitions as shuffles have, a number that adaptive execution keeps: rows of a few bytes are not put into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators import text as X
-from ..operators.ordered import once, spread
+from ..operators.ordered import by_rows, once, spread
 from .registry import Tables
 
 # A page is eight rows, a block four; a header row, a page number row, and headings that open a bibliography, a checklist and
@@ -224,10 +224,15 @@ COUNTERS_SQL = f"first_counters AS ({COUNTER_BODY}), counters AS (SELECT *, 0 AS
 
 
 def counters(t: Tables) -> DataFrame:
-    rows = both(t, COUNTER_BODY, "events")
+    """The rows move once, by user, and every tenth is given twice where it is made. The number of partitions is stated: by the bytes of this shuffle,
+    which are few, adaptive execution would put a large table's rows into as few tasks as there are cores."""
+    events = by_rows(t.events, "user_id")
+    events.createOrReplaceTempView("annolytics_counter_events")
+    rows = t.spark.sql(COUNTER_BODY.replace("FROM events )", "FROM annolytics_counter_events )"))
     sums = {c: F.col(c).cast("long") for c in ("ord", "last_input", "last_cached", "last_output", "total_input", "total_cached", "total_output")}
     rows = rows.withColumns(sums)
-    return rows.unionByName(rows.filter("event_id % 10 = 3").withColumn("ord", F.col("ord") + 31))
+    times = F.when(F.col("event_id") % 10 == 3, F.array("ord", F.col("ord") + 31)).otherwise(F.array("ord"))
+    return rows.withColumn("ord", times).select(*[F.explode(c).alias(c) if c == "ord" else c for c in rows.columns])
 
 
 CONV_BODY = """SELECT conv_id, turn * 10 AS ord, 'run' AS kind, CASE WHEN (conv_id + CAST(floor(turn / 2) AS BIGINT)) % 2 = 0 THEN 'a' ELSE 'b' END AS agent,
