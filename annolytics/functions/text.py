@@ -23,10 +23,15 @@ REFERENCES = r"^(?:\d+|[ivxl]+)?\.?(?:references(?:andnotes)?|bibliography|liter
 CHECKLIST = (r"^(?:[a-z]|\d+)?\.?(?:neurips|icml|iclr|aaai|ijcai|acl|emnlp|naacl|cvpr|iccv|eccv|ml)?"
              r"(?:paper|reproducibility|responsiblenlp(?:research)?)?checklist:?$")
 APPENDIX = r"^(?:[a-z]|\d+)?\.?(?:technical)?(?:appendix|appendices|supplementa(?:ry|l))"
+# What the text of such a key starts with, other than a heading's, among the characters that keys lack
+_APART = r"[ \-–—\u00ad]*"
+MAY_NAME_PART = (rf"(?i)^{_APART}(?:(?:[\divxl]{_APART})*\.?{_APART}(?:r{_APART}e|b{_APART}i|l{_APART}i|w{_APART}o|参)|a{_APART}p|s{_APART}u)")
 ABBREVIATIONS = ("e\\.g", "i\\.e", "et al", "cf", "vs", "viz", "resp", "approx", "ca", "Fig", "Figs", "Eq", "Eqs", "Sec", "Secs",
                  "Tab", "Ref", "Refs", "No", "Nos", "Dr", "Prof", "Mr", "Ms", "Mrs", "St", "Vol", "pp", "Ch", "Def", "Thm",
                  "Lem", "Prop", "Cor", "Alg", "App")
 CLOSERS = "\"'”’)\\]"
+CLOSING = "\"'”’)]"           # the same characters, not as a class
+ENDING = max(len(a.replace("\\", "")) for a in ABBREVIATIONS) + 2
 OPENERS = "A-Z0-9(\\[\"“‘"
 MIN_SENTENCE_WORDS = 3
 
@@ -94,8 +99,16 @@ def raw_sentences(c: str | Column) -> Column:
     """The pieces of a paragraph at its end marks, before short pieces are merged."""
     text = collapse(c)
     marked = F.regexp_replace(text, f"([.!?][{CLOSERS}]*)(?=\\s+[{OPENERS}])", "$1" + MARK)
-    kept = F.regexp_replace(marked, f"(?U)(\\b(?:{'|'.join(ABBREVIATIONS)}|[A-Z])\\.[{CLOSERS}]*)" + MARK, "$1")
-    return F.filter(F.transform(F.split(kept, MARK), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+
+    def shortened(p: Column) -> Column:
+        """An abbreviation ends the piece: looked for in its last characters, one more than the longest has."""
+        return F.right(F.rtrim(p, F.lit(CLOSING)), F.lit(ENDING)).rlike(f"(?U)\\b(?:{'|'.join(ABBREVIATIONS)}|[A-Z])\\.$")
+
+    def unmarked(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: F.when((i == F.size(parts) - 1) | shortened(p), p).otherwise(F.concat(p, F.lit(MARK)))), "")
+
+    pieces = F.split(let(F.split(marked, MARK), unmarked), MARK)
+    return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
 
 
 def split_sentences(c: str | Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import let
+from ..session import stored
 from .ordered import chunk_of, group_total, ordered_scan, running_count
 
 DEFAULT_BODY_SIZE = 10.0
@@ -271,9 +272,9 @@ def explode_sentences(docs: DataFrame, all_items: Column) -> DataFrame:
 
 
 def number_repeats(sents: DataFrame) -> DataFrame:
-    """Each sentence's place among the equal ones of its page, and how many there are. Equal keys meet by 128 bits of their SHA-256, so that only the sentences
-    themselves are moved as texts, once."""
-    keyed = sents.withColumn("__same", F.substring(F.unhex(F.sha2(T.norm_key("text"), 256)), 1, 16))
+    """Each sentence's place among the equal ones of its page, and how many there are. Equal keys meet by 128 bits of their SHA-256. Sentences
+    and digests are made once, as a table, of which counting reads the digests only."""
+    keyed = stored(sents.withColumn("__same", F.substring(F.unhex(F.sha2(T.norm_key("text"), 256)), 1, 16)))
     rows = ordered_scan(keyed, ["doc_id", "page", "__same"], ["id"], chunk_of("id"), occurrence=running_count(),
                         same_text_count=group_total(F.lit(1).cast("long")))
     return rows.select("doc_id", "page", T.norm_key("text").alias("norm"), *[c for c in rows.columns if c not in ("doc_id", "page", "__same")])

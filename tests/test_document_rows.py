@@ -1,4 +1,5 @@
 """Structuring over a table of lines equals structuring of whole documents, wherever chunks are cut."""
+import os
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annolytics.operators import document_rows as D
 from annolytics.operators import text as X
+from annolytics.session import checkpoint_dir
 
 LINE = "doc_id long, row_no long, page int, block int, text string, size double, bold boolean, dir_x double, dir_y double"
 PARTS = ["1 References", "References", "Bibliography:", "A. Paper Checklist", "Reproducibility checklist", "B Appendix", "Supplementary notes", "appendix text goes on", "Short heading",
@@ -78,3 +80,28 @@ def test_one_document_is_many_tasks(spark):
 def test_no_lines(spark):
     none = spark.createDataFrame([], LINE)
     assert D.listing_rows(D.paragraph_rows(none)).collect() == [] and D.marked_rows(none).collect() == []
+
+
+def test_texts_are_kept_once(spark):
+    """What the steps write is not a multiple of the texts, whose letters hardly compress, and sentences are digested once."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(1500)]
+    lines = spark.createDataFrame([(i // 50, i % 50, i % 50 // 8 + 1, i // 4, x, 10.0, False, 1.0, 0.0) for i, x in enumerate(texts)], LINE)
+
+    def kept():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(checkpoint_dir(spark).removeprefix("file:")) for f in files)
+
+    before = kept()
+    assert D.cut_rows(lines, chunk_rows=16).count() == len(texts)
+    assert kept() - before < 2 * sum(map(len, texts))
+    sents = lines.select("doc_id", F.col("row_no").alias("id"), "page", "text")
+    assert "sha2" not in X.number_repeats(sents)._jdf.queryExecution().toString()
+
+
+def test_abbreviations_end_no_sentence(spark):
+    """Only the end of a piece is looked at, behind closing marks and from the start of a word."""
+    from annolytics.functions import text as T
+    cases = {"It is so in Fig.)’ Next words stand here.": 1, "It is so in the aFig. Next words stand here.": 2, "Said so et al.\" Next words stand here.": 1, "As we met approx. Ten words stand here.": 1,
+             "As we met Xapprox. Ten words stand here.": 2, "By one named J. Doe and some others.": 1, "Dr. No was here before. Dr. Yes was not there.": 2}
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", F.size(T.split_sentences("t")).alias("n")).collect()}
+    assert got == cases
