@@ -5,18 +5,22 @@ canonical text of a position.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import geometry as G
 from ..functions import rules as R
 from ..functions import text as T
 from ..session import cut_lineage, stored
 from .layout import BOX, box_pairs
-from .ordered import first_rows, ordered_scan, running_count
+from .ordered import first_rows, ordered_scan, running_count, running_max
 
 CHANGED_AFTER = 5          # seconds between the dates of an annotation the user changed
 # The fields of a rewrite that would undo each change of the user's
@@ -26,6 +30,8 @@ NO_TAGS = "array<string>"
 PAGE = ["parent", "type", "page"]
 HOT_ROWS = 1 << 20         # rows of a key's bucket from which its ranks are taken chunk by chunk
 BUCKETS = 1 << 14
+# a part of a page that one task serves in order: its rows, and the pairs of its distinct boxes; pages are cut along strips of so many points
+PART_ROWS, PART_WORK, BAND_STRIP = 1 << 18, 1 << 22, 64.0
 
 
 def fingerprint(*parts: Column | str) -> Column:
@@ -150,10 +156,90 @@ def _meet_by(rows: DataFrame, keys: list[str], steps: list[tuple], chunk_rows: i
     return light.unionByName(_meet_chunked(rows.filter(bucket.isin(hot)), steps, chunk_rows)) if hot else light
 
 
-def _first_free(new: DataFrame, old: DataFrame, keys: list[str], test, reach: float = 0.0) -> DataFrame:
-    """(new_key, old_key): each new row in order takes the first old row, in order, that passes ``test`` with it and is free.
-
-    That is the one pairing in which no new row could have an earlier old row from a later new one, so it is found for all rows at
+def _bands(rows: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """The boxes of ``rows`` (``fresh`` for new ones), one row each, with their ``part`` of the page: a new one begins where no box before reaches
+    down to, so only boxes of one part can meet. ``work`` is what a part is to solve; parts with one side only are left out."""
+    boxes = rows.groupBy(*keys, *BOX).agg(F.count("*").alias("rows"), F.max(F.col("fresh").cast("int")).alias("new"), F.max((~F.col("fresh")).cast("int")).alias("old"))
+    boxes = boxes.withColumns({"low": F.least("y0", "y1"), "high": F.greatest("y0", "y1")}).withColumn("strip", F.floor(F.col("low") / BAND_STRIP))
+    order = ["low", *BOX]
+    boxes = ordered_scan(boxes, keys, order, "strip", reached=running_max(F.col("high"), before=True))
+    boxes = ordered_scan(boxes, keys, order, "strip", part=running_count(F.col("low") > F.col("reached") + reach))
+    parts = boxes.groupBy(*keys, "part").agg(F.sum("rows").alias("rows"), F.sum("new").alias("new"), F.sum("old").alias("old")).filter("new > 0 AND old > 0")
+    return boxes.select(*keys, *BOX, "part").join(parts.select(*keys, "part", "rows", (F.col("new") * F.col("old")).alias("work")), [*keys, "part"])
+
+
+def _served(boxes: np.ndarray, n_old: int, alike) -> Iterator[tuple[int, int]]:
+    """(new, old) places of a part whose old rows come first, each side in order: each new row takes the first old one that is ``alike`` and free.
+    Rows of equal boxes stand in one queue, so a row looks at the heads of the queues near it, however many copies these hold."""
+    places, queue = np.unique(boxes[:n_old], axis=0, return_inverse=True)
+    head, after, near = np.full(len(places), n_old), np.full(n_old, n_old), {}
+    for i in range(n_old - 1, -1, -1):
+        after[i], head[queue[i]] = head[queue[i]], i
+    for j in range(n_old, len(boxes)):
+        box = boxes[j].tobytes()
+        if box not in near:
+            near[box] = np.flatnonzero(alike(places, boxes[j])).astype("int32")
+        if len(near[box]):
+            at = near[box][head[near[box]].argmin()]
+            if head[at] < n_old:
+                yield j, head[at]
+                head[at] = after[head[at]]
+
+
+def _serve_parts(alike):
+    """``_served`` over batches of rows that are sorted by part, a part at a time."""
+    def pairs(part: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+        rows = pd.concat(part)
+        names = rows["name"].to_numpy()
+        found = list(_served(rows[BOX].to_numpy("float64"), int((~rows["fresh"]).sum()), alike))
+        return names[[j for j, _ in found]], names[[i for _, i in found]]
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            made, at = [], 0
+            for begin in np.flatnonzero(batch["nth"].to_numpy() == 1):
+                held.append(batch.iloc[at:begin])
+                if sum(map(len, held)):
+                    made.append(pairs(held))
+                held, at = [], begin
+            held.append(batch.iloc[at:])
+            if made:
+                yield pd.DataFrame({name: np.concatenate([m[i] for m in made]) for i, name in enumerate(("new_key", "old_key"))})
+        if sum(map(len, held)):
+            yield pd.DataFrame(dict(zip(("new_key", "old_key"), pairs(held))))
+    return serve
+
+
+def _first_free(new: DataFrame, old: DataFrame, keys: list[str], test, alike, reach: float = 0.0, part_rows: int = PART_ROWS, part_work: int = PART_WORK) -> DataFrame:
+    """(new_key, old_key): each new row in order takes the first old row, in order, that passes ``test`` with it and is free. ``alike`` is the test in
+    arrays: many boxes against one.
+
+    Pages are cut into parts between which nothing can meet. A part of at most ``part_rows`` rows and ``part_work`` pairs of distinct boxes is
+    served in order by one task, without a row per candidate; larger ones, and those with a row that stands in several places, go by ``_asked``."""
+    def side(df, key, fresh):
+        return df.select(*keys, *BOX, F.lit(fresh).alias("fresh"), F.struct("ord", F.col(key).alias("key")).alias("row"))
+
+    rows = cut_lineage(side(new, "new_key", True).unionByName(side(old, "old_key", False)).dropna(subset=[*keys, *BOX]))
+    laid = cut_lineage(rows.join(_bands(rows, keys, reach), [*keys, *BOX]).withColumn("small", (F.col("rows") <= part_rows) & (F.col("work") <= part_work)).drop("rows", "work"))
+    place = F.struct(*keys, *BOX)
+    strewn = laid.groupBy("fresh", "row").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("fresh", "row")
+    apart = cut_lineage(laid.filter("NOT small").unionByName(laid.join(strewn, ["fresh", "row"], "left_semi").select(*laid.columns)).select(*keys, "part").distinct())
+    turn = Window.partitionBy(*keys, "part").orderBy("fresh", "row")
+    again = F.coalesce((F.lag("fresh").over(turn) == F.col("fresh")) & F.lag("row").over(turn).eqNullSafe(F.col("row")), F.lit(False))
+    queued = laid.join(apart, [*keys, "part"], "left_anti").withColumns({"again": again, "nth": F.row_number().over(turn)}).filter("NOT again")
+    found = queued.select("nth", "fresh", F.col("row.key").alias("name"), *BOX).mapInPandas(
+        _serve_parts(alike), StructType([StructField(k, new.schema["new_key"].dataType) for k in ("new_key", "old_key")]))
+    if apart.isEmpty():
+        return found
+    rest = cut_lineage(laid.join(apart, [*keys, "part"], "left_semi").select(*keys, *BOX, "fresh", "row.ord", "row.key"))
+    return found.unionByName(_asked(rest.filter("fresh").withColumnRenamed("key", "new_key"), rest.filter("NOT fresh").withColumnRenamed("key", "old_key"), keys, test, reach))
+
+
+def _asked(new: DataFrame, old: DataFrame, keys: list[str], test, reach: float) -> DataFrame:
+    """The same for parts of any size.
+
+    It is the one pairing in which no new row could have an earlier old row from a later new one, so it is found for all rows at
     once: every new row asks its first candidate, an old row holds the earliest that asks, and candidates that are held by an earlier
     row are struck off. Rounds end when no two ask for the same. Candidates come from the grid of ``box_pairs``: no page is one task."""
     a = new.select(*keys, *BOX, F.struct("ord", "new_key").alias("n"))
@@ -167,6 +253,12 @@ def _first_free(new: DataFrame, old: DataFrame, keys: list[str], test, reach: fl
         asks = cut_lineage(asks.join(held, "o", "left").filter("holder IS NULL OR n <= holder").select("n", "o"))
 
 
+def _over(boxes: np.ndarray, box: np.ndarray, tol: float = 2.0) -> np.ndarray:
+    """``G.overlaps`` of many boxes with one."""
+    shared = np.minimum(boxes[:, 2:], box[2:]) - np.maximum(boxes[:, :2], box[:2])
+    return (shared > tol).all(axis=1)
+
+
 def _near(tolerance: float):
     def test(a: Column, b: Column) -> Column:
         return reduce(and_, [F.abs(a[c] - b[c]) <= tolerance for c in BOX])
@@ -203,7 +295,7 @@ def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_ro
     if overlap:
         a, b = [said.filter(f"how IS NULL AND {x} IS NOT NULL").select(*PAGE, f"{x}.ord", F.col(f"{x}.key").alias(key), *[f"{x}.{c}" for c in BOX])
                 for x, key in (("n", "new_key"), ("o", "old_key"))]
-        found = found.unionByName(_first_free(a, b, PAGE, G.overlaps).withColumn("how", F.lit("overlap")))
+        found = found.unionByName(_first_free(a, b, PAGE, G.overlaps, _over).withColumn("how", F.lit("overlap")))
     return found
 
 
@@ -218,13 +310,13 @@ def _match_near(a: DataFrame, b: DataFrame, overlap: bool, chunk_rows: int, tole
         made, a, b = _pass(*[x.filter("body <> ''") if wordless else x for x in (a, b)], PAGE + keys, chunk_rows)
         found.append(made.withColumn("how", F.lit(name)))
         if "place" in keys:
-            made = _first_free(a, b, PAGE + [k for k in keys if k != "place"], _near(tolerance), tolerance)
+            made = _first_free(a, b, PAGE + [k for k in keys if k != "place"], _near(tolerance), lambda boxes, box: (np.abs(boxes - box) <= tolerance).all(axis=1), tolerance)
             a, b = without(a, made, "new_key"), without(b, made, "old_key")
             found.append(made.withColumn("how", F.lit(name)))
         if wordless:
             a, b = a.unionByName(wordless[0]), b.unionByName(wordless[1])
     if overlap:
-        found.append(_first_free(cut_lineage(a), cut_lineage(b), PAGE, G.overlaps).withColumn("how", F.lit("overlap")))
+        found.append(_first_free(cut_lineage(a), cut_lineage(b), PAGE, G.overlaps, _over).withColumn("how", F.lit("overlap")))
     return reduce(DataFrame.unionByName, found)
 
 
