@@ -8,6 +8,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import anchor as A
 from ..operators import captions as C
+from ..session import stored
 from . import fixtures as fx
 from .fixtures import (ANNOTATIONS_SQL, CAPTIONS_SQL, INDEXED_SQL, INTENTS_SQL, ITEMS_SQL, LINES_SQL, SENTENCES_SQL, WORDS_SQL,
                        norm_sql)
@@ -275,9 +276,10 @@ listed AS (SELECT doc_id, id, trim(substr(body, 1, 80)) AS listed FROM full_text
 SELECT f.doc_id, f.id, (SELECT min(l.id) FROM listed l WHERE l.doc_id = f.doc_id AND
   (l.listed = f.body OR (length(l.listed) >= 76 AND starts_with(f.body, left(l.listed, -1))))) AS listed_id FROM full_texts f""")
 def listed_texts(t: Tables):
-    whole = fx.sentences(t).select("doc_id", "id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("id").cast("string")).alias("key"),
-                                   T.collapse("text").alias("body"))
-    listed = fx.sentences(t).filter(F.col("id") % 3 != 0).select("doc_id", T.brief("text").alias("listed"), F.col("id").alias("listed_key"), F.col("id").alias("ord"))
+    # read three times, split and collapsed once
+    sents = stored(fx.sentences(t).select("doc_id", "id", T.collapse("text").alias("body"), F.when(F.col("id") % 3 != 0, T.brief("text")).alias("listed")))
+    whole = sents.select("doc_id", "id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("id").cast("string")).alias("key"), "body")
+    listed = sents.filter(F.col("id") % 3 != 0).select("doc_id", "listed", F.col("id").alias("listed_key"), F.col("id").alias("ord"))
     return A.listed_as(whole, listed, ["doc_id"]).select("doc_id", "id", F.col("listed_key").alias("listed_id"))
 
 
