@@ -177,7 +177,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def by_rows(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+def by_rows(df: DataFrame, *keys: str, rows: int = 1 << 17) -> DataFrame:
     """A table, whose rows are counted, by keys over as many partitions as shuffles have, or one for each ``rows`` if these are more: a number that
     adaptive execution keeps, so that the rows of a task, and its memory, do not grow with the table."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -24,3 +24,8 @@ def test_chunks_of_counters_keep_their_partitions(spark):
     calls = G.counter_calls(events, width=4)
     assert "REPARTITION_BY_NUM" in calls._jdf.queryExecution().executedPlan().toString()
     assert calls.agg({"input": "sum"}).first()[0] == 20 and calls.rdd.getNumPartitions() > 1
+
+
+def test_tasks_of_counter_rows_stay_small(spark):
+    rows = spark.range(3_000_000).selectExpr("id event_id", "id % 3000 user_id", "timestamp_seconds(id) ts", "cast(id as double) value", "'click' event_type")
+    assert fx.counters(Events(spark, rows)).rdd.getNumPartitions() >= 22
