@@ -289,8 +289,11 @@ def match_rewrite(new: DataFrame, old: DataFrame, overlap: bool = True, chunk_ro
         return rows.filter("how IS NOT NULL").select(F.col("n.key").alias("new_key"), F.col("o.key").alias("old_key"), "how")
 
     rows = side(new, "n", "o").unionByName(side(old, "o", "n"))
-    placed = stored(_meet_by(rows, ["place"], [("text and place", ["body", "place"], True), ("place", ["place"], False)], chunk_rows, hot_rows))
-    said = stored(_meet_by(placed.filter("how IS NULL"), ["body"], [("text", ["body"], True)], chunk_rows, hot_rows))
+    # no place is looked at again, and the text of those only that are not paired
+    unplaced = {"place": F.lit(None).cast("string"), "body": F.when(F.col("how").isNull(), F.col("body"))}
+    placed = stored(_meet_by(rows, ["place"], [("text and place", ["body", "place"], True), ("place", ["place"], False)], chunk_rows, hot_rows).withColumns(unplaced))
+    said = _meet_by(placed.filter("how IS NULL"), ["body"], [("text", ["body"], True)], chunk_rows, hot_rows).drop("body", "place")
+    said = stored(said if overlap else said.filter("how IS NOT NULL"))
     found = made(placed).unionByName(made(said))
     if overlap:
         a, b = [said.filter(f"how IS NULL AND {x} IS NOT NULL").select(*PAGE, f"{x}.ord", F.col(f"{x}.key").alias(key), *[f"{x}.{c}" for c in BOX])

@@ -140,9 +140,10 @@ TO_PLAN = [*TO_SNAPSHOTS, *PAIRS, PLAN]
 FIXTURE_CHUNK = 1 << 34    # the fixtures' order numbers are sparse
 
 
-def _plan(t: Tables):
+def _plan(t: Tables, *reads: str):
+    """The plan, with the columns that a query ``reads`` or all."""
     new, old = config(t), listing(t)
-    return stored(D.rewrite_plan(new, old, D.match_rewrite(new, old, overlap=False, chunk_rows=FIXTURE_CHUNK), records(t)))
+    return stored(D.rewrite_plan(new, old, D.match_rewrite(new, old, overlap=False, chunk_rows=FIXTURE_CHUNK), records(t)).select(*(reads or ["*"])))
 
 
 @query("f04_rewrite_pairs", *TO_SNAPSHOTS, *PAIRS, "SELECT new_key, old_key, how FROM pairs")
@@ -219,8 +220,9 @@ next AS (SELECT key, parent, type, comment, color, text, place, page_label, tags
   FROM config_places n JOIN acts a ON a.new_key = n.key AND action = 'create')"""
 
 
-def _next(t: Tables):
-    plan = _plan(t)
+def _next(t: Tables, *reads: str):
+    """The plan and the next snapshot; of the plan only the columns ``reads``, if any."""
+    plan = _plan(t, *reads)
     keep = ["key", "parent", "type", "comment", "color", "text", "place", "page_label", "tags", "ord"]
     return plan, D.apply_plan(listing(t).select(*keep), config(t).select(*keep), plan)
 
@@ -247,14 +249,17 @@ seen AS (SELECT b.* REPLACE (CASE WHEN b.action = 'update' AND b.ord % 5 = 0 THE
   CASE WHEN b.action = 'update' AND b.ord % 5 = 0 THEN o.page_label ELSE b.page_label END AS page_label) FROM back b LEFT JOIN places o USING (key))"""
 
 
-def _read_back(t: Tables):
-    plan, expected = _next(t)
-    expected = stored(expected)    # read three times
+def _read_back(t: Tables, *reads: str):
+    """The plan, the next snapshot and the read-back, both with the fields that a query ``reads``: what no one reads is neither moved nor kept."""
+    plan, expected = _next(t, "action", "new_key", "old_key", "fields", "tag_delta")
+    expected = stored(expected.select("key", *reads, "ord"))    # read three times
     state = plan.select(F.coalesce("old_key", "new_key").alias("key"), "action")
-    was = listing(t).select("key", *[F.col(c).alias(f"w_{c}") for c in ("comment", "color", "text", "page_label")])
+    undone, fields = F.col("ord") % 5 == 0, [c for c in ("comment", "color", "text", "page_label") if c in reads]
+    # only what a lost update takes back moves, each row does: the order number is part of the key
+    was = listing(t).select("key", *[F.when(undone, F.col(c)).alias(f"w_{c}") for c in fields])
     rows = expected.join(state, "key").join(was, "key", "left").filter(~((F.col("action") == "create") & (F.col("ord") % 7 == 0)))
-    lost = (F.col("action") == "update") & (F.col("ord") % 5 == 0)
-    back = rows.withColumns({c: F.when(lost, F.col(f"w_{c}")).otherwise(F.col(c)) for c in ("comment", "color", "text", "page_label")})
+    lost = (F.col("action") == "update") & undone
+    back = rows.withColumns({c: F.when(lost, F.col(f"w_{c}")).otherwise(F.col(c)) for c in fields})
     return plan, expected, back.select(*expected.columns)
 
 
@@ -265,7 +270,7 @@ merged AS (SELECT *, CASE WHEN action = 'create' THEN 'created' WHEN action = 'k
 SELECT key, source, CASE WHEN source IN ('created', 'changed') THEN lower(color) ELSE lower(o_color) END AS color,
   CASE WHEN source IN ('created', 'changed') THEN {fp('comment')} ELSE {fp('o_comment')} END AS fp_comment FROM merged""")
 def record_merge(t: Tables):
-    plan, expected, back = _read_back(t)
+    plan, expected, back = _read_back(t, "type", "comment", "color", "text", "place", "page_label")
     rows = D.merge_records(back, expected, listing(t), plan, records(t))
     return rows.select("key", "source", "color", "fp_comment")
 
@@ -274,7 +279,7 @@ def record_merge(t: Tables):
 SELECT key, 'missing' AS problem FROM next WHERE action = 'create' AND key NOT IN (SELECT key FROM seen)
 UNION ALL SELECT s.key, 'not landed' FROM seen s JOIN expected e USING (key) WHERE e.action = 'update' AND (s.comment <> e.comment OR lower(s.color) <> lower(e.color) OR s.text <> e.text)""")
 def verification(t: Tables):
-    plan, expected, back = _read_back(t)
+    plan, expected, back = _read_back(t, "comment", "color", "text")
     updated = expected.join(plan.filter("action = 'update'").select(F.col("old_key").alias("key")), "key", "left_semi")
     created = plan.filter("action = 'create'").select(F.col("new_key").alias("key"))
     return D.verify_write(back, created, updated)
