@@ -49,10 +49,9 @@ def place_text(page: Column, rects: Column, font_size: Column | None = None, rot
     return F.concat_ws("|", page.cast("string"), boxes, *rest)
 
 
-def prints(listing: DataFrame) -> DataFrame:
-    """The record of annotations: type, colour, label and fingerprints of comment, text and place."""
-    return listing.withColumns({"color": F.lower("color"), "fp_comment": fingerprint("comment"), "fp_text": fingerprint("text"),
-                                "fp_place": fingerprint("place")})
+def prints(listing: DataFrame, fields: tuple[str, ...] = PRINTED) -> DataFrame:
+    """The record of annotations: type, colour, label and fingerprints of comment, text and place, or those of them in ``fields``."""
+    return listing.withColumns({"color": F.lower("color")} | {f: fingerprint(f.removeprefix("fp_")) for f in fields if f.startswith("fp_")})
 
 
 def user_changes(listing: DataFrame, records: DataFrame, own_tags: tuple[str, ...] = R.OWN_TAGS) -> DataFrame:
@@ -428,11 +427,13 @@ def _content(p: str) -> Column:
     return F.struct(*[F.coalesce(F.col(f"{p}.{c}"), F.lit("")) for c in ("type", "comment", "text", "page_label")], F.lower(F.col(f"{p}.color")))
 
 
-def merge_records(read_back: DataFrame, expected: DataFrame, old: DataFrame, plan: DataFrame, records: DataFrame) -> DataFrame:
+def merge_records(read_back: DataFrame, expected: DataFrame, old: DataFrame, plan: DataFrame, records: DataFrame,
+                  fields: tuple[str, ...] = PRINTED) -> DataFrame:
     """The next record: created ones as read back, changed ones as read back when the change landed and as they were when it
-    did not, kept ones as planned, the others as recorded before. ``source`` says which."""
+    did not, kept ones as planned, the others as recorded before. ``source`` says which. It has the ``fields`` asked for; what only others
+    need, as the place, the rows need not have."""
     state = plan.filter("old_key IS NOT NULL").select(F.col("old_key").alias("key"), "action")
-    now, was, want = prints(read_back).alias("now"), prints(old).alias("was"), expected.alias("want")
+    now, was, want = prints(read_back, fields).alias("now"), prints(old, fields).alias("was"), expected.alias("want")
     rows = (now.join(state.alias("s"), F.col("now.key") == F.col("s.key"), "left")
             .join(was, F.col("now.key") == F.col("was.key"), "left").join(want, F.col("now.key") == F.col("want.key"), "left")
             .join(records.alias("r"), F.col("now.key") == F.col("r.key"), "left"))
@@ -442,7 +443,7 @@ def merge_records(read_back: DataFrame, expected: DataFrame, old: DataFrame, pla
               .when((F.col("s.action") == "update") & unchanged, "not landed").when(F.col("s.action") == "keep", "kept")
               .when(F.col("s.action").isNull() & F.col("r.key").isNotNull(), "untouched"))
     pick = {c: F.when(F.col("source").isin("created", "changed"), F.col(f"now.{c}")).when(F.col("source").isin("not landed", "kept"), F.col(f"was.{c}"))
-            .otherwise(F.col(f"r.{c}")) for c in PRINTED}
+            .otherwise(F.col(f"r.{c}")) for c in fields}
     return rows.withColumn("source", source).filter("source IS NOT NULL").select(F.col("now.key").alias("key"), "source", *[e.alias(c) for c, e in pick.items()])
 
 

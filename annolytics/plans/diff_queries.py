@@ -270,9 +270,8 @@ merged AS (SELECT *, CASE WHEN action = 'create' THEN 'created' WHEN action = 'k
 SELECT key, source, CASE WHEN source IN ('created', 'changed') THEN lower(color) ELSE lower(o_color) END AS color,
   CASE WHEN source IN ('created', 'changed') THEN {fp('comment')} ELSE {fp('o_comment')} END AS fp_comment FROM merged""")
 def record_merge(t: Tables):
-    plan, expected, back = _read_back(t, "type", "comment", "color", "text", "place", "page_label")
-    rows = D.merge_records(back, expected, listing(t), plan, records(t))
-    return rows.select("key", "source", "color", "fp_comment")
+    plan, expected, back = _read_back(t, "type", "comment", "color", "text", "page_label")
+    return D.merge_records(back, expected, listing(t), plan, records(t), ("color", "fp_comment"))
 
 
 @query("f11_verification", *TO_PLAN, READ_BACK, LOST, """

@@ -46,7 +46,7 @@ def test_paired_rows_keep_no_texts_and_no_row_its_place(spark, kept):
     assert "place" not in said.columns and "body" not in said.columns and said.count() == 1
 
 
-@pytest.mark.parametrize("build, fields", [(Q.verification, {"key", "comment", "color", "text", "ord"})])
+@pytest.mark.parametrize("build, fields", [(Q.record_merge, {"key", "type", "comment", "color", "text", "page_label", "ord"}), (Q.verification, {"key", "comment", "color", "text", "ord"})])
 def test_next_snapshot_and_plan_keep_what_is_read(spark, kept, tmp_path, build, fields):
     assert build(_tables(spark, tmp_path)).count() > 0
     found = [set(df.columns) for df in kept]
@@ -54,6 +54,16 @@ def test_next_snapshot_and_plan_keep_what_is_read(spark, kept, tmp_path, build,
     assert not any("tags" in c for c in found)
 
 
+def test_a_record_has_the_fields_asked_for(spark, tmp_path, kept):
+    t = _tables(spark, tmp_path)
+    plan, expected = Q._next(t)
+    back, old, was = expected.filter("ord % 7 <> 0"), Q.listing(t), Q.records(t)
+    whole = D.merge_records(back, expected, old, plan, was)
+    few = D.merge_records(back.drop("place"), expected.drop("place", "tags"), old.drop("place"), plan, was, ("color", "fp_comment"))
+    assert few.columns == ["key", "source", "color", "fp_comment"] and whole.columns == ["key", "source", *D.PRINTED]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(*few.columns).collect())) != []
+
+
 def test_lost_updates_take_back_the_old_values(spark, tmp_path, kept):
     t = _tables(spark, tmp_path)
     plan, expected, back = Q._read_back(t, "comment", "color", "text")
